@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources import events as ev
 from ..sources.raw import fx_rates, read_raw
 from . import marts, rules, staging
+from .governance import classification, classified
 
 
 class RawTables:
@@ -132,3 +133,8 @@ class Warehouse:
     @cached_property
     def flags(self) -> DataFrame:
         return rules.run_rules(self.events, self.self_exclusion_registry, self.at.rules)
+
+    def governed_models(self) -> dict[str, DataFrame]:
+        """Models by the name the classification knows them under, with its metadata attached."""
+        marts = {"fct_player_ltv": "player_ltv", "fct_churn_labels": "churn_labels", "fct_fraud_summary": "fraud_summary"}
+        return {m: classified(getattr(self, marts.get(m, m)), m) for m in classification()}

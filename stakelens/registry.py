@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .plans import rules
+from .operators import asof_lookup, current_lookup, keep_first
+from .plans import bi, churn, distortion, governance, quality, rules
 from .plans.warehouse import Thresholds, Warehouse
+from .sources.events import replay_slice
 from .sources.lens import Lens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +100,263 @@ def flags_self_exclusion_breach(w: Warehouse) -> DataFrame:
 @query
 def flags_all_rules(w: Warehouse) -> DataFrame:
     return w.flags
+
+
+@query
+def flags_stamped(w: Warehouse) -> DataFrame:
+    return rules.stamp_detection(w.flags)
+
+
+@query
+def replayed_events(w: Warehouse) -> DataFrame:
+    return replay_slice(w.events, 6, "2024-06-01 00:00:00")
+
+
+@query
+def keep_first_lineitem(w: Warehouse) -> DataFrame:
+    return keep_first(w.raw.table("lineitem"), ["l_orderkey", "l_linenumber"], ["l_shipdate"])
+
+
+@query
+def payments_with_status_then(w: Warehouse) -> DataFrame:
+    columns = ["vip_tier", "risk_segment"]
+    return asof_lookup(
+        w.stg_payments.select("payment_id", "player_id", "ts"), w.dim_players_scd2, "player_id", "ts", columns
+    )
+
+
+@query
+def payments_with_status_now(w: Warehouse) -> DataFrame:
+    columns = ["vip_tier", "risk_segment"]
+    return current_lookup(
+        w.stg_payments.select("payment_id", "player_id", "ts"), w.dim_players_scd2, "player_id", columns
+    )
+
+
+# Quality ----------------------------------------------------------------------------------------------------------
+
+
+@query
+def raw_gate(w: Warehouse) -> DataFrame:
+    return quality.raw_gate(w.raw)
+
+
+@query
+def raw_gate_by_table(w: Warehouse) -> DataFrame:
+    return quality.report_by_table(quality.raw_gate(w.raw))
+
+
+@query
+def raw_duplicate_rates(w: Warehouse) -> DataFrame:
+    return quality.raw_duplicate_rates(w.raw)
+
+
+@query
+def model_tests(w: Warehouse) -> DataFrame:
+    return quality.model_tests(w)
+
+
+@query
+def scd2_overlaps(w: Warehouse) -> DataFrame:
+    return quality.overlapping_periods(w.dim_players_scd2, "player_id")
+
+
+@query
+def overlapping_quarters(w: Warehouse) -> DataFrame:
+    """The overlap test on periods that do overlap: ninety days from every attribute change."""
+    quarters = w.raw.player_attribute_history.select(
+        "player_id", F.col("effective_ts").alias("valid_from"),
+        F.expr("effective_ts + interval 90 days").alias("valid_to"),
+    )
+    return quality.overlapping_periods(quarters, "player_id")
+
+
+# Governance -------------------------------------------------------------------------------------------------------
+
+SALT = "bench-salt"
+GOVERNED = (*governance.HASHED_COLUMNS, *governance.NULLED_COLUMNS, *governance.RETAINED_TABLES)
+
+
+def _tables(w: Warehouse) -> dict[str, DataFrame]:
+    return {n: getattr(w.raw, n) for n in GOVERNED}
+
+
+def _requests(w: Warehouse) -> DataFrame:
+    """Everybody who ever self-excluded asks to be erased."""
+    return w.self_exclusion_registry.select("player_id")
+
+
+@query
+def erased_sessions(w: Warehouse) -> DataFrame:
+    return governance.erase(_tables(w), _requests(w), SALT)["sessions"]
+
+
+@query
+def erased_login_events(w: Warehouse) -> DataFrame:
+    return governance.erase(_tables(w), _requests(w), SALT)["login_events"]
+
+
+@query
+def erased_players(w: Warehouse) -> DataFrame:
+    return governance.erase(_tables(w), _requests(w), SALT)["players"]
+
+
+@query
+def erasure_dry_run(w: Warehouse) -> DataFrame:
+    return governance.erase_dry_run(_tables(w), _requests(w))
+
+
+@query
+def erasure_audit(w: Warehouse) -> DataFrame:
+    return governance.audit_rows(_requests(w), SALT, "2024-02-29 12:00:00")
+
+
+@query
+def retained_row_counts(w: Warehouse) -> DataFrame:
+    return governance.retained_row_counts(_tables(w), w.raw.players)
+
+
+@query
+def erasure_sample(w: Warehouse) -> DataFrame:
+    return governance.erasure_sample(w.dim_players_scd2, _tables(w))
+
+
+@query
+def classified_columns(w: Warehouse) -> DataFrame:
+    return governance.classified_columns(w.spark, w.governed_models())
+
+
+@query
+def classification_rollup(w: Warehouse) -> DataFrame:
+    return governance.classification_rollup(classified_columns(w))
+
+
+@query
+def retention_schedule(w: Warehouse) -> DataFrame:
+    return governance.retention_schedule(w.spark, classified_columns(w))
+
+
+@query
+def retention_due(w: Warehouse) -> DataFrame:
+    """Exclusion history may go six years after the player's last activity."""
+    closed = w.player_ltv.filter("last_active_date is not null").select("player_id", "last_active_date")
+    return governance.retention_due(closed, "responsible_gambling", "last_active_date")
+
+
+@query
+def expired_archive_days(w: Warehouse) -> DataFrame:
+    return governance.expired_days(w.events, "2024-04-15")
+
+
+@query
+def general_view_dim_players(w: Warehouse) -> DataFrame:
+    return governance.general_view(w.dim_players_scd2, "dim_players_scd2")
+
+
+# Distortion and model ---------------------------------------------------------------------------------------------
+
+for _plan in (
+    distortion.naive_features, distortion.engineered_features, distortion.dedup_distortion,
+    distortion.declined_distortion, distortion.deposit_distortion, distortion.self_exclusion_contamination,
+    distortion.bot_contamination, distortion.point_in_time_mismatches, distortion.join_fanout,
+    distortion.totals_before_join,
+):
+    query(_plan)
+
+
+@query
+def deposit_scenarios(w: Warehouse) -> DataFrame:
+    return distortion.deposit_scenarios(distortion.deposit_distortion(w))
+
+
+@query
+def bonus_average(w: Warehouse) -> DataFrame:
+    return distortion.bonus_average(w.raw.bonuses)
+
+
+@query
+def sessions_per_utc_day(w: Warehouse) -> DataFrame:
+    return distortion.sessions_per_utc_day(w.raw.sessions)
+
+
+@query
+def money_sum(w: Warehouse) -> DataFrame:
+    totals = distortion.money_sum(w.raw.payments)
+    return totals.withColumn("float_total", F.round("float_total", 2))
+
+
+@query
+def churn_score_metrics(w: Warehouse) -> DataFrame:
+    """The ranking metrics for a simple score: fewer sessions, more likely to have gone."""
+    scored = distortion.engineered_features(w).select(
+        F.col("is_churned").alias("label"), (1 / (1 + F.col("total_sessions"))).alias("score")
+    )
+    return churn.score_metrics(scored)
+
+
+@query
+def churn_model_comparison(w: Warehouse) -> DataFrame:
+    return churn.compare_models(w)
+
+
+# Reports ----------------------------------------------------------------------------------------------------------
+
+
+@query
+def bi_kpis(w: Warehouse) -> DataFrame:
+    return bi.kpis(w)
+
+
+@query
+def bi_scd_summary(w: Warehouse) -> DataFrame:
+    return bi.scd_summary(w.dim_players_scd2)
+
+
+@query
+def bi_current_split(w: Warehouse) -> DataFrame:
+    return bi.current_split(w.dim_players_scd2)
+
+
+@query
+def bi_scd_timeline(w: Warehouse) -> DataFrame:
+    return bi.scd_timeline(w.dim_players_scd2)
+
+
+@query
+def bi_attribute_timeline(w: Warehouse) -> DataFrame:
+    return bi.attribute_timeline(bi.scd_timeline(w.dim_players_scd2))
+
+
+@query
+def bi_point_in_time_vs_current(w: Warehouse) -> DataFrame:
+    return bi.point_in_time_vs_current(w.dim_players_scd2, "2022-06-15")
+
+
+@query
+def bi_recent_flags(w: Warehouse) -> DataFrame:
+    return bi.recent_flags(w.stg_streaming_fraud_flags)
+
+
+@query
+def bi_value_at_risk(w: Warehouse) -> DataFrame:
+    return bi.value_at_risk(w)
+
+
+@query
+def bi_exposure(w: Warehouse) -> DataFrame:
+    return bi.exposure(w, days=30)
+
+
+@query
+def bi_ltv_histogram(w: Warehouse) -> DataFrame:
+    return bi.ltv_histogram(w.player_ltv)
+
+
+@query
+def bi_ltv_by_country(w: Warehouse) -> DataFrame:
+    return bi.ltv_by_country(w.player_ltv)
+
+
+@query
+def bi_churn_composition(w: Warehouse) -> DataFrame:
+    return bi.churn_composition(w.churn_labels)

@@ -81,15 +81,11 @@ def unified_events(
 
 def replay_slice(events: DataFrame, hours: int, now: str | None = None) -> DataFrame:
     """The last ``hours`` before the newest round, every ts shifted so that the cutoff lands on ``now``."""
-    newest = events.filter("event_type = 'game_round'").agg(F.max("ts").alias("newest"))
+    newest = events.filter("event_type = 'game_round'")
+    cutoff = newest.agg(F.max("ts") - F.expr(f"interval {int(hours)} hours")).scalar()
     at = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
-    cutoff = newest.select((F.col("newest") - F.expr(f"interval {int(hours)} hours")).alias("_cutoff"))
-    shifted = F.timestamp_micros(F.unix_micros("ts") - F.unix_micros("_cutoff") + F.unix_micros(at))
-    return (
-        events.join(F.broadcast(cutoff), F.col("ts") >= F.col("_cutoff"))  # one row
-        .withColumn("ts", shifted)
-        .drop("_cutoff")
-    )
+    shifted = F.timestamp_micros(F.unix_micros("ts") - F.unix_micros(cutoff) + F.unix_micros(at))
+    return events.filter(F.col("ts") >= cutoff).withColumn("ts", shifted)
 
 
 def to_messages(events: DataFrame) -> DataFrame:
