@@ -212,7 +212,7 @@ where rn = 1""",
         "select payment_id, player_id, ts, vip_tier, risk_segment from then_now where is_current",
     "raw_gate": "select * from gate",
     "raw_gate_by_table": "select table_name, count(*) filter (where success) as passed, count(*) as checks,"
-    " cast(bool_and(success) as varchar) as table_passed from gate group by table_name",
+    " bool_and(success) as table_passed from gate group by table_name",
     "raw_duplicate_rates": """
 select 'game_rounds' as table_name, 'round_id' as column_name,
        round(1 - count(distinct round_id) / count(*), 6) as duplicate_rate from raw_game_rounds
@@ -235,14 +235,14 @@ where a.effective_ts + interval 90 day > b.effective_ts group by 1, 2""",
     "erased_players": _erased("raw_players", "date_of_birth", "null"),
     "erasure_dry_run": "select * from touched",
     "erasure_audit": f"""
-select substr(sha256(who || '|' || epoch_us(at)), 1, 32) as erasure_id, who as player_id_pseudonym,
-       at as processed_at,
+select substr(sha256(who || '|' || epoch_us(done)), 1, 32) as erasure_id, who as player_id_pseudonym,
+       done as processed_at,
        '{{"sessions":["ip_address"],"login_events":["ip_address"],"players":["date_of_birth"]}}'
          as pseudonymised_fields,
        '{{{",".join(f'"{t}":"{r}"' for t, r in RETAINED_TABLES.items())}}}' as retained_tables,
        '2029-02-28' as retention_expires_at
 from (select 'erased:' || substr(sha256('{_SALT}:' || player_id), 1, 32) as who,
-             timestamp '2024-02-29 12:00:00' as at from self_exclusion_registry) r""",
+             timestamp '2024-02-29 12:00:00' as done from self_exclusion_registry) r""",
     "retained_row_counts": "select * from kept",
     "erasure_sample": """
 select d.player_id, d.vip_tier, d.kyc_status, d.self_exclusion_status, d.risk_segment,
@@ -255,11 +255,11 @@ select d.player_id, d.vip_tier, d.kyc_status, d.self_exclusion_status, d.risk_se
        k.* exclude (player_id)
 from (select *, row_number() over (partition by kyc_status, self_exclusion_status order by player_id) as rn
       from dim_players_scd2 where is_current) d join kept k on k.player_id = d.player_id where rn = 1""",
-    "classified_columns": "select * replace (cast(pii as varchar) as pii) from governed",
+    "classified_columns": "select * from governed",
     "classification_rollup": "select classification, retention_category, count(*) as columns,"
     " count(*) filter (where pii) as pii_columns, cast(sum(populated) as bigint) as populated from governed"
     " group by 1, 2",
-    "retention_schedule": f"select * replace (cast(pii as varchar) as pii),"
+    "retention_schedule": f"select *,"
     f" cast({_MONTHS} as bigint) as retention_months, {_BASIS} as basis from governed",
     "retention_due": """
 select player_id, last_active_date, cast(cast(last_active_date + interval 72 month as date) as varchar)
@@ -284,8 +284,7 @@ where cast(ts as date) < date '2024-04-15' - 90 group by 1""",
     f" {_d('combined', 'combined_distortion_pct')}, {_d('currency_mixing', 'currency_mixing_distortion_pct')}"
     " from deposit_effects",
     "deposit_scenarios": f"""
-select cast(a.fixed as varchar) as dedup_fixed, cast(b.fixed as varchar) as currency_fixed,
-       cast(c.fixed as varchar) as declined_fixed,
+select a.fixed as dedup_fixed, b.fixed as currency_fixed, c.fixed as declined_fixed,
        {_d('e + (n - e) * share', 'reported_total')}, {_d('combined * share', 'distortion_pct')}
 from (values (false), (true)) a(fixed), (values (false), (true)) b(fixed), (values (false), (true)) c(fixed),
      deposit_effects d,
@@ -386,4 +385,28 @@ group by 1""",
     "bi_churn_composition": """
 select case when is_self_excluded_as_of then 'Self-excluded' else 'Churned' end as population, count(*) as players
 from churn_labels where is_self_excluded_as_of or (not is_self_excluded_as_of and is_churned) group by 1""",
+    "synced_flags": "select cast(flag_id as varchar) as flag_id, scenario_type, entity_type,"
+    " cast(entity_id as varchar) as entity_id, cast(player_id as varchar) as player_id, triggering_event_ts,"
+    " detected_ts, severity from raw_streaming_fraud_flags",
+    "exported_reports": """
+select 'fraud_summary' as report, count(*) as rows from fraud_summary
+union all select 'recent_flags', least(count(*), 200) from stg_streaming_fraud_flags
+union all select 'player_ltv', count(*) from player_ltv
+union all select 'churn_labels', count(*) from churn_labels
+union all select 'scd_summary', count(*) from (select distinct vip_tier, kyc_status, self_exclusion_status,
+                                               risk_segment, is_current from dim_players_scd2) d
+union all select 'scd_timeline', count(*) from timeline
+union all select 'scenario_exposure', count(*) from at_risk""",
+    "stream_flags": "select * from flags_all_rules",
+    "stream_archive": "select strftime(ts, '%Y') as year, strftime(ts, '%m') as month, strftime(ts, '%d') as day,"
+    " event_type, count(*) as events from unified_events group by all",
+    "stream_without_retries": "select distinct event_type, entity_id, ts from unified_events",
+    "stream_rolling_large_deposits": """
+select player_id, start as window_start, start + interval 72 hour as window_end, count(*) as deposits
+from (select player_id, ts, unnest([date_trunc('day', ts), date_trunc('day', ts) - interval 1 day,
+                                    date_trunc('day', ts) - interval 2 day]) as start
+      from unified_events where event_type = 'payment' and payment_type = 'deposit' and amount_gbp >= 45) d
+group by 1, 2 having count(*) >= 2""",
+    "stream_messages": "select * replace (round(cast(amount as double), 6) as amount,"
+    " round(cast(amount_gbp as double), 6) as amount_gbp, cast(seq as bigint) as seq) from unified_events",
 }

@@ -79,8 +79,11 @@ def fit_and_score(df: DataFrame, features: list[str], label: str, key: str) -> D
         *[F.stddev_pop(c).alias(f"sd_{c}") for c in features],
     ).first()
     n, positives = stats["n"], stats["positives"]
-    if not positives or positives == n:
-        raise ValueError("both classes are needed to train")
+    rate = data.agg(F.avg("label").alias("positive_rate")).scalar()
+    trained_on = F.lit(n).cast("bigint").alias("n_train")
+    if not positives or positives == n:  # one class only: there is no model to score
+        nothing = [F.lit(None).cast("double").alias(m) for m in ("auc", "average_precision", "precision", "recall")]
+        return test.agg(F.count("*").alias("n_test")).select(trained_on, "n_test", rate.alias("positive_rate"), *nothing)
     scaled = [((F.col(c) - F.lit(stats[f"mean_{c}"])) / F.lit(stats[f"sd_{c}"] or 1.0)).alias(c) for c in features]
     weight = F.when(F.col("label") == 1, n / (2.0 * positives)).otherwise(n / (2.0 * (n - positives)))
     assembler = VectorAssembler(inputCols=features, outputCol="features")
@@ -90,10 +93,8 @@ def fit_and_score(df: DataFrame, features: list[str], label: str, key: str) -> D
         maxIter=1000, regParam=1.0 / n, standardization=False, weightCol="weight", tol=1e-8
     ).fit(ready(train))
     scored = model.transform(ready(test)).select("label", vector_to_array("probability")[1].alias("score"))
-    rate = data.agg(F.avg("label").alias("positive_rate")).scalar()
     return score_metrics(scored).select(
-        F.lit(n).cast("bigint").alias("n_train"), "n_test", rate.alias("positive_rate"),
-        "auc", "average_precision", "precision", "recall",
+        trained_on, "n_test", rate.alias("positive_rate"), "auc", "average_precision", "precision", "recall"
     )
 
 

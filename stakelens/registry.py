@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .operators import asof_lookup, current_lookup, keep_first
+from .operators import asof_lookup, current_lookup, keep_first, scratch_dir
 from .plans import bi, churn, distortion, governance, quality, rules
 from .plans.warehouse import Thresholds, Warehouse
-from .sources.events import replay_slice
+from .sources.events import event_stream, replay_slice, to_messages
 from .sources.lens import Lens
+from .sources.sinks import export_reports, sync_flags
+from .streaming import detector
+from .streaming.processors import PlayerRules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 LENS_THRESHOLDS = Thresholds(
     bot_min_gaps=2,
     bot_max_sd=3600.0,
-    churn_window_days=10,
+    churn_window_days=1,
     rules={
         "card_testing": {"window_seconds": 72 * 3600, "min_bins": 3},
         "bonus_ring": {"gap_seconds": 6 * 3600},
@@ -30,6 +33,8 @@ LENS_THRESHOLDS = Thresholds(
     },
 )
 
+THREE_VALUED = {"is_self_excluded_as_of", "success_flag"}
+
 QUERIES: dict[str, Query] = {}
 
 
@@ -50,7 +55,7 @@ def tidy(df: DataFrame) -> DataFrame:
             c = c.cast("string")
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType)):
             c = c.cast("bigint")
-        elif isinstance(f.dataType, T.BooleanType) and f.nullable:
+        elif f.name in THREE_VALUED:
             c = c.cast("string")
         columns.append(c.alias(f.name))
     return df.select(*columns)
@@ -360,3 +365,99 @@ def bi_ltv_by_country(w: Warehouse) -> DataFrame:
 @query
 def bi_churn_composition(w: Warehouse) -> DataFrame:
     return bi.churn_composition(w.churn_labels)
+
+
+# Sinks and streams. Each writes to a fresh folder in shared storage and returns what it reads back. --------------
+
+
+@query
+def synced_flags(w: Warehouse) -> DataFrame:
+    target = scratch_dir(w.spark, "flags")
+    sync_flags(w.raw.streaming_fraud_flags, target)
+    return w.spark.read.parquet(target)
+
+
+@query
+def exported_reports(w: Warehouse) -> DataFrame:
+    """Rows of each exported report."""
+    target = scratch_dir(w.spark, "reports")
+    reports = {
+        "fraud_summary": w.fraud_summary,
+        "recent_flags": bi.recent_flags(w.stg_streaming_fraud_flags),
+        "player_ltv": w.player_ltv,
+        "churn_labels": w.churn_labels,
+        "scd_summary": bi.scd_summary(w.dim_players_scd2),
+        "scd_timeline": bi.scd_timeline(w.dim_players_scd2),
+        "scenario_exposure": bi.value_at_risk(w),
+    }
+    export_reports(w.spark, reports, target)
+    out = None
+    for name in reports:
+        rows = w.spark.read.parquet(f"{target}/{name}").agg(F.lit(name).alias("report"), F.count("*").alias("rows"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _streamed(function: Callable[[Warehouse, str], DataFrame]) -> None:
+    """Register a query over the events table read as a stream, worked off until nothing is left."""
+    QUERIES[function.__name__] = lambda spark, folder: tidy(
+        function(warehouse(spark, folder, stream=True), scratch_dir(spark, function.__name__))
+    )
+
+
+def _finish(writer, **trigger) -> None:
+    writer.trigger(**(trigger or {"availableNow": True})).start().awaitTermination()
+
+
+@_streamed
+def stream_flags(w: Warehouse, target: str) -> DataFrame:
+    """All six rules as stateful jobs. They must raise what the batch rules raise."""
+    at = w.at.rules
+    player = PlayerRules(
+        card_window_seconds=at["card_testing"]["window_seconds"],
+        min_bins=at["card_testing"]["min_bins"],
+        pending_seconds=at["account_takeover"]["pending_seconds"],
+        near_threshold_gbp=at["structuring"]["threshold_gbp"] * 0.9,
+        structuring_window_seconds=at["structuring"]["window_seconds"],
+    )
+    jobs = detector.run_detector(
+        w.events, w.self_exclusion_registry, target, f"{target}-state", once=True,
+        player=player, ring=at["bonus_ring"], session=at["bot_betting"],
+    )
+    for job in jobs:
+        job.awaitTermination()
+    ids = {c: F.col(c).cast("bigint") for c in ("entity_id", "player_id", "raised_by")}
+    return detector.read_flags(w.spark, target).withColumns(ids).drop("flag_id", "detected_ts", "job", "batch_id")
+
+
+@_streamed
+def stream_archive(w: Warehouse, target: str) -> DataFrame:
+    """Events per archived day, read back by partition."""
+    _finish(detector.archive_events(w.events, target, f"{target}-state"))
+    days = w.spark.read.schema("event_type string, year string, month string, day string").json(target)
+    return days.groupBy("year", "month", "day", "event_type").agg(F.count("*").alias("events"))
+
+
+@_streamed
+def stream_without_retries(w: Warehouse, target: str) -> DataFrame:
+    kept = detector.without_retries(w.events).select("event_type", "entity_id", "ts")
+    _finish(kept.writeStream.format("parquet").option("path", target).option("checkpointLocation", f"{target}-state"))
+    return w.spark.read.schema("event_type string, entity_id bigint, ts timestamp").parquet(target)
+
+
+@_streamed
+def stream_rolling_large_deposits(w: Warehouse, target: str) -> DataFrame:
+    windows = detector.rolling_large_deposits(w.events, floor_gbp=45.0, window="72 hours", slide="24 hours")
+    writer = windows.writeStream.outputMode("complete").option("checkpointLocation", f"{target}-state")
+    _finish(writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(target)))
+    return w.spark.read.parquet(target)
+
+
+@_streamed
+def stream_messages(w: Warehouse, target: str) -> DataFrame:
+    """Events encoded as keyed JSON messages, written, and decoded from the stream of files."""
+    to_messages(warehouse(w.spark, w.raw.folder).events).select("value").write.text(f"{target}-topic")
+    decoded = event_stream(w.spark, f"{target}-topic", w.fx)
+    _finish(decoded.writeStream.format("parquet").option("path", target).option("checkpointLocation", f"{target}-state"))
+    ids = {c: F.col(c).cast("bigint") for c in ("entity_id", "player_id", "device_id", "session_id")}
+    return w.spark.read.schema(decoded.schema).parquet(target).withColumns(ids)
