@@ -20,14 +20,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows are written to shared storage before anything reads them."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame, purpose: str = "stage") -> DataFrame:
+    """Write the rows to shared storage and go on from there.
+
+    A written table rather than ``checkpoint()``: it is columnar, so later steps read only the columns they need,
+    and its size is known, so the planner can choose joins by it.
+    """
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -22,6 +22,7 @@ CHECK_INTERVALS = {
 
 def kpis(w: Warehouse) -> DataFrame:
     """Headline numbers. Players known to be self-excluded stay out of the churn rate."""
+    w.share("player_daily_activity")
     churned = F.when(F.coalesce("is_self_excluded_as_of", F.lit(False)), None).otherwise(F.col("is_churned").cast("int"))
     rate = w.churn_labels.agg(F.try_divide(F.sum(churned), F.count(churned)))
     return w.player_ltv.agg(

@@ -35,6 +35,7 @@ def naive_features(w: Warehouse) -> DataFrame:
         F.min("event_ts").alias("first_activity"),
         F.max("event_ts").alias("last_activity"),
     )
+    w.share("player_daily_activity")
     as_of = observation_date(w.player_daily_activity, w.at.churn_window_days).scalar()
     return (
         per_player.join(w.raw.players.select("player_id", "signup_ts"), "player_id")
@@ -46,6 +47,7 @@ def naive_features(w: Warehouse) -> DataFrame:
 
 def engineered_features(w: Warehouse) -> DataFrame:
     """Features and label from the marts."""
+    w.share("player_daily_activity")
     return (
         w.player_ltv.join(w.churn_labels.select("player_id", "is_churned", "is_self_excluded_as_of"), "player_id")
         .select(

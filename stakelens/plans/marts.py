@@ -9,46 +9,57 @@ from ..functions import seconds_between, surrogate_key
 from ..operators import lag, ordered, scd_periods
 
 
-def session_activity(sessions: DataFrame, rounds: DataFrame) -> DataFrame:
-    """Totals per session; a session without rounds counts zero. Rounds are aggregated before the join."""
-    totals = rounds.groupBy("session_id").agg(
-        F.count("*").alias("round_count"),
-        F.sum("stake_amount").alias("total_stake"),
-        F.sum("payout_amount").alias("total_payout"),
+def session_stats(
+    rounds: DataFrame, min_gaps: int = 100, max_sd: float = 0.3, max_rows: int | None = None
+) -> DataFrame:
+    """Totals and gap statistics per (session, player), with the bot verdict. ``gaps`` is rounds less one.
+
+    Rounds are by far the largest table. Gaps need them grouped and sorted by session, and the totals follow from the
+    same grouping, so both come out of a single exchange.
+    """
+    timed = ordered(rounds, ["session_id"], ["ts"], max_rows).add(_prev=lag("ts")).result()
+    gap = seconds_between("ts", "_prev")
+    stats = timed.withColumn("_gap", gap).groupBy("session_id", "player_id").agg(
+        F.count("*").alias("rounds"),
+        F.sum("stake_amount").alias("stake"),
+        F.sum("payout_amount").alias("payout"),
+        F.count("_gap").alias("gaps"),
+        F.avg("_gap").alias("avg_gap_seconds"),
+        F.stddev_samp("_gap").alias("stddev_gap_seconds"),
+    )
+    even = (F.col("gaps") >= min_gaps) & (F.col("stddev_gap_seconds") < max_sd)
+    return stats.withColumn("is_bot", F.coalesce(even, F.lit(False)))
+
+
+def bot_sessions(stats: DataFrame) -> DataFrame:
+    """Sessions with many rounds at suspiciously even gaps. ``round_count`` counts the gaps."""
+    return stats.filter("is_bot").select(
+        "session_id", "player_id", F.col("gaps").alias("round_count"), "avg_gap_seconds", "stddev_gap_seconds"
+    )
+
+
+def session_activity(sessions: DataFrame, stats: DataFrame) -> DataFrame:
+    """Totals per session, zero without rounds, and whether the session looks like a bot's."""
+    totals = stats.groupBy("session_id").agg(
+        F.sum("rounds").alias("round_count"),
+        F.sum("stake").alias("total_stake"),
+        F.sum("payout").alias("total_payout"),
+        F.bool_or("is_bot").alias("is_bot"),
     )
     filled = sessions.join(totals, "session_id", "left").select(
         "session_id", "player_id", "device_id", "start_ts", "end_ts", "duration_minutes",
         F.coalesce("round_count", F.lit(0)).alias("round_count"),
         F.coalesce("total_stake", F.lit(0)).alias("total_stake"),
         F.coalesce("total_payout", F.lit(0)).alias("total_payout"),
+        F.coalesce("is_bot", F.lit(False)).alias("is_bot"),
     )
     return filled.withColumn("net_gaming_revenue", F.col("total_stake") - F.col("total_payout"))
 
 
-def bot_sessions(
-    rounds: DataFrame, min_gaps: int = 100, max_sd: float = 0.3, max_rows: int | None = None
-) -> DataFrame:
-    """Sessions with many rounds at suspiciously even gaps. ``round_count`` counts gaps between rounds."""
-    timed = ordered(rounds.select("session_id", "player_id", "ts"), ["session_id"], ["ts"], max_rows)
-    gaps = timed.add(_prev=lag("ts")).result().select(
-        "session_id", "player_id", seconds_between("ts", "_prev").alias("gap")
-    )
-    return (
-        gaps.filter("gap is not null")
-        .groupBy("session_id", "player_id")
-        .agg(
-            F.count("*").alias("round_count"),
-            F.avg("gap").alias("avg_gap_seconds"),
-            F.stddev_samp("gap").alias("stddev_gap_seconds"),
-        )
-        .filter((F.col("round_count") >= min_gaps) & (F.col("stddev_gap_seconds") < max_sd))
-    )
-
-
-def player_daily_activity(activity: DataFrame, bots: DataFrame, payments: DataFrame) -> DataFrame:
+def player_daily_activity(activity: DataFrame, payments: DataFrame) -> DataFrame:
     """Sessions (bots removed) and completed payments per player and day, zero-filled on either side."""
     sessions = (
-        activity.join(bots.select("session_id"), "session_id", "left_anti")
+        activity.filter("not is_bot")
         .groupBy("player_id", F.date_trunc("day", "start_ts").alias("activity_date"))
         .agg(
             F.count("*").alias("session_count"),

@@ -1,4 +1,4 @@
-"""The models wired together over one set of raw tables. Everything is lazy; nothing here starts a job."""
+"""The models wired together over one set of raw tables."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import durable
 from ..sources import events as ev
 from ..sources.raw import fx_rates, read_raw
 from . import marts, rules, staging
@@ -41,11 +42,22 @@ class Thresholds:
 
 
 class Warehouse:
+    """Models by attribute, each built on first use from those it reads. Only :meth:`share` starts jobs."""
+
     def __init__(self, raw, thresholds: Thresholds = Thresholds(), fx_path: str | None = None):
         self.raw = raw
         self.spark: SparkSession = raw.spark
         self.at = thresholds
         self.fx_path = fx_path
+        self._shared: set[str] = set()
+
+    def share(self, *models: str) -> Warehouse:
+        """Write models once that several parts of one query read. Runs a job per model not yet shared."""
+        for model in models:
+            if model not in self._shared:
+                setattr(self, model, durable(getattr(self, model), model))
+                self._shared.add(model)
+        return self
 
     @cached_property
     def fx(self) -> DataFrame:
@@ -91,17 +103,21 @@ class Warehouse:
     def stg_streaming_fraud_flags(self) -> DataFrame:
         return staging.stg_streaming_fraud_flags(self.raw.streaming_fraud_flags)
 
+    @cached_property
+    def session_stats(self) -> DataFrame:
+        return marts.session_stats(self.stg_game_rounds, self.at.bot_min_gaps, self.at.bot_max_sd)
+
     @cached_property
     def session_activity(self) -> DataFrame:
-        return marts.session_activity(self.stg_sessions, self.stg_game_rounds)
+        return marts.session_activity(self.stg_sessions, self.session_stats)
 
     @cached_property
     def bot_sessions(self) -> DataFrame:
-        return marts.bot_sessions(self.stg_game_rounds, self.at.bot_min_gaps, self.at.bot_max_sd)
+        return marts.bot_sessions(self.session_stats)
 
     @cached_property
     def player_daily_activity(self) -> DataFrame:
-        return marts.player_daily_activity(self.session_activity, self.bot_sessions, self.stg_payments)
+        return marts.player_daily_activity(self.session_activity, self.stg_payments)
 
     @cached_property
     def dim_players_scd2(self) -> DataFrame:

@@ -75,7 +75,7 @@ def _models(*names: str) -> None:
 _models(
     "stg_players", "stg_devices", "stg_player_attribute_history", "stg_sessions", "stg_login_events",
     "stg_game_rounds", "stg_payments", "stg_bonuses", "stg_fraud_ground_truth", "stg_streaming_fraud_flags",
-    "session_activity", "bot_sessions", "player_daily_activity", "dim_players_scd2", "player_ltv", "churn_labels",
+    "bot_sessions", "player_daily_activity", "dim_players_scd2", "player_ltv",
     "fraud_summary", "self_exclusion_registry",
 )
 QUERIES["unified_events"] = lambda spark, folder: tidy(warehouse(spark, folder).events)
@@ -97,6 +97,16 @@ for _name in LENS_THRESHOLDS.rules:
     _rule(_name)
 
 
+@query
+def session_activity(w: Warehouse) -> DataFrame:
+    return w.session_activity.drop("is_bot")
+
+
+@query
+def churn_labels(w: Warehouse) -> DataFrame:
+    return w.share("player_daily_activity").churn_labels
+
+
 @query
 def flags_self_exclusion_breach(w: Warehouse) -> DataFrame:
     return rules.self_exclusion_breach(w.events, w.self_exclusion_registry)
@@ -158,7 +168,7 @@ def raw_duplicate_rates(w: Warehouse) -> DataFrame:
 
 @query
 def model_tests(w: Warehouse) -> DataFrame:
-    return quality.model_tests(w)
+    return quality.model_tests(w.share("player_daily_activity"))
 
 
 @query
@@ -228,7 +238,7 @@ def erasure_sample(w: Warehouse) -> DataFrame:
 
 @query
 def classified_columns(w: Warehouse) -> DataFrame:
-    return governance.classified_columns(w.spark, w.governed_models())
+    return governance.classified_columns(w.spark, w.share("player_daily_activity").governed_models())
 
 
 @query
@@ -364,7 +374,7 @@ def bi_ltv_by_country(w: Warehouse) -> DataFrame:
 
 @query
 def bi_churn_composition(w: Warehouse) -> DataFrame:
-    return bi.churn_composition(w.churn_labels)
+    return bi.churn_composition(w.share("player_daily_activity").churn_labels)
 
 
 # Sinks and streams. Each writes to a fresh folder in shared storage and returns what it reads back. --------------
@@ -380,6 +390,7 @@ def synced_flags(w: Warehouse) -> DataFrame:
 @query
 def exported_reports(w: Warehouse) -> DataFrame:
     """Rows of each exported report."""
+    w.share("player_daily_activity")
     target = scratch_dir(w.spark, "reports")
     reports = {
         "fraud_summary": w.fraud_summary,
