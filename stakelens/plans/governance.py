@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import pseudonym
-from ..operators import keep_first
+from ..operators import durable, keep_first
 
 AML_RETENTION_MONTHS = 60
 
@@ -155,13 +155,10 @@ def run_erasure(
 
 def erasure_sample(dim: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
     """One current player per (KYC, exclusion) status with what an erasure would change and keep."""
-    picked = keep_first(
-        dim.filter("is_current").select(
-            "player_id", "vip_tier", "kyc_status", "self_exclusion_status", "risk_segment"
-        ),
-        ["kyc_status", "self_exclusion_status"],
-        ["player_id"],
-    )
+    columns = ["player_id", "vip_tier", "kyc_status", "self_exclusion_status", "risk_segment"]
+    current = dim.filter("is_current").select(*columns)
+    # A row per pair of statuses, read by every join below.
+    picked = durable(keep_first(current, ["kyc_status", "self_exclusion_status"], ["player_id"]))
     touched = erase_dry_run(tables, picked).groupBy("player_id").agg(
         *[
             F.sum(F.when(F.col("field") == f"{n}.{c}", F.col("rows_affected"))).alias(f"{n}_{c}")
@@ -197,9 +194,8 @@ def classification() -> dict[str, dict[str, dict]]:
 
 def classified(df: DataFrame, model: str) -> DataFrame:
     """Attach each governed column's metadata to the frame itself; it survives writing and renaming."""
-    for column, meta in classification().get(model, {}).items():
-        df = df.withMetadata(column, meta)
-    return df
+    meta = classification().get(model, {})
+    return df.select(*[F.col(c).alias(c, metadata=meta[c]) if c in meta else F.col(c) for c in df.columns])
 
 
 def catalogue(spark: SparkSession, models: Mapping[str, DataFrame]) -> DataFrame:

@@ -115,7 +115,8 @@ def suspicious_logins(events: DataFrame, known_ttl_days: int | None = 400) -> Da
         logins = _memory_epochs(logins, "country_from_ip", known_ttl_days, "_geos")
     at = F.struct(*ORDER)
     new_device = keep_first(logins, ["player_id", "_devices", "device_id"], ORDER)
-    first_login = logins.groupBy("player_id", "_devices").agg(F.min(at).alias("_first"))
+    # A player's first login is on a new device too, so the few new-device rows are enough to find it.
+    first_login = new_device.groupBy("player_id", "_devices").agg(F.min(at).alias("_first"))
     first_geo = (
         logins.filter("country_from_ip is not null")
         .groupBy("player_id", "_geos", "country_from_ip")
@@ -140,7 +141,8 @@ def account_takeover(
 
     A newer suspicious login replaces the pending one, a withdrawal elsewhere leaves it, a match consumes it.
     """
-    suspects = suspicious_logins(events, known_ttl_days)
+    # Rare, expensive to find and read twice below: written once, after which the planner knows how small it is.
+    suspects = durable(suspicious_logins(events, known_ttl_days), "suspicious-logins")
     pending = F.struct("device_id", F.col("entity_id").alias("login_id"), F.col("ts").alias("login_ts"))
     # Only players with a suspicious login can match, so few withdrawals reach the sort.
     withdrawals = (

@@ -30,6 +30,9 @@ class RawTables:
         setattr(self, name, found)
         return found
 
+    def has(self, name: str) -> bool:
+        return read_raw(self.spark, self.dirs, name) is not None
+
 
 @dataclass(frozen=True)
 class Thresholds:
@@ -50,11 +53,12 @@ class Warehouse:
         self.at = thresholds
         self.fx_path = fx_path
         self._shared: set[str] = set()
+        self.written = False  # set once all models are tables, after which there is nothing left to share
 
     def share(self, *models: str) -> Warehouse:
         """Write models once that several parts of one query read. Runs a job per model not yet shared."""
         for model in models:
-            if model not in self._shared:
+            if model not in self._shared and not self.written:
                 setattr(self, model, durable(getattr(self, model), model))
                 self._shared.add(model)
         return self

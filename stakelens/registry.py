@@ -364,7 +364,7 @@ def bi_exposure(w: Warehouse) -> DataFrame:
 
 @query
 def bi_ltv_histogram(w: Warehouse) -> DataFrame:
-    return bi.ltv_histogram(w.player_ltv)
+    return bi.ltv_histogram(w.share("player_ltv").player_ltv)
 
 
 @query
