@@ -195,6 +195,14 @@ _BASIS = "case retention_category " + " ".join(
     f"when '{c}' then '{b}'" for c, (_, b) in RETENTION_POLICY.items()) + " end"
 
 REPORT_SELECTS: dict[str, str] = {
+    "flags_stamped": """
+select sha256(scenario_type || '|' || entity_type || '|' || entity_id || '|' || raised_by || '|'
+              || epoch_us(triggering_event_ts)) as flag_id,
+       scenario_type, entity_type, entity_id, player_id, triggering_event_ts,
+       make_timestamp(epoch_us(raised_ts) + cast(round((0.2::double + ('0x' || substr(md5(raised_by || '|'
+         || epoch_us(raised_ts)), 1, 8))::bigint / 4294967296.0::double * 1.3::double) * 1e6) as bigint)) as detected_ts,
+       severity
+from flags_all_rules""",
     "replayed_events": """
 select event_type, entity_id, player_id, device_id, session_id, payment_type,
        round(cast(amount as double), 6) as amount, currency, round(cast(amount_gbp as double), 6) as amount_gbp,

@@ -256,7 +256,8 @@ def run_rules(
 
 def stamp_detection(flags: DataFrame, low: float = 0.2, high: float = 1.5) -> DataFrame:
     """Flag id and simulated detection time, both functions of the flag, so that a rerun writes the same rows."""
-    spread = F.pmod(F.xxhash64("raised_by", "raised_ts"), F.lit(1_000_000)) / F.lit(1e6)
+    raised = F.concat_ws("|", F.col("raised_by").cast("string"), F.unix_micros("raised_ts").cast("string"))
+    spread = F.conv(F.substring(F.md5(raised), 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
     delay = F.lit(low) + spread * F.lit(high - low)
     identity = [F.col(c).cast("string") for c in ("scenario_type", "entity_type", "entity_id", "raised_by")]
     return flags.select(

@@ -29,8 +29,8 @@ def test_query(spark, con, name):
         assert got
 
 
-def test_only_two_queries_lack_a_twin():
-    assert set(entry.queries()) - set(ORACLES) == {"flags_stamped", "churn_model_comparison"}
+def test_only_the_model_lacks_a_twin():
+    assert set(entry.queries()) - set(ORACLES) == {"churn_model_comparison"}
     assert set(ORACLES) <= set(entry.queries())
 
 
