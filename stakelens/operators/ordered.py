@@ -8,7 +8,7 @@ then runs inside (slice, key), and a summary of one row per (key, slice) carries
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -150,10 +150,23 @@ class Ordered:
         return self.df.drop(SLICE, TIE)
 
 
+def _nodes(plan) -> Iterator:
+    yield plan
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _nodes(children.apply(i))
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files and tables below a plan, from Catalyst's statistics. Reads no data."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return sum(int(n.stats().sizeInBytes()) for n in _nodes(plan) if n.children().isEmpty())
+
+
+def is_plain_scan(df: DataFrame) -> bool:
+    """Whether reading the frame twice costs no more than two scans."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return all(n.nodeName() in {"Project", "Filter", "Union"} for n in _nodes(plan) if not n.children().isEmpty())
 
 
 def ordered(df: DataFrame, keys: list[str], order: list[str], max_rows: int | None = None) -> Ordered:
@@ -164,13 +177,16 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], max_rows: int | No
         if input_bytes(df) <= int(conf.get(SMALL_INPUT_SETTING, str(SMALL_INPUT_DEFAULT))):
             return Ordered(df, keys, order, sliced=False)
 
+    # The frame is read to count its keys and again to order its rows; joins and shuffles below it must not run twice.
+    if not is_plain_scan(df):
+        df = durable(df, "unordered")
     size = df.groupBy(*keys).count().agg(F.max("count").alias("widest"), F.sum("count").alias("rows")).first()
     if (size["widest"] or 0) <= max_rows:
         return Ordered(df, keys, order, sliced=False)
 
     slices = max(int(conf.get("spark.sql.shuffle.partitions")), -(-size["rows"] // max_rows))
     # TIE lets even exact copies of one row be cut between slices. It and the slice number are only stable once
-    # written, hence the checkpoint.
+    # written.
     cut = (
         df.withColumn(TIE, F.monotonically_increasing_id())
         .repartitionByRange(slices, *keys, *order, TIE)

@@ -149,26 +149,28 @@ def churn_labels(daily: DataFrame, dim: DataFrame, players: DataFrame, window_da
 _ENTITY = ["scenario_type", "entity_type", "entity_id"]
 
 
-def true_positives(truth: DataFrame, flags: DataFrame) -> DataFrame:
-    """Event-level ground truth with the flags that hit it; misses keep a null flag."""
-    labels = truth.filter("entity_type <> 'player'").select(*_ENTITY)
-    return labels.join(flags.select(*_ENTITY, "flag_id", "detection_latency_seconds"), _ENTITY, "left")
-
-
-def false_positives(truth: DataFrame, flags: DataFrame) -> DataFrame:
-    """Flags without an event-level label."""
-    labels = truth.filter("entity_type <> 'player'").select(*_ENTITY)
-    return flags.join(labels, _ENTITY, "left_anti").select("scenario_type", "flag_id")
+def flags_per_entity(flags: DataFrame) -> DataFrame:
+    """Flags of each (scenario, entity): how many, and their latencies. An entity may be flagged any number of times,
+    so they are counted before anything is joined."""
+    return flags.groupBy(*_ENTITY).agg(
+        F.countDistinct("flag_id").alias("flags"),
+        F.sum("detection_latency_seconds").alias("latency"),
+        F.count("detection_latency_seconds").alias("timed"),
+    )
 
 
 def fraud_summary(truth: DataFrame, flags: DataFrame) -> DataFrame:
     """Detector score per (scenario, entity type). False positives are counted per scenario."""
-    caught = true_positives(truth, flags).groupBy("scenario_type", "entity_type").agg(
+    labels = truth.filter("entity_type <> 'player'").select(*_ENTITY)
+    hits = flags_per_entity(flags)
+    caught = labels.join(hits, _ENTITY, "left").groupBy("scenario_type", "entity_type").agg(
         F.countDistinct("entity_id").alias("ground_truth_count"),
-        F.countDistinct("flag_id").alias("true_positive_count"),
-        F.avg("detection_latency_seconds").alias("_latency"),
+        F.coalesce(F.sum("flags"), F.lit(0)).alias("true_positive_count"),
+        F.try_divide(F.sum("latency"), F.sum("timed")).alias("_latency"),
+    )
+    false = hits.join(labels, _ENTITY, "left_anti").groupBy("scenario_type").agg(
+        F.sum("flags").alias("false_positive_count")
     )
-    false = false_positives(truth, flags).groupBy("scenario_type").agg(F.count("*").alias("false_positive_count"))
     share = F.try_divide(F.col("true_positive_count"), F.col("ground_truth_count"))
     return caught.join(false, "scenario_type", "left").select(
         "scenario_type",

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from stakelens.operators.ordered import MAX_ROWS_SETTING, SMALL_INPUT_SETTING, is_plain_scan
 from stakelens.operators import asof_lookup, keep_first, lag, last_value, lead, ordered, running_max_before, running_sum
 
 
@@ -40,6 +41,27 @@ def test_exact_copies_can_be_cut_apart(spark):
     assert out.df.groupBy("_slice").count().agg(F.max("count")).first()[0] < 203
 
 
+def test_large_inputs_are_measured_first(spark, rows, tmp_path):
+    rows.write.parquet(f"{tmp_path}/rows")
+    scan = spark.read.parquet(f"{tmp_path}/rows").filter("n > 0")
+    grouped = scan.groupBy("k", "at").agg(F.max("v").alias("v"))
+    assert is_plain_scan(scan) and not is_plain_scan(grouped)
+    assert not ordered(scan, ["k"], ["at"]).sliced, "small files need no count"
+    try:
+        spark.conf.set(SMALL_INPUT_SETTING, "0")
+        assert not ordered(scan, ["k"], ["at"]).sliced, "counted, and no key is too wide"
+        spark.conf.set(MAX_ROWS_SETTING, "50")
+        for df in (scan, grouped):
+            cut = ordered(df, ["k"], ["at"])
+            assert cut.sliced
+            before = cut.add(before=lag("v")).result().select("k", "at", "before")
+            plain = ordered(df, ["k"], ["at"], 10_000).add(before=lag("v")).result().select("k", "at", "before")
+            assert sorted(map(tuple, before.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    finally:
+        spark.conf.unset(SMALL_INPUT_SETTING)
+        spark.conf.unset(MAX_ROWS_SETTING)
+
+
 def test_keep_first_limits_before_the_exchange(spark, rows):
     first = keep_first(rows, ["k"], ["n"])
     plan = first._jdf.queryExecution().executedPlan().toString()
