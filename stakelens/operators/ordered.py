@@ -108,6 +108,7 @@ class Ordered:
     keys: list[str]
     order: list[str]
     sliced: bool
+    pending: bool = False  # sliced rows with steps that are not written yet
 
     def add(self, **steps: Step) -> Ordered:
         """Add one column per step. Steps added together share one sort and one carry join."""
@@ -115,10 +116,12 @@ class Ordered:
             w = Window.partitionBy(*self.keys).orderBy(*self.order)
             return replace(self, df=self.df.withColumns({n: s.plain(w) for n, s in steps.items()}))
 
+        # A step reads its input twice. Writing what earlier steps added keeps a chain of steps linear.
+        df = durable(self.df, "sliced") if self.pending else self.df
         inside = Window.partitionBy(SLICE, *self.keys).orderBy(*self.order)
         across = Window.partitionBy(*self.keys).orderBy(SLICE)
         at = F.struct(*self.order)
-        heads = self.df.groupBy(*self.keys, SLICE).agg(*[s.head(at).alias(n) for n, s in steps.items()])
+        heads = df.groupBy(*self.keys, SLICE).agg(*[s.head(at).alias(n) for n, s in steps.items()])
         names = {k: f"_k_{k}" for k in [*self.keys, SLICE]}
         carry = heads.select(
             *[F.col(k).alias(v) for k, v in names.items()],
@@ -128,13 +131,12 @@ class Ordered:
         # holds at most two rows per boundary whatever the data size, and broadcasting it is bounded.
         match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(v)) for k, v in names.items()])
         out = (
-            self.df.withColumns({n: s.inside(inside) for n, s in steps.items()})
+            df.withColumns({n: s.inside(inside) for n, s in steps.items()})
             .join(F.broadcast(carry), match, "left")
             .withColumns({n: s.merge(F.col(n), F.col(f"_c_{n}")) for n, s in steps.items()})
             .drop(*names.values(), *[f"_c_{n}" for n in steps])
         )
-        # Each step reads its input twice; writing it keeps a chain of steps linear.
-        return replace(self, df=durable(out))
+        return replace(self, df=out, pending=True)
 
     def with_columns(self, **columns: Column) -> Ordered:
         return replace(self, df=self.df.withColumns(columns))
@@ -192,4 +194,4 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], max_rows: int | No
         .repartitionByRange(slices, *keys, *order, TIE)
         .withColumn(SLICE, F.spark_partition_id())
     )
-    return Ordered(durable(cut), keys, [*order, TIE], sliced=True)
+    return Ordered(durable(cut, "sliced"), keys, [*order, TIE], sliced=True)

@@ -7,11 +7,14 @@ frame as given: retried copies count, unless the caller removes them first. Flag
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seconds_between
 from ..operators import durable, keep_first, lag, last_value, lead, ordered, running_sum
+from ..operators.ordered import SLICE, Ordered
 
 ORDER = ["ts", "seq", "entity_id"]
 DAY = 86_400
@@ -34,30 +37,66 @@ def _seconds(n: float) -> Column:
     return F.expr(f"interval {n} seconds")
 
 
+def _recent_bins(rows: Ordered, places: int) -> Ordered:
+    """Columns ``_bin1`` .. ``_binN``: the latest uses of the N most recent distinct BINs, newest first.
+
+    A deposit whose BIN is not among the first q-1 pushes the (q-1)th entry down to place q; otherwise place q stays.
+    Linear in the deposits, no arrays, and a null BIN is a value like any other.
+    """
+    rows = rows.with_columns(_bin1=F.struct("card_bin", *rows.order))
+    unseen = F.lit(True)
+    for place in range(2, places + 1):
+        above = f"_was{place - 1}"
+        rows = rows.add(**{above: lag(f"_bin{place - 1}")})
+        unseen = unseen & ~F.col("card_bin").eqNullSafe(F.col(above)["card_bin"])
+        rows = rows.add(**{f"_bin{place}": last_value(F.when(F.col(above).isNotNull() & unseen, F.col(above)))})
+    return rows
+
+
+def _seeded_slices(rows: Ordered, places: int) -> Ordered:
+    """Put the recent BINs at the end of each slice in front of the player's next slice.
+
+    A slice is summed up by its most recent distinct BINs, a handful of rows, and the recent BINs after every slice
+    follow from these alone. With them as seed rows, slices no longer depend on each other.
+    """
+    newest_first = Window.partitionBy("player_id", SLICE).orderBy(F.desc("_at"))
+    tails = (
+        rows.df.groupBy("player_id", SLICE, "card_bin").agg(F.max(F.struct(*rows.order)).alias("_at"))
+        .withColumn("_rank", F.row_number().over(newest_first)).filter(F.col("_rank") <= places)
+        .select("player_id", SLICE, "card_bin", "_rank", "_at.*")
+    )
+    after = _recent_bins(Ordered(tails, ["player_id"], [SLICE, *rows.order], sliced=False), places).df
+    ends = after.filter("_rank = 1").select(
+        "player_id", SLICE, F.array(*[f"_bin{n}" for n in range(1, places + 1)]).alias("_bins")
+    )
+    following = Ordered(ends, ["player_id"], [SLICE], sliced=False).add(_next=lead(SLICE)).df
+    seeds = (
+        following.filter("_next is not null").select("player_id", F.col("_next").alias(SLICE), F.explode("_bins").alias("_b"))
+        .filter("_b is not null")
+        .select("player_id", SLICE, "_b.card_bin", *[F.col(f"_b.{c}") for c in rows.order], F.lit(True).alias("_seed"))
+    )
+    both = rows.df.withColumn("_seed", F.lit(False)).unionByName(seeds)
+    return Ordered(both, [SLICE, "player_id"], rows.order, sliced=False)
+
+
 def card_testing(
     events: DataFrame, window_seconds: int = 600, min_bins: int = 3, max_rows: int | None = None
 ) -> DataFrame:
     """Deposits that see at least ``min_bins`` distinct card BINs in the trailing window.
 
-    Instead of collecting each window, keep the ``min_bins`` most recent distinct BINs of the player, newest first,
-    with their latest use. A deposit whose BIN is not among the first q-1 pushes the (q-1)th entry down to place q;
-    otherwise place q stays. The window holds enough BINs when the last place is young enough. Linear in the
-    deposits, no arrays, and a null BIN is a value like any other.
+    Instead of collecting each window, keep the player's ``min_bins`` most recent distinct BINs with their latest use.
+    The window holds enough BINs when the last of them is young enough.
     """
     deposits = events.filter("event_type = 'payment' and payment_type = 'deposit'").select(
         "player_id", "card_bin", *ORDER
     )
-    rows = ordered(deposits, ["player_id"], ORDER, max_rows).with_columns(_bin1=F.struct("card_bin", "ts"))
-    unseen = F.lit(True)
-    for place in range(2, min_bins + 1):
-        above = f"_was{place - 1}"
-        rows = rows.add(**{above: lag(f"_bin{place - 1}")})
-        unseen = unseen & ~F.col("card_bin").eqNullSafe(F.col(above)["card_bin"])
-        rows = rows.add(**{f"_bin{place}": last_value(F.when(F.col(above).isNotNull() & unseen, F.col(above)))})
+    rows = ordered(deposits, ["player_id"], ORDER, max_rows)
+    if rows.sliced:
+        found = _recent_bins(_seeded_slices(rows, min_bins), min_bins).df.filter("not _seed")
+    else:
+        found = _recent_bins(rows, min_bins).df
     oldest = F.col(f"_bin{min_bins}")["ts"]
-    return _flags(
-        rows.result().filter(oldest >= F.col("ts") - _seconds(window_seconds)), "card_testing", "payment"
-    )
+    return _flags(found.filter(oldest >= F.col("ts") - _seconds(window_seconds)), "card_testing", "payment")
 
 
 def bonus_ring(events: DataFrame, gap_seconds: int = 6 * 3600, max_rows: int | None = None) -> DataFrame:
@@ -240,16 +279,24 @@ def structuring(
     )
 
 
+KEYED_RULES = (card_testing, bonus_ring, account_takeover, bot_betting, structuring)
+
+
 def run_rules(
-    events: DataFrame, registry: DataFrame, settings: dict[str, dict] | None = None
+    events: DataFrame,
+    registry: DataFrame,
+    settings: dict[str, dict] | None = None,
+    rules: Sequence[Callable[..., DataFrame]] = KEYED_RULES,
 ) -> DataFrame:
-    """All six rules. ``settings`` overrides thresholds per rule, e.g. ``{"card_testing": {"min_bins": 4}}``.
+    """All rules. ``settings`` overrides thresholds by rule name, e.g. ``{"card_testing": {"min_bins": 4}}``.
 
-    The event kind is a literal in each branch of the unified frame, so each rule scans only its own tables.
+    A rule is any function from the event frame to flags in the columns of the built-in ones, so further rules are
+    added by passing them. The event kind is a literal in each branch of the unified frame, hence each rule scans
+    only its own tables.
     """
     settings = settings or {}
     out = self_exclusion_breach(events, registry)
-    for rule in (card_testing, bonus_ring, account_takeover, bot_betting, structuring):
+    for rule in rules:
         out = out.unionByName(rule(events, **settings.get(rule.__name__, {})))
     return out
 

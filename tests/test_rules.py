@@ -113,3 +113,13 @@ def test_detection_stamp_is_repeatable(spark):
     assert first == second
     late = rules.stamp_detection(flags).selectExpr("unix_micros(detected_ts) - unix_micros(triggering_event_ts) as d")
     assert late.filter("d < 200000").count() == 0
+
+
+def test_own_rules_join_the_others(spark):
+    def every_bonus(events, minimum=1):
+        return rules._flags(events.filter("event_type = 'bonus_claim'"), "every_bonus", "bonus_claim")
+
+    events = make(1, n=80)
+    flags = rules.run_rules(frame(spark, events), registry(spark, SINCE), rules=[every_bonus])
+    kinds = {r.scenario_type: r["count"] for r in flags.groupBy("scenario_type").count().collect()}
+    assert kinds["every_bonus"] == sum(e["event_type"] == "bonus_claim" for e in events)
