@@ -92,6 +92,18 @@ def _erased(table: str, column: str, value: str) -> str:
             f" then {value} else cast({column} as varchar) end as {column}) from {table}")
 
 
+def _audit(requests: str, at: str, expires: str) -> str:
+    return f"""
+select substr(sha256(who || '|' || epoch_us(done)), 1, 32) as erasure_id, who as player_id_pseudonym,
+       done as processed_at,
+       '{{"sessions":["ip_address"],"login_events":["ip_address"],"players":["date_of_birth"]}}'
+         as pseudonymised_fields,
+       '{{{",".join(f'"{t}":"{r}"' for t, r in RETAINED_TABLES.items())}}}' as retained_tables,
+       '{expires}' as retention_expires_at
+from (select 'erased:' || substr(sha256('{_SALT}:' || player_id), 1, 32) as who,
+             timestamp '{at}' as done from {requests}) r"""
+
+
 _HASHED = f"'erased:' || substr(sha256('{_SALT}:' || ip_address), 1, 32)"
 _KEPT = [t for t in RETAINED_TABLES if t != "devices"]
 _KEPT_IDS = " union all ".join(
@@ -163,6 +175,11 @@ select score, sum(label) as pos, sum(1 - label) as neg,
        sum(sum(label)) over (order by score desc) as cum_pos, sum(sum(1 - label)) over (order by score desc) as cum_neg
 from (select cast(is_churned as int) as label, 1 / (1 + cast(total_sessions as double)) as score from engineered) s
 group by score""",
+    "fanout": """
+select (select count(*) from raw_players) as players, (select count(*) from raw_payments) as payments,
+       (select count(*) from raw_game_rounds) as game_rounds,
+       (select cast(count(*) as double) from raw_payments p join raw_game_rounds g using (player_id))
+         as naive_join_rows""",
     "timeline": """
 select player_id, country, valid_from, valid_to, is_current, vip_tier, kyc_status, self_exclusion_status, risk_segment
 from dim_players_scd2 where player_id in (
@@ -242,15 +259,11 @@ where a.effective_ts + interval 90 day > b.effective_ts group by 1, 2""",
     + _erased("raw_login_events", "ip_address", _HASHED) + ") e",
     "erased_players": _erased("raw_players", "date_of_birth", "null"),
     "erasure_dry_run": "select * from touched",
-    "erasure_audit": f"""
-select substr(sha256(who || '|' || epoch_us(done)), 1, 32) as erasure_id, who as player_id_pseudonym,
-       done as processed_at,
-       '{{"sessions":["ip_address"],"login_events":["ip_address"],"players":["date_of_birth"]}}'
-         as pseudonymised_fields,
-       '{{{",".join(f'"{t}":"{r}"' for t, r in RETAINED_TABLES.items())}}}' as retained_tables,
-       '2029-02-28' as retention_expires_at
-from (select 'erased:' || substr(sha256('{_SALT}:' || player_id), 1, 32) as who,
-             timestamp '2024-02-29 12:00:00' as done from self_exclusion_registry) r""",
+    "erasure_audit": _audit("self_exclusion_registry", "2024-02-29 12:00:00", "2029-02-28"),
+    "appended_audit": _audit("self_exclusion_registry", "2024-02-29 12:00:00", "2029-02-28")
+    + " union all " + _audit("raw_players", "2024-03-01 12:00:00", "2029-03-01"),
+    "replaced_table": "select * from self_exclusion_registry",
+    "metrics_document": "select * from fanout",
     "retained_row_counts": "select * from kept",
     "erasure_sample": """
 select d.player_id, d.vip_tier, d.kyc_status, d.self_exclusion_status, d.risk_segment,
@@ -318,11 +331,7 @@ from (select e.entity_id, e.injected_ts, d.risk_segment as then_value
 join (select e.entity_id, e.injected_ts, d.risk_segment as now_value
       from stg_fraud_ground_truth e join dim_players_scd2 d on d.player_id = e.entity_id and d.is_current
       where e.entity_type = 'player') b using (entity_id, injected_ts)""",
-    "join_fanout": """
-select (select count(*) from raw_players) as players, (select count(*) from raw_payments) as payments,
-       (select count(*) from raw_game_rounds) as game_rounds,
-       (select cast(count(*) as double) from raw_payments p join raw_game_rounds g using (player_id))
-         as naive_join_rows""",
+    "join_fanout": "select * from fanout",
     "totals_before_join": f"""
 select p.player_id, {_d('d.deposits', 'deposits')}, {_d('s.stake', 'stake')} from raw_players p
 left join (select player_id, sum(amount) as deposits from raw_payments group by 1) d using (player_id)

@@ -13,7 +13,7 @@ from .plans import bi, churn, distortion, governance, quality, rules
 from .plans.warehouse import Thresholds, Warehouse
 from .sources.events import event_stream, replay_slice, to_messages
 from .sources.lens import Lens
-from .sources.sinks import export_reports, sync_flags
+from .sources.sinks import append_audit, export_reports, replace_table, sync_flags, write_metrics
 from .streaming import detector
 from .streaming.processors import PlayerRules
 
@@ -387,6 +387,31 @@ def synced_flags(w: Warehouse) -> DataFrame:
     return w.spark.read.parquet(target)
 
 
+@query
+def replaced_table(w: Warehouse) -> DataFrame:
+    """Load a table, then load it again with other columns."""
+    path = scratch_dir(w.spark, "registry")
+    replace_table(w.self_exclusion_registry.select("player_id"), "stakelens_self_exclusion", path)
+    replace_table(w.self_exclusion_registry, "stakelens_self_exclusion", path)
+    return w.spark.table("stakelens_self_exclusion")
+
+
+@query
+def appended_audit(w: Warehouse) -> DataFrame:
+    path = scratch_dir(w.spark, "audit")
+    append_audit(governance.audit_rows(_requests(w), SALT, "2024-02-29 12:00:00"), path)
+    append_audit(governance.audit_rows(w.raw.players, SALT, "2024-03-01 12:00:00"), path)
+    return w.spark.read.parquet(path)
+
+
+@query
+def metrics_document(w: Warehouse) -> DataFrame:
+    path = scratch_dir(w.spark, "metrics")
+    metrics = distortion.join_fanout(w)
+    write_metrics(metrics, path)
+    return w.spark.read.schema(metrics.schema).json(path)
+
+
 @query
 def exported_reports(w: Warehouse) -> DataFrame:
     """Rows of each exported report."""

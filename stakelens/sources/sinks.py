@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..schemas import RAW
 
 
-def replace_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> None:
-    """Full load: the table is replaced, whatever it looked like before."""
+def replace_table(df: DataFrame, name: str, path: str | None = None) -> None:
+    """Full load: the table is replaced, columns included. ``path`` keeps its files outside the warehouse folder."""
     writer = df.write.mode("overwrite").option("overwriteSchema", True)
-    (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(name)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:

@@ -42,19 +42,30 @@ class PlayerRules(NamedTuple):
 class _InOrder(StatefulProcessor):
     quiet_us: int  # how long a key stays in state after its last event
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.clock = handle.getValueState("clock", "last_us bigint")
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["us", "seq", "entity_id"], kind="stable")
         flags = self.consume(batch)
-        self._remind(int(batch["us"].iloc[-1]))
-        yield pd.DataFrame(flags, columns=FLAG_OUT.names)
+        last = int(batch["us"].iloc[-1])
+        if not self.clock.exists():  # a key in state always has one timer
+            self._remind(last)
+        self.clock.update((last,))
+        if flags:
+            yield pd.DataFrame(flags, columns=FLAG_OUT.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.forget()
-        yield pd.DataFrame([], columns=FLAG_OUT.names)
+        last = self.clock.get()[0]
+        if (last + self.quiet_us) // 1000 >= expiredTimerInfo.getExpiryTimeInMs():
+            self._remind(last)  # there were events since the timer was set
+        else:
+            self.clock.clear()
+            self.forget()
+        yield from ()
 
     def _remind(self, last_us: int) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
         self.handle.registerTimer((last_us + self.quiet_us) // 1000 + 1)
 
     def consume(self, batch: pd.DataFrame) -> list[tuple]:
@@ -67,6 +78,27 @@ class _InOrder(StatefulProcessor):
         pass
 
 
+class _Known:
+    """The keys of a map state, each looked up at most once per call."""
+
+    def __init__(self, state):
+        self.state = state
+        self.seen: dict[str, bool] = {}
+
+    def __contains__(self, value) -> bool:
+        if value not in self.seen:
+            self.seen[value] = self.state.containsKey((value,))
+        return self.seen[value]
+
+    def add(self, value, us: int) -> None:
+        self.state.updateValue((value,), (us,))
+        self.seen[value] = True
+
+    def clear(self) -> None:
+        self.state.clear()
+        self.seen.clear()
+
+
 def _missing(value) -> bool:
     return value is None or value != value
 
@@ -82,7 +114,7 @@ class PlayerProcessor(_InOrder):
         ) * SECOND)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        super().init(handle)
         self.bins = handle.getListState("bins", "card_bin string, us bigint")
         self.large = handle.getListState("large", "us bigint")
         self.pending = handle.getValueState("pending", "device_id string, login_id string, us bigint")
@@ -100,26 +132,27 @@ class PlayerProcessor(_InOrder):
         large = [v[0] for v in self.large.get()] if self.large.exists() else []
         pending = tuple(self.pending.get()) if self.pending.exists() else None
         devices_us, geos_us = self.rewritten.get() if self.rewritten.exists() else (None, None)
+        devices, geos = _Known(self.devices), _Known(self.geos)
         known_ttl = int(r.known_ttl_days * 86_400 * SECOND)
         flags: list[tuple] = []
 
         for e in batch.itertuples(index=False):
             if e.event_type == "login":
                 if devices_us is not None and e.us > devices_us + known_ttl:
-                    self.devices.clear()
+                    devices.clear()
                     devices_us = None
                 if geos_us is not None and e.us > geos_us + known_ttl:
-                    self.geos.clear()
+                    geos.clear()
                     geos_us = None
                 has_history = devices_us is not None
-                new_device = not self.devices.containsKey((e.device_id,))
+                new_device = e.device_id not in devices
                 no_geo = _missing(e.country_from_ip)
-                new_geo = no_geo or not self.geos.containsKey((e.country_from_ip,))
+                new_geo = no_geo or e.country_from_ip not in geos
                 if new_device:
-                    self.devices.updateValue((e.device_id,), (e.us,))
+                    devices.add(e.device_id, e.us)
                     devices_us = e.us
                 if new_geo and not no_geo:
-                    self.geos.updateValue((e.country_from_ip,), (e.us,))
+                    geos.add(e.country_from_ip, e.us)
                     geos_us = e.us
                 if new_device and new_geo and has_history:
                     pending = (e.device_id, e.entity_id, e.us)
@@ -161,7 +194,7 @@ class RingProcessor(_InOrder):
         self.quiet_us = int(gap_seconds * SECOND)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        super().init(handle)
         self.claimants = handle.getMapState("claimants", "player_id string", "us bigint")
         self.last = handle.getValueState("last", "us bigint")
 
@@ -171,15 +204,16 @@ class RingProcessor(_InOrder):
 
     def consume(self, batch: pd.DataFrame) -> list[tuple]:
         last = self.last.get()[0] if self.last.exists() else None
+        claimants = _Known(self.claimants)
         flags = []
         for e in batch.itertuples(index=False):
             if last is not None and e.us > last + self.quiet_us:
-                self.claimants.clear()
+                claimants.clear()
                 last = None
-            if not self.claimants.containsKey((e.player_id,)):
+            if e.player_id not in claimants:
                 if last is not None:
                     flags.append(("bonus_abuse_ring", "bonus_claim", e.entity_id, e.player_id, e.us, e.us, e.entity_id))
-                self.claimants.updateValue((e.player_id,), (e.us,))
+                claimants.add(e.player_id, e.us)
             last = e.us
         self.last.update((last,))
         return flags
@@ -194,7 +228,7 @@ class SessionProcessor(_InOrder):
         self.quiet_us = int(ttl_seconds * SECOND)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        super().init(handle)
         self.stats = handle.getValueState("stats", "n bigint, mean double, m2 double, us bigint, flagged boolean")
 
     def forget(self) -> None:
