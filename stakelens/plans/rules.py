@@ -117,7 +117,13 @@ def bonus_ring(events: DataFrame, gap_seconds: int = 6 * 3600, max_rows: int | N
     return _flags(later.filter(F.struct(*ORDER) > F.col("_first")), "bonus_abuse_ring", "bonus_claim")
 
 
-def _memory_epochs(logins: DataFrame, what: str, ttl_days: int, name: str) -> DataFrame:
+def _lifetimes(logins: DataFrame, ttl_days: int) -> int:
+    """How many times a list that lasts ``ttl_days`` can be forgotten within the history."""
+    span = logins.agg(F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))).first()[0] or 0
+    return int(span // (ttl_days * DAY * 1_000_000))
+
+
+def _memory_epochs(logins: DataFrame, what: str, ttl_days: int, lifetimes: int, name: str) -> DataFrame:
     """Number the lifetimes of a player's list of known ``what``.
 
     The list is rewritten when a new value appears and forgotten ``ttl_days`` after its last rewrite; the next login
@@ -125,9 +131,8 @@ def _memory_epochs(logins: DataFrame, what: str, ttl_days: int, name: str) -> Da
     passes is the length of the history divided by the lifetime: none for histories shorter than that.
     """
     rows = logins.withColumn(name, F.lit(0))
-    ends = logins.agg(F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))).first()[0] or 0
     ttl = F.expr(f"interval {int(ttl_days)} days")
-    for epoch in range(int(ends // (ttl_days * DAY * 1_000_000))):
+    for epoch in range(lifetimes):
         known = rows.filter((F.col(name) == epoch) & F.col(what).isNotNull())
         fresh = keep_first(known, ["player_id", what], ORDER).select("player_id", *ORDER)
         spans = ordered(fresh, ["player_id"], ORDER).add(_next=lead("ts")).result()
@@ -150,8 +155,9 @@ def suspicious_logins(events: DataFrame, known_ttl_days: int | None = 400) -> Da
     if known_ttl_days is None:
         logins = logins.withColumns({"_devices": F.lit(0), "_geos": F.lit(0)})
     else:
-        logins = _memory_epochs(logins, "device_id", known_ttl_days, "_devices")
-        logins = _memory_epochs(logins, "country_from_ip", known_ttl_days, "_geos")
+        lifetimes = _lifetimes(logins, known_ttl_days)
+        logins = _memory_epochs(logins, "device_id", known_ttl_days, lifetimes, "_devices")
+        logins = _memory_epochs(logins, "country_from_ip", known_ttl_days, lifetimes, "_geos")
     at = F.struct(*ORDER)
     new_device = keep_first(logins, ["player_id", "_devices", "device_id"], ORDER)
     # A player's first login is on a new device too, so the few new-device rows are enough to find it.

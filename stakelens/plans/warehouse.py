@@ -8,8 +8,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import durable
+from ..schemas import RAW
+from ..session import size_shuffles
 from ..sources import events as ev
-from ..sources.raw import fx_rates, read_raw
+from ..sources.raw import fx_rates, path_bytes, read_raw
 from . import marts, rules, staging
 from .governance import classification, classified
 
@@ -20,6 +22,7 @@ class RawTables:
     def __init__(self, spark: SparkSession, *dirs: str):
         self.spark = spark
         self.dirs = list(dirs)
+        size_shuffles(spark, path_bytes(spark, *[f"{d}/{name}.parquet" for d in dirs for name in RAW]))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

@@ -10,7 +10,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import prepare
+from ..session import prepare, size_shuffles
+from .raw import path_bytes
 
 _CURRENCY = (
     "case c_nationkey % 7 when 0 then 'gbp' when 1 then 'eur' when 2 then 'sek' when 3 then 'dkk'"
@@ -126,6 +127,7 @@ class Lens:
         self.spark = prepare(spark)
         self.folder = folder
         self.stream = stream
+        size_shuffles(self.spark, path_bytes(self.spark, *[f"{folder}/{t}.parquet" for t in _TABLES]))
 
     def table(self, name: str) -> DataFrame:
         if self.stream and name == "events":

@@ -42,3 +42,17 @@ def test_gate_stops_the_job(spark, raw_dir, tmp_path):
     with pytest.raises(quality.QualityGateError, match="in_set"):
         batch.gate(RawTables(spark, raw_dir), str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/quality/raw_gate").count() == 39
+
+
+def test_shuffles_grow_with_the_input(spark, raw_dir):
+    from stakelens.session import size_shuffles
+    from stakelens.sources.raw import path_bytes
+
+    assert 0 < path_bytes(spark, f"{raw_dir}/players.parquet", f"{raw_dir}/absent.parquet") < 1_000_000
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert size_shuffles(spark, 1_000_000) == int(before)
+        assert size_shuffles(spark, 10 * 2**40) == 20480
+        assert size_shuffles(spark, 100 * 2**40) == 32768
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
