@@ -128,25 +128,42 @@ def audit_rows(requests: DataFrame, salt: str, processed_at: str | None = None)
     )
 
 
+def _swap(fs, path, folder: str, run: str, name: str) -> None:
+    fs.rename(path(f"{folder}/{name}.parquet"), path(f"{folder}/_replaced-{run}/{name}.parquet"))
+    fs.rename(path(f"{folder}/_erased-{run}/{name}.parquet"), path(f"{folder}/{name}.parquet"))
+
+
+def _recover(fs, path, folder: str) -> None:
+    """Put back tables that an interrupted run had moved aside, and drop what it left behind."""
+    for pattern in ("_replaced-*", "_erased-*"):
+        for found in fs.globStatus(path(f"{folder}/{pattern}")) or []:
+            for table in fs.listStatus(found.getPath()):
+                live = path(folder, table.getPath().getName())
+                if pattern == "_replaced-*" and not fs.exists(live):
+                    fs.rename(table.getPath(), live)
+            fs.delete(found.getPath(), True)
+
+
 def run_erasure(
     spark: SparkSession, folder: str, requests: DataFrame, salt: str, audit_path: str, processed_at: str | None = None
 ) -> None:
     """Rewrite the governed tables under ``folder`` and append to the audit log.
 
     Everything is written beside the live tables first and swapped in by rename at the end, so a failure before
-    that point leaves the live tables untouched, and a rerun after it finds nothing left to change.
+    that point leaves the live tables untouched. A rerun first puts back what an interrupted swap moved aside, and
+    changes nothing that is already erased. One run at a time.
     """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    _recover(fs, path, folder)
     tables = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in (*HASHED_COLUMNS, *NULLED_COLUMNS)}
     check_requests(requests, tables["players"])
     run = uuid.uuid4().hex
     for name, df in erase(tables, requests, salt).items():
         df.write.parquet(f"{folder}/_erased-{run}/{name}.parquet")
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(path(f"{folder}/_replaced-{run}"))
     for name in tables:
-        fs.rename(path(f"{folder}/{name}.parquet"), path(f"{folder}/_replaced-{run}/{name}.parquet"))
-        fs.rename(path(f"{folder}/_erased-{run}/{name}.parquet"), path(f"{folder}/{name}.parquet"))
+        _swap(fs, path, folder, run, name)
     # The replaced files hold the identifiers, so they must not outlive the swap.
     fs.delete(path(f"{folder}/_replaced-{run}"), True)
     fs.delete(path(f"{folder}/_erased-{run}"), True)

@@ -57,6 +57,15 @@ def test_erasure_is_complete_and_idempotent(spark, store, tmp_path):
     assert not [n for n in left if n.startswith("_")], "no copy of the identifiers stays behind"
 
 
+def test_an_interrupted_swap_is_put_back(spark, store, tmp_path):
+    (tmp_path / "_replaced-x").mkdir()
+    (tmp_path / "players.parquet").rename(tmp_path / "_replaced-x" / "players.parquet")
+    (tmp_path / "_erased-x").mkdir()
+    gov.run_erasure(spark, store, _ask(spark, "a"), SALT, f"{tmp_path}/audit")
+    assert spark.read.parquet(f"{store}/players.parquet").filter("date_of_birth is null").count() == 1
+    assert not [p.name for p in tmp_path.iterdir() if p.name.startswith("_")]
+
+
 def test_unknown_player_stops_the_batch(spark, store, tmp_path):
     with pytest.raises(gov.UnknownPlayerError):
         gov.run_erasure(spark, store, _ask(spark, "a", "nobody"), SALT, f"{tmp_path}/audit")
