@@ -63,8 +63,8 @@ from {orders}""",
     "raw_game_rounds": f"{_ROUND} union all {_ROUND} and value < 5",
     "raw_sessions": f"""
 select user_id * 100 + day(ts) as session_id, user_id as player_id, min(user_id * 10 + event_id % 3) as device_id,
-       {_IP} as ip_address, min(case event_id % 5 when 0 then 'GB' when 1 then 'IE' when 2 then 'SE'
-       when 3 then 'DK' end) as country_from_ip, min(ts) as start_ts, max(ts) as end_ts
+       {_IP} as ip_address, case min(event_id % 5) when 0 then 'GB' when 1 then 'IE' when 2 then 'SE'
+       when 3 then 'DK' end as country_from_ip, min(ts) as start_ts, max(ts) as end_ts
 from {{events}} where {_IS_ROUND} group by user_id, day(ts)""",
     "raw_login_events": f"""
 select event_id as login_id, user_id as player_id, user_id * 10 + event_id % 3 as device_id, {_IP} as ip_address,
