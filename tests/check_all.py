@@ -44,3 +44,4 @@ if __name__ == "__main__":
             bad.append(name)
             print(f"FAIL {name}: {str(e)[:1500]}", flush=True)
     print("bad:", bad)
+    spark.stop()  # closes the state stores before the JVM goes down
