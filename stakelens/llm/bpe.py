@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 NONE = np.int32(2**31 - 1)  # rank of a pair that does not merge
 WIDEST_MATRIX = 256  # longer pieces are merged alone
-CELLS = 1 << 21  # of one matrix
-KEPT_PIECES = 400_000  # a task's memory of pieces; it starts afresh beyond that
+CELLS = 1 << 19  # of one matrix
+KEPT_PIECES = 200_000  # a task's memory of pieces; it starts afresh beyond that
 PIECES_AT_ONCE = 1 << 16
+CHARACTERS_AT_ONCE = 1 << 20
 MOST_VOCABULARY_BYTES = 64 << 20  # broadcast to every task, so its size is checked
 
 
@@ -91,28 +92,41 @@ class Tokenizer:
     def pack(self, text: str | None) -> bytes:
         """All ids of a text. Null counts as empty."""
         out = []
-        for pieces in self._pieces(text or ""):
+        found = (m.group() for m in self.pattern.finditer(text or ""))
+        while pieces := list(islice(found, PIECES_AT_ONCE)):
             self.learn(pieces)
             out.append(b"".join(map(self.known.__getitem__, pieces)))
         return b"".join(out)
 
     def pack_all(self, texts: list[str | None]) -> list[bytes]:
-        """As ``pack`` for each; the pieces of short texts are learned together."""
-        short = [(x is None) or len(x) <= PIECES_AT_ONCE for x in texts]
-        cut = [self.pattern.findall(x or "") if s else None for x, s in zip(texts, short, strict=True)]
-        self.learn([p for pieces in cut if pieces for p in pieces])
-        out = [b"".join(map(self.known.__getitem__, pieces)) if pieces is not None else None for pieces in cut]
-        return [self.pack(x) if o is None else o for x, o in zip(texts, out, strict=True)]
+        """As ``pack`` for each. Short texts share their new pieces, a bounded number of characters at a time."""
+        out: list[bytes] = []
+        some: list[list[str]] = []
+        held = 0
+
+        def flush() -> None:
+            self.learn([p for pieces in some for p in pieces])
+            out.extend(b"".join(map(self.known.__getitem__, pieces)) for pieces in some)
+            some.clear()
+
+        for text in texts:
+            text = text or ""
+            held += len(text)
+            if held > CHARACTERS_AT_ONCE:
+                flush()
+                held = len(text)
+            if held > CHARACTERS_AT_ONCE:
+                out.append(self.pack(text))
+                held = 0
+            else:
+                some.append(self.pattern.findall(text))
+        flush()
+        return out
 
     def unpack(self, packed: bytes) -> bytes:
         """The bytes that the ids stand for; raises KeyError for an id that is not in the vocabulary."""
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
-    def _pieces(self, text: str) -> Iterator[list[str]]:
-        found = (m.group() for m in self.pattern.finditer(text))
-        while pieces := list(islice(found, PIECES_AT_ONCE)):
-            yield pieces
-
     def learn(self, pieces: list[str]) -> None:
         if len(self.known) > KEPT_PIECES:
             self.known.clear()
