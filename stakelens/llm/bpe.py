@@ -17,10 +17,10 @@ from functools import lru_cache
 from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NONE = np.int32(2**31 - 1)  # rank of a pair that does not merge
 WIDEST_MATRIX = 256  # longer pieces are merged alone
@@ -28,6 +28,7 @@ CELLS = 1 << 19  # of one matrix
 KEPT_PIECES = 200_000  # a task's memory of pieces; it starts afresh beyond that
 PIECES_AT_ONCE = 1 << 16
 CHARACTERS_AT_ONCE = 1 << 20
+ROWS_AT_ONCE = 256
 MOST_VOCABULARY_BYTES = 64 << 20  # broadcast to every task, so its size is checked
 
 
@@ -231,31 +232,49 @@ def tokenizer_of(spark: SparkSession, ranks_path: str, pattern: str) -> Callable
     return lambda: _tokenizer(shared.value, pattern)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", to: str = "token_ids") -> DataFrame:
-    """The frame with a binary column ``to``: the packed ids of the whole text, replacing a column of that name.
+def _added(docs: DataFrame, names: list[str], keep: list[str] | None,
+           of: Callable[[pa.RecordBatch], list[list[bytes]]]) -> DataFrame:
+    """The columns ``keep`` (all, if None) and binary columns ``names``, which replace columns of those names."""
+    replaced = {n.lower() for n in names}
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in replaced]
+    schema = T.StructType([*[docs.schema[c] for c in kept], *[T.StructField(n, T.BinaryType()) for n in names]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                some = batch.slice(start, ROWS_AT_ONCE)
+                new = [pa.array(x, pa.binary()) for x in of(some)]
+                yield pa.RecordBatch.from_arrays([*[some.column(c) for c in kept], *new], [*kept, *names])
+
+    return docs.mapInArrow(run, schema)
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", to: str = "token_ids",
+           keep: list[str] | None = None) -> DataFrame:
+    """The frame (or its columns ``keep``) with a binary column ``to``: the packed ids of the whole text.
 
     Null and empty texts have no ids. Rows are treated one by one, so repeated rows and empty tables need nothing
-    special, and other columns pass through. No special tokens are recognised or added.
+    special; other columns pass through, but one that is called ``to`` is replaced. No special tokens are recognised
+    or added.
     """
     tokenizer = tokenizer_of(docs.sparkSession, ranks_path, pattern)
-
-    @F.pandas_udf("binary")
-    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        t = tokenizer()
-        for batch in batches:
-            yield pd.Series(t.pack_all(batch.tolist()), dtype=object)
-
-    return docs.withColumn(to, packed(F.col(text)))
+    return _added(docs, [to], keep, lambda rows: [tokenizer().pack_all(rows.column(text).to_pylist())])
 
 
-def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids", to: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids", to: str = "decoded",
+           keep: list[str] | None = None) -> DataFrame:
     """The frame with a binary column ``to``: the bytes behind packed ids. Null ids decode to no bytes."""
     tokenizer = tokenizer_of(df.sparkSession, ranks_path, pattern)
+    return _added(df, [to], keep, lambda rows: [[tokenizer().unpack(x or b"") for x in rows.column(ids).to_pylist()]])
 
-    @F.pandas_udf("binary")
-    def plain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        t = tokenizer()
-        for batch in batches:
-            yield pd.Series([t.unpack(x or b"") for x in batch], dtype=object)
 
-    return df.withColumn(to, plain(F.col(ids)))
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", to: str = "token_ids",
+               back: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """``encode`` and then ``decode`` of its ids, in one pass of the rows through Python."""
+    tokenizer = tokenizer_of(docs.sparkSession, ranks_path, pattern)
+
+    def both(rows: pa.RecordBatch) -> list[list[bytes]]:
+        packed = tokenizer().pack_all(rows.column(text).to_pylist())
+        return [packed, [tokenizer().unpack(x) for x in packed]]
+
+    return _added(docs, [to, back], keep, both)
