@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.durable import durable
-from . import bpe, quality_rules, simhash
+from . import bpe, quality_rules, secret_scan, simhash
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -29,17 +29,22 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents", "doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, RANKS, PATTERN), RANKS, PATTERN)
+    coded = bpe.round_trip(docs, RANKS, PATTERN, keep=["doc_id"])
     return coded.select(
         "doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
+def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.report(secret_scan.secret_spans(_table(spark, folder, "documents", "doc_id", "text"), durable))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op7_simhash": op7_simhash,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_secret_scan": op9_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
