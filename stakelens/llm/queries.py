@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.durable import durable
-from . import bpe, quality_rules, secret_scan, simhash
+from . import bpe, mixing, quality_rules, secret_scan, simhash
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -23,6 +23,11 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_report(docs, durable).drop("n_lines")
 
 
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents", "doc_id", "text", "source")
+    return mixing.mix(docs, durable).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents", "doc_id", "text"), durable)
 
@@ -42,6 +47,7 @@ def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_mixing": op4_mixing,
     "op7_simhash": op7_simhash,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_secret_scan": op9_secret_scan,
@@ -101,5 +107,32 @@ f as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and coalesce(fits, true) as kept
 from f
+""",
+    # Sources in the order in which they reach their cap; the first so many are clamped.
+    "op4_mixing": r"""
+with d as (
+  select doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::bigint as size,
+    ('0x' || substr(md5(coalesce(doc_id::varchar, '') || '/17'), 1, 8))::bigint as ord
+  from documents),
+s as (select source, sum(size)::bigint as source_size from d group by 1),
+w as (select *, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1]::bigint as weight from s),
+o as (
+  select *, sum(source_size) over () as total,
+    coalesce(sum(3 * source_size) over p, 0) as clamped, sum(weight) over () - coalesce(sum(weight) over p, 0) as loose
+  from w window p as (order by source_size / weight, source nulls last rows between unbounded preceding and 1 preceding)),
+level as (
+  select (total - clamped)::bigint as left_over, loose::bigint as loose from o
+  where weight * (total - clamped) <= 3 * source_size * loose order by clamped limit 1),
+t as (
+  select source, source_size, least(3.0::double * source_size, (weight * left_over)::double / loose) as target
+  from w, level),
+f as (
+  select *, coalesce(floor(target / nullif(source_size, 0)), 0)::bigint as whole from t),
+c as (
+  select d.doc_id, d.size, f.source_size, f.target, f.whole, round(f.target - f.whole * f.source_size)::bigint as rest,
+    coalesce(sum(d.size) over (partition by d.source order by ord, doc_id, d.size
+      rows between unbounded preceding and 1 preceding), 0) as before
+  from d join f on d.source is not distinct from f.source)
+select doc_id, size, source_size, target, (whole * size + greatest(0, least(size, rest - before)))::bigint as taken from c
 """,
 }
