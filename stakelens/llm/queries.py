@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.durable import durable
-from . import bpe, mixing, quality_rules, secret_scan, simhash
+from . import bpe, mixing, quality_rules, secret_scan, sharding, simhash, url_filter
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -23,11 +23,27 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_report(docs, durable).drop("n_lines")
 
 
+URL_RULES = (
+    url_filter.Rule("net", "/", url_filter.BLOCK),
+    url_filter.Rule("example.net", "/en/", url_filter.ALLOW),
+    url_filter.Rule("example.com", "/de/", url_filter.BLOCK),
+    url_filter.Rule("org", "/fr/", url_filter.ALLOW),
+)
+
+
+def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.filter_urls(_table(spark, folder, "pages", "page_id", "url"), URL_RULES).drop("url")
+
+
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents", "doc_id", "text", "source")
     return mixing.mix(docs, durable).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard(_table(spark, folder, "documents", "doc_id", "text"), durable)
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents", "doc_id", "text"), durable)
 
@@ -47,7 +63,9 @@ def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_url_filter": op3_url_filter,
     "op4_mixing": op4_mixing,
+    "op6_sharding": op6_sharding,
     "op7_simhash": op7_simhash,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_secret_scan": op9_secret_scan,
@@ -107,6 +125,22 @@ f as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and coalesce(fits, true) as kept
 from f
+""",
+    # Every rule that fits, longest first.
+    "op3_url_filter": r"""
+with rest as (
+  select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as r from pages),
+p as (
+  select page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(r, '^[^/?#]*(/[^?#]*)', 1) as path from rest),
+rules(rule_host, rule_path, rule_verdict) as (
+  values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+best as (
+  select page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) as rule,
+    arg_max(rule_verdict, length(rule_host || rule_path)) as verdict
+  from p join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+  group by page_id)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from p left join best using (page_id)
 """,
     # Sources in the order in which they reach their cap; the first so many are clamped.
     "op4_mixing": r"""
