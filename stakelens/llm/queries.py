@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.durable import durable
-from . import bpe, mixing, quality_rules, secret_scan, sharding, simhash, url_filter
+from . import bpe, hnsw, mixing, quality_rules, secret_scan, sharding, simhash, url_filter
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -40,6 +40,11 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs, durable).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_hnsw(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings", "vec_id", "embedding")
+    return hnsw.nearest(vectors, F.col("vec_id") % 20 == 0, durable)
+
+
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(_table(spark, folder, "documents", "doc_id", "text"), durable)
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_url_filter": op3_url_filter,
     "op4_mixing": op4_mixing,
+    "op5_hnsw": op5_hnsw,
     "op6_sharding": op6_sharding,
     "op7_simhash": op7_simhash,
     "op8_byte_bpe": op8_byte_bpe,
