@@ -24,7 +24,7 @@ SHARD_ROWS = 16_384
 QUERY_BLOCK = 256
 LINKS = 16  # chosen neighbours of a node, and half of those that it can have
 CONSIDERED = 64  # most similar nodes among which neighbours are chosen
-BEAM = 96
+BEAM = 128
 TOP = 20
 
 
@@ -54,6 +54,8 @@ def neighbours(x: np.ndarray, links: int = LINKS) -> np.ndarray:
             # A candidate stays if no neighbour already taken is more similar to it than the node itself.
             closer = (np.where(taken, among[:, c, :], -np.inf) > value[:, c, None]).any(axis=1)
             taken[:, c] = ~closer & (taken.sum(axis=1) < links)
+        # What is free goes to the most similar of the rest, which keeps dense groups connected.
+        taken |= ~taken & (np.cumsum(~taken, axis=1) <= links - taken.sum(axis=1, keepdims=True))
         row, col = np.nonzero(taken)
         froms.append(row + start)
         tos.append(near[row, col])
@@ -72,7 +74,7 @@ def neighbours(x: np.ndarray, links: int = LINKS) -> np.ndarray:
 def _levels(ids: np.ndarray) -> np.ndarray:
     """The level of each node, geometric with ratio LINKS, from its smallest id."""
     with np.errstate(over="ignore"):
-        h = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h = (ids.astype(np.int64).view(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     u = ((h >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53
     return np.minimum(8, np.floor(-np.log(u) / np.log(LINKS))).astype(int)
@@ -139,9 +141,14 @@ class Graph:
         if n <= beam:
             node = np.broadcast_to(np.arange(n), (len(q), n)).copy()
         else:
-            node = self._descend(q)[:, None].copy()
+            # The walk starts where the descent ends and, so that a dense group does not hold it, on the upper levels.
+            upper = self.tables[min(2, len(self.tables) - 1)][0][:beam // 2]
+            start = self._descend(q)[:, None]
+            upper = np.broadcast_to(upper, (len(q), len(upper)))
+            node = np.concatenate([start, np.where(upper == start, -1, upper)], axis=1)
         score = np.einsum("qd,qmd->qm", q, self.vectors[node])
-        seen[rows, node] = True
+        score[node < 0] = -np.inf
+        seen[rows, node] = True  # -1 is the last column
         pad = beam - node.shape[1]
         node = np.pad(node, ((0, 0), (0, pad)), constant_values=-1)
         score = np.pad(score, ((0, 0), (0, pad)), constant_values=-np.inf)
