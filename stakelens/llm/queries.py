@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.durable import durable
-from . import bpe, hnsw, mixing, quality_rules, secret_scan, sharding, simhash, url_filter
+from . import bpe, hnsw, line_crf, mixing, quality_rules, secret_scan, sharding, simhash, token_counts, url_filter
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -23,6 +23,11 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_report(docs, durable).drop("n_lines")
 
 
+def op2_line_crf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents", "doc_id", "text")
+    return line_crf.classify(docs, _table(spark, folder, "labels", "doc_id", "quality"))
+
+
 URL_RULES = (
     url_filter.Rule("net", "/", url_filter.BLOCK),
     url_filter.Rule("example.net", "/en/", url_filter.ALLOW),
@@ -66,8 +71,20 @@ def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.report(secret_scan.secret_spans(_table(spark, folder, "documents", "doc_id", "text"), durable))
 
 
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields ``lang`` and ``source``, then the first line of the text as ``title`` and the rest as ``body``."""
+    docs = _table(spark, folder, "documents", "doc_id", "text", "lang", "source")
+    title = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
+    body = F.substr(F.coalesce("text", F.lit("")), F.length(title) + 2)
+    whole, sections = token_counts.joined_fields(
+        {"lang": F.col("lang"), "source": F.col("source"), "title": title, "body": body})
+    ready = docs.select("doc_id", whole.alias("text"), sections.alias("sections"))
+    return token_counts.token_counts(ready, RANKS, PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_line_crf": op2_line_crf,
     "op3_url_filter": op3_url_filter,
     "op4_mixing": op4_mixing,
     "op5_hnsw": op5_hnsw,
@@ -75,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_secret_scan": op9_secret_scan,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
