@@ -204,7 +204,9 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
         docs.select(F.col(lang), F.col(source), counts(F.col(text), repeats=False).alias(light)), light, lang, source
     ))
     judged = join_verdict(docs.withColumn(full, counts(F.col(text))), full, limits, lang, source, kept)
-    return judged.filter(F.col(kept) & ~base_failed(F.col(full))).select(*[docs[c] for c in docs.columns])
+    # One condition over both sides of the join: parts of it would be pushed below and the counts made once more there.
+    passes = F.when(F.col(kept), ~base_failed(F.col(full))).otherwise(False)
+    return judged.filter(passes).select(*[docs[c] for c in docs.columns])
 
 
 def quality_report(docs: DataFrame, durable, key: str = "doc_id", text: str = "text", lang: str = "lang",

@@ -68,21 +68,29 @@ def _running_sums(values: Column) -> Column:
     return let(sized, lambda s: F.when(F.size(s["v"]) > 0, sums(s)).otherwise(s["v"]))
 
 
+def _cut(text: Column, pattern: str, group: int) -> Column:
+    """Struct of the matches, their wanted groups, and the ``gaps`` before, between and after them."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    return F.struct(F.split(text, pattern, -1).alias("gaps"), whole.alias("whole"), part.alias("part"))
+
+
 def located(text: Column, pattern: str, group: int = 0) -> Column:
     """All matches, left to right: array of start, end (code points, end exclusive), text and the wanted group.
 
     What lies between the matches gives their places, so the cost is linear in the text.
     """
     nothing = F.array().cast("array<struct<start:int,end:int,text:string,part:string>>")
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    widths = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)), whole,
-                        lambda gap, x: F.length(gap) + F.length(x))
-    matches = let(F.struct(whole.alias("whole"), part.alias("part"), _running_sums(widths).alias("ends")),
-                  lambda m: F.transform(m["whole"], lambda x, i: F.struct(
-                      (F.get(m["ends"], i) - F.length(x)).alias("start"), F.get(m["ends"], i).alias("end"),
-                      x.alias("text"), F.get(m["part"], i).alias("part"))))
-    return F.when(text.rlike(pattern), matches).otherwise(nothing)
+
+    def placed(t: Column) -> Column:
+        return let(_cut(t, pattern, group), lambda m: let(
+            _running_sums(F.zip_with(F.slice(m["gaps"], F.lit(1), F.size(m["whole"])), m["whole"],
+                                     lambda gap, x: F.length(gap) + F.length(x))),
+            lambda ends: F.transform(m["whole"], lambda x, i: F.struct(
+                (F.get(ends, i) - F.length(x)).alias("start"), F.get(ends, i).alias("end"),
+                x.alias("text"), F.get(m["part"], i).alias("part")))))
+
+    return let(text, lambda t: F.when(t.rlike(pattern), placed(t)).otherwise(nothing))
 
 
 def _spans(found: Column, kind: str) -> Column:
@@ -131,43 +139,47 @@ def _tests(token: Column, alphabet: Column, classes: Column) -> Column:
                     (2 * _upper_tail(F.abs(z_serial))).alias("serial"))
 
 
+def _read(core: Column) -> Column:
+    """A candidate in its inferred encoding: token, alphabet, classes of its characters, stratum."""
+
+    def by_name(e: Column, choices: dict[str, Column]) -> Column:
+        return F.when(e == "hex", choices["hex"]).when(e == "base32", choices["base32"]).when(
+            e == "alnum", choices["alnum"]).otherwise(choices["base64"])
+
+    encoding = F.when(core.rlike(ALPHABETS["hex"][0]), F.lit("hex")).when(
+        core.rlike(ALPHABETS["base32"][0]), F.lit("base32")).when(
+        core.rlike(ALPHABETS["alnum"][0]), F.lit("alnum")).otherwise(F.lit("base64"))
+    length = reduce(lambda c, at: c + (F.length(core) >= at).cast("int"), LENGTH_CLASSES, F.lit(0))
+    standard = F.replace(F.replace(core, F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/"))
+    tokens = {"hex": F.lower(core), "base32": core, "alnum": core, "base64": standard}
+    alphabets = {name: F.lit(characters) for name, (_, characters) in ALPHABETS.items()}
+    return let(encoding, lambda e: let(by_name(e, tokens), lambda token: F.struct(
+        token.alias("token"), by_name(e, alphabets).alias("alphabet"),
+        F.regexp_replace(F.regexp_replace(F.regexp_replace(
+            token, "[0-9+/]", "0"), "[A-Z]", "A"), "[a-z]", "a").alias("classes"),
+        F.concat(e, F.lit("/"), length.cast("string")).alias("stratum"))))
+
+
 def _scored(found: Column) -> Column:
     """Candidates among matches of RUN: array of start, end, text, stratum, tenths (rounded p-value), by_chance."""
     mixed = F.filter(found, lambda m: m["text"].rlike("[0-9]") & m["text"].rlike("[A-Za-z]"))
 
     def of(m: Column) -> Column:
-        core = F.rtrim(m["text"], F.lit("="))
-        encoding = reduce(
-            lambda other, name: F.when(core.rlike(ALPHABETS[name][0]), F.lit(name)).otherwise(other),
-            ["alnum", "base32", "hex"], F.lit("base64"))
-
-        def tested(e: Column) -> Column:
-            token = F.when(e == "hex", F.lower(core)).when(
-                e == "base64", F.replace(F.replace(core, F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/"))).otherwise(core)
-            alphabet = reduce(lambda other, name: F.when(e == name, F.lit(ALPHABETS[name][1])).otherwise(other),
-                              ["alnum", "base32", "hex"], F.lit(ALPHABETS["base64"][1]))
-            kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(
-                token, "[0-9+/]", "0"), "[A-Z]", "A"), "[a-z]", "a")
-            length = reduce(lambda c, at: c + (F.length(core) >= at).cast("int"), LENGTH_CLASSES, F.lit(0))
-            return let(_tests(token, alphabet, kinds), lambda p: F.struct(
-                m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"),
-                F.concat(e, F.lit("/"), length.cast("string")).alias("stratum"),
+        return let(F.rtrim(m["text"], F.lit("=")), lambda core: let(_read(core), lambda r: let(
+            _tests(r["token"], r["alphabet"], r["classes"]), lambda p: F.struct(
+                m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), r["stratum"].alias("stratum"),
                 F.least(F.lit(MOST_TENTHS), F.floor(-10 * F.log10(F.greatest(p["runs"], F.lit(1e-300))))
                         ).cast("int").alias("tenths"),
                 ((p["even"] >= AGAINST_CHANCE) & (p["serial"] >= AGAINST_CHANCE)).alias("by_chance"),
-            ))
-
-        return let(encoding, tested)
+            ))))
 
     return F.transform(mixed, of)
 
 
 def candidates(text: Column, base: Column) -> Column:
     """Scored candidates that touch no base span."""
-    scored = _scored(located(text, RUN))
-    return F.when(F.size(scored) > 0, let(F.struct(scored.alias("s"), base.alias("b")), lambda x: F.filter(
-        x["s"], lambda c: ~F.exists(x["b"], lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    ))).otherwise(scored)
+    return let(F.struct(_scored(located(text, RUN)).alias("s"), base.alias("b")), lambda x: F.filter(
+        x["s"], lambda c: ~F.exists(x["b"], lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
 
 
 def cutoffs(scored: DataFrame, column: str) -> dict[str, int]:
@@ -230,13 +242,12 @@ def report(spans: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def _masked(text: Column, pattern: str, secret: Callable[[Column], Column], mask: str, group: int = 0) -> Column:
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    pieces = let(F.struct(F.split(text, pattern, -1).alias("gaps"), whole.alias("whole"), part.alias("part")),
-                 lambda m: F.transform(m["gaps"], lambda gap, i: F.concat(gap, F.when(
-                     F.get(m["whole"], i).isNull(), F.lit("")).when(
-                     secret(F.get(m["part"], i)), F.lit(mask)).otherwise(F.get(m["whole"], i)))))
-    return F.when(text.rlike(pattern), F.array_join(pieces, "")).otherwise(text)
+    def replaced(t: Column) -> Column:
+        return let(_cut(t, pattern, group), lambda m: F.array_join(F.transform(m["gaps"], lambda gap, i: F.concat(
+            gap, F.when(F.get(m["whole"], i).isNull(), F.lit("")).when(
+                secret(F.get(m["part"], i)), F.lit(mask)).otherwise(F.get(m["whole"], i)))), ""))
+
+    return let(text, lambda t: F.when(t.rlike(pattern), replaced(t)).otherwise(t))
 
 
 def mask_secrets(docs: DataFrame, text: str = "text", length: str | None = "n_chars", mask: str = "[secret]") -> DataFrame:
