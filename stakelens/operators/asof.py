@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import last_value, lead, ordered
+from .ordered import DAY, YEAR, last_value, lead, ordered
 
 
-def scd_periods(history: DataFrame, key: str, effective: str, max_rows: int | None = None) -> DataFrame:
+def scd_periods(history: DataFrame, key: str, effective: str, width: float = YEAR) -> DataFrame:
     """Turn a change log into half-open periods [valid_from, valid_to); the open end is null."""
-    log = ordered(history.withColumnRenamed(effective, "valid_from"), [key], ["valid_from"], max_rows)
+    log = ordered(history.withColumnRenamed(effective, "valid_from"), [key], ["valid_from"], width)
     return log.add(valid_to=lead("valid_from")).result()
 
 
@@ -20,7 +20,7 @@ def asof_lookup(
     key: str,
     at: str,
     columns: list[str],
-    max_rows: int | None = None,
+    width: float = 30 * DAY,
 ) -> DataFrame:
     """Inner point-in-time lookup: each event with the period of its key that covers ``at``.
 
@@ -32,7 +32,7 @@ def asof_lookup(
     period = F.struct("valid_from", "valid_to", *columns).alias("_period")
     starts = periods.select(F.col(key), F.col("valid_from").alias(at), side, period)
     rows = events.select("*", F.lit(1).alias("_side"))
-    both = ordered(starts.unionByName(rows, allowMissingColumns=True), [key], [at, "_side"], max_rows)
+    both = ordered(starts.unionByName(rows, allowMissingColumns=True), [key], [at, "_side"], width)
     found = both.add(_period=last_value(F.col("_period"))).result()
     covers = F.col("_period.valid_to").isNull() | (F.col(at) < F.col("_period.valid_to"))
     return (

@@ -69,52 +69,36 @@ def _row_totals(checks: Sequence[Expectation]) -> list[Column]:
     return totals
 
 
-def _repeats(column: str) -> list[Column]:
-    repeated = (F.col("rows") > 1) & F.col("_id").isNotNull()
-    text = F.when(repeated, F.col("_id").cast("string"))
-    return [
-        F.coalesce(F.sum(F.when(repeated, F.col("rows"))), F.lit(0)).alias(f"bad_{column}"),
-        F.min(text).alias(f"low_{column}"),
-        F.max(text).alias(f"high_{column}"),
-    ]
+def _repeats(df: DataFrame, column: str) -> DataFrame:
+    """Rows in all, and those whose value is not alone. Counts per value hash and combine before the exchange."""
+    repeated = (F.col("n") > 1) & F.col(column).isNotNull()
+    text = F.when(repeated, F.col(column).cast("string"))
+    return df.groupBy(column).agg(F.count("*").alias("n")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(F.when(repeated, F.col("n"))), F.lit(0)).alias("bad"),
+        F.min(text).alias("low"),
+        F.max(text).alias("high"),
+    )
 
 
 def expect(df: DataFrame, table: str, checks: Sequence[Expectation]) -> DataFrame:
     """One row per check. Nulls count only against ``not_null``; the sample is the range of unexpected values.
 
-    A table is read once. Row checks are sums; with a uniqueness check, they are first summed per value of that
-    column and then over the values, so both kinds come out of one exchange. Each further uniqueness check reads
-    the column once more.
+    All row checks of a table are sums over one pass, without an exchange of rows. Each uniqueness check is a count
+    per value that reads and exchanges only its column.
     """
     rowwise = [c for c in checks if c.bad is not None]
-    uniques = [c.column for c in checks if c.bad is None]
-    totals = _row_totals(rowwise)
-    frames = {}
-    if not uniques:
-        frames[None] = df.agg(*totals)
-    for n, column in enumerate(uniques):
-        groups = df.groupBy(F.col(column).alias("_id")).agg(*(totals if n == 0 else totals[:1]))
-        sums = [F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")]
-        if n == 0:
-            for i in range(len(rowwise)):
-                sums += [F.coalesce(F.sum(f"bad{i}"), F.lit(0)).alias(f"bad{i}"),
-                         F.min(f"low{i}").alias(f"low{i}"), F.max(f"high{i}").alias(f"high{i}")]
-        frames[column] = groups.agg(*sums, *_repeats(column))
-
     reports = []
-    for n, (column, frame) in enumerate(frames.items()):
-        results = []
-        if n == 0:
-            results += [
-                _result(table, c.name, F.col("rows"), F.col(f"bad{i}"), F.col(f"low{i}"), F.col(f"high{i}"))
-                for i, c in enumerate(rowwise)
-            ]
-        if column is not None:
-            name = unique(column).name
-            results.append(_result(
-                table, name, F.col("rows"), F.col(f"bad_{column}"), F.col(f"low_{column}"), F.col(f"high_{column}")
-            ))
-        reports.append(frame.select(F.inline(F.array(*results))))
+    if rowwise:
+        results = [
+            _result(table, c.name, F.col("rows"), F.col(f"bad{i}"), F.col(f"low{i}"), F.col(f"high{i}"))
+            for i, c in enumerate(rowwise)
+        ]
+        reports.append(df.agg(*_row_totals(rowwise)).select(F.inline(F.array(*results))))
+    for c in checks:
+        if c.bad is None:
+            one = _result(table, c.name, F.col("rows"), F.col("bad"), F.col("low"), F.col("high"))
+            reports.append(_repeats(df, c.column).select(F.inline(F.array(one))))
     return reduce(DataFrame.unionByName, reports)
 
 

@@ -1,28 +1,25 @@
 """Lag, lead and running values inside key groups, also when one key holds most of the rows.
 
-A window partitioned by key sorts each key in one task. That is the best plan until a key outgrows a task, so
-:func:`ordered` looks first. Inputs that fit one task anyway, and inputs whose widest key is within the limit, get
-ordinary windows. Otherwise rows are range-partitioned by (key, order), so a hot key spans many slices; every step
-then runs inside (slice, key), and a summary of one row per (key, slice) carries its state to the next slice.
+A window partitioned by key sorts each key in one task, which ends when a key outgrows a task. So groups are always cut
+into slices: stretches of fixed width of the leading order column, such as a day. Rows are exchanged by (key, slice), every
+step runs inside its slice, and one summary row per (key, slice), taken from the same exchange, carries the state on:
+a window over the summaries of a key gives what each slice starts with, joined back on (key, slice).
+
+The plan is the same at every size and for every key. It is lazy: nothing is counted, measured or written to build it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .durable import durable
-
-SLICE, TIE = "_slice", "_tie"
-
-MAX_ROWS_SETTING = "spark.stakelens.maxRowsPerKey"
-SMALL_INPUT_SETTING = "spark.stakelens.smallInputBytes"
-MAX_ROWS_DEFAULT = 5_000_000
-SMALL_INPUT_DEFAULT = 256 * 1024 * 1024
+SLICE = "_slice"
+DAY, YEAR = 86_400, 366 * 86_400
 
 
 @dataclass(frozen=True)
@@ -108,90 +105,63 @@ class Ordered:
     keys: list[str]
     order: list[str]
     sliced: bool
-    pending: bool = False  # sliced rows with steps that are not written yet
 
     def add(self, **steps: Step) -> Ordered:
-        """Add one column per step. Steps added together share one sort and one carry join."""
+        """Add one column per step. Steps added together share one sort and one carry join.
+
+        Steps that need the result of others are added after them; each addition reads the exchanged rows twice, so
+        a chain should be short.
+        """
         if not self.sliced:
             w = Window.partitionBy(*self.keys).orderBy(*self.order)
             return replace(self, df=self.df.withColumns({n: s.plain(w) for n, s in steps.items()}))
 
-        # A step reads its input twice. Writing what earlier steps added keeps a chain of steps linear.
-        df = durable(self.df, "sliced") if self.pending else self.df
-        inside = Window.partitionBy(SLICE, *self.keys).orderBy(*self.order)
+        place = [*self.keys, SLICE]
+        inside = Window.partitionBy(*place).orderBy(*self.order)
         across = Window.partitionBy(*self.keys).orderBy(SLICE)
         at = F.struct(*self.order)
-        heads = df.groupBy(*self.keys, SLICE).agg(*[s.head(at).alias(n) for n, s in steps.items()])
-        names = {k: f"_k_{k}" for k in [*self.keys, SLICE]}
+        heads = self.df.groupBy(*place).agg(*[s.head(at).alias(n) for n, s in steps.items()])
+        names = {k: f"_k_{k}" for k in place}
         carry = heads.select(
             *[F.col(k).alias(v) for k, v in names.items()],
             *[s.carried(across, F.col(n)).alias(f"_c_{n}") for n, s in steps.items()],
-        ).filter(reduce(lambda a, b: a | b, [F.col(f"_c_{n}").isNotNull() for n in steps]))
-        # Slices are contiguous ranges of (key, order): at most one key crosses a slice boundary, so the carry
-        # holds at most two rows per boundary whatever the data size, and broadcasting it is bounded.
+        )
         match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(v)) for k, v in names.items()])
         out = (
-            df.withColumns({n: s.inside(inside) for n, s in steps.items()})
-            .join(F.broadcast(carry), match, "left")
+            self.df.withColumns({n: s.inside(inside) for n, s in steps.items()})
+            .join(carry, match, "left")
             .withColumns({n: s.merge(F.col(n), F.col(f"_c_{n}")) for n, s in steps.items()})
             .drop(*names.values(), *[f"_c_{n}" for n in steps])
         )
-        return replace(self, df=out, pending=True)
+        return replace(self, df=out)
 
     def with_columns(self, **columns: Column) -> Ordered:
         return replace(self, df=self.df.withColumns(columns))
 
-    def within(self, key: str, order: list[str]) -> Ordered:
-        """Narrow the groups by a column that only ever moves forward along the order, such as an episode number.
-
-        The rows are sorted again, so ``order`` must name columns that tell even exact copies apart.
-        """
-        return replace(self, keys=[*self.keys, key], order=order)
-
     def result(self) -> DataFrame:
-        return self.df.drop(SLICE, TIE)
-
-
-def _nodes(plan) -> Iterator:
-    yield plan
-    children = plan.children()
-    for i in range(children.size()):
-        yield from _nodes(children.apply(i))
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the files and tables below a plan, from Catalyst's statistics. Reads no data."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    return sum(int(n.stats().sizeInBytes()) for n in _nodes(plan) if n.children().isEmpty())
-
-
-def is_plain_scan(df: DataFrame) -> bool:
-    """Whether reading the frame twice costs no more than two scans."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    return all(n.nodeName() in {"Project", "Filter", "Union"} for n in _nodes(plan) if not n.children().isEmpty())
-
-
-def ordered(df: DataFrame, keys: list[str], order: list[str], max_rows: int | None = None) -> Ordered:
-    """Prepare ``df`` for ordered steps. ``max_rows`` is the most rows of one key that one task should sort."""
-    conf = df.sparkSession.conf
-    if max_rows is None:
-        max_rows = int(conf.get(MAX_ROWS_SETTING, str(MAX_ROWS_DEFAULT)))
-        if input_bytes(df) <= int(conf.get(SMALL_INPUT_SETTING, str(SMALL_INPUT_DEFAULT))):
-            return Ordered(df, keys, order, sliced=False)
-
-    # The frame is read to count its keys and again to order its rows; joins and shuffles below it must not run twice.
-    if not is_plain_scan(df):
-        df = durable(df, "unordered")
-    size = df.groupBy(*keys).count().agg(F.max("count").alias("widest"), F.sum("count").alias("rows")).first()
-    if (size["widest"] or 0) <= max_rows:
-        return Ordered(df, keys, order, sliced=False)
-
-    slices = max(int(conf.get("spark.sql.shuffle.partitions")), -(-size["rows"] // max_rows))
-    # TIE lets even exact copies of one row be cut between slices. It and the slice number are only stable once
-    # written.
-    cut = (
-        df.withColumn(TIE, F.monotonically_increasing_id())
-        .repartitionByRange(slices, *keys, *order, TIE)
-        .withColumn(SLICE, F.spark_partition_id())
-    )
-    return Ordered(durable(cut, "sliced"), keys, [*order, TIE], sliced=True)
+        return self.df.drop(SLICE)
+
+
+def slice_number(df: DataFrame, column: str, width: float) -> Column:
+    """Which stretch of ``width`` a value falls into; never falls as the value grows, nulls first."""
+    kind, value = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        units = F.unix_micros(value.cast("timestamp")) / F.lit(1e6)
+    elif isinstance(kind, T.DateType):
+        units = F.unix_date(value) * F.lit(float(DAY))
+    elif isinstance(kind, T.NumericType):
+        units = value.cast("double")
+    else:
+        raise TypeError(f"{column} is {kind.simpleString()}; groups are cut along times and numbers")
+    return F.coalesce(F.floor(units / F.lit(float(width))).cast("long"), F.lit(-(2**63)))
+
+
+def ordered(df: DataFrame, keys: list[str], order: list[str], width: float = DAY) -> Ordered:
+    """Prepare ``df`` for ordered steps.
+
+    ``width`` is that of a slice along the first order column, in seconds for times and in its own units for numbers.
+    It changes the layout only: rows of one key and slice meet in one task, and there is a summary row for each key and
+    slice, so it should hold many rows of an ordinary key and few enough of the largest one.
+    """
+    cut = df.withColumn(SLICE, slice_number(df, order[0], width))
+    return Ordered(cut.repartition(*keys, SLICE), keys, order, sliced=True)

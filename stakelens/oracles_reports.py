@@ -392,11 +392,10 @@ from (select f.scenario_type, f.entity_type, i.check_interval, a.avg_amount_gbp,
                          ('Every 15 minutes', 0.25), ('Every hour', 1), ('Every 6 hours', 6),
                          ('Once a day (daily batch)', 24)) i(check_interval, hours)) x""",
     "bi_ltv_histogram": f"""
-select cast(least(floor((v - low) * 50 / (high - low)), 49) as bigint) as bin, count(*) as players,
-       {_d('min(v)', 'lowest')}, {_d('max(v)', 'highest')}
-from (select cast(ltv_gbp as double) as v from player_ltv where ltv_gbp is not null) k,
-     (select cast(min(ltv_gbp) as double) as low, cast(max(ltv_gbp) as double) as high from player_ltv) e
-group by 1""",
+select b as bin, count(v) as players, {_d('min(v)', 'lowest')}, {_d('max(v)', 'highest')}
+from range(50) bins(b) left join (select * from (select cast(ltv_gbp as double) as v from player_ltv where ltv_gbp is not null) k cross join (select cast(min(ltv_gbp) as double) as low, cast(max(ltv_gbp) as double) as high from player_ltv) e)
+     on least(floor((v - low) * 50 / (high - low)), 49) = b
+group by b""",
     "bi_ltv_by_country": f"select country, count(*) as players, {_d('sum(ltv_gbp)::double / count(*)', 'avg_ltv_gbp')}"
     " from player_ltv where ltv_gbp is not null group by country",
     "bi_churn_composition": """

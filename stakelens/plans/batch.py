@@ -36,11 +36,24 @@ def build_models(w: Warehouse, out: str) -> Warehouse:
 def gate(raw, out: str) -> None:
     """Write the report on the raw tables and stop the job if a check failed."""
     write_parquet(quality.raw_gate(raw), f"{out}/quality/raw_gate")
+    write_parquet(quality.raw_duplicate_rates(raw), f"{out}/quality/duplicate_rates")
     quality.enforce(raw.spark.read.parquet(f"{out}/quality/raw_gate"))
 
 
+def check_models(w: Warehouse, out: str, strict: bool = True) -> None:
+    """Write the results of the model tests and the overlapping periods, and stop a strict job if anything is wrong."""
+    write_parquet(quality.model_tests(w), f"{out}/quality/model_tests")
+    write_parquet(quality.overlapping_periods(w.dim_players_scd2, "player_id"), f"{out}/quality/scd2_overlaps")
+    if not strict:
+        return
+    quality.enforce(w.spark.read.parquet(f"{out}/quality/model_tests"))
+    overlaps = w.spark.read.parquet(f"{out}/quality/scd2_overlaps").count()
+    if overlaps:
+        raise quality.QualityGateError(f"dim_players_scd2: {overlaps} periods overlap an earlier one")
+
+
 def backtest(raw: RawTables, w: Warehouse, folder: str) -> None:
-    """Run the rules over the history and write the flags where the raw reader looks for them."""
+    """Run the rules over the history and write the flags where the raw reader looks for them, afresh in every run."""
     write_parquet(rules.stamp_detection(w.flags), f"{folder}/streaming_fraud_flags.parquet")
 
 
@@ -73,17 +86,19 @@ def comparison(w: Warehouse, out: str) -> None:
 def run(
     spark: SparkSession, raw_dirs: list[str], out: str, thresholds: Thresholds = Thresholds(), gated: bool = True
 ) -> Warehouse:
-    """The whole job. Flags are computed here only if no detector has delivered any."""
+    """The whole job. Flags are computed here if no detector has delivered any, anew in every run.
+
+    Nothing is published before every test of the models has passed; without ``gated`` failures are only reported.
+    """
     derived = f"{out}/derived"
-    raw = RawTables(spark, *raw_dirs, derived)
+    delivered = RawTables(spark, *raw_dirs)
     if gated:
-        gate(raw, out)
-    w = Warehouse(raw, thresholds)
-    if not raw.has("streaming_fraud_flags"):
-        backtest(raw, w, derived)
+        gate(delivered, out)
+    if not delivered.has("streaming_fraud_flags"):
+        backtest(delivered, Warehouse(delivered, thresholds), derived)
+    w = Warehouse(RawTables(spark, *raw_dirs, derived), thresholds)
     build_models(w, out)
-    write_parquet(quality.model_tests(w), f"{out}/quality/model_tests")
-    write_parquet(quality.overlapping_periods(w.dim_players_scd2, "player_id"), f"{out}/quality/scd2_overlaps")
+    check_models(w, out, gated)
     export_reports(spark, reports(w), f"{out}/reports")
     comparison(w, out)
     return w

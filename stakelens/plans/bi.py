@@ -140,14 +140,16 @@ def exposure(w: Warehouse, days: int = 150) -> DataFrame:
 
 
 def ltv_histogram(ltv: DataFrame, bins: int = 50) -> DataFrame:
-    """Equal-width bins between the smallest and the largest value."""
+    """Equal-width bins between the smallest and the largest value, those without players included."""
     known = ltv.filter("ltv_gbp is not null").select(F.col("ltv_gbp").cast("double").alias("v"))
     edges = known.agg(F.struct(F.min("v").alias("low"), F.max("v").alias("high"))).scalar()
     place = F.floor(F.try_divide((F.col("v") - edges["low"]) * bins, edges["high"] - edges["low"]))
-    return (
+    filled = (
         known.groupBy(F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).alias("bin"))
         .agg(F.count("*").alias("players"), F.min("v").alias("lowest"), F.max("v").alias("highest"))
     )
+    every = known.sparkSession.range(bins).select(F.col("id").alias("bin"))
+    return every.join(filled, "bin", "left").withColumn("players", F.coalesce("players", F.lit(0)))
 
 
 def ltv_by_country(ltv: DataFrame) -> DataFrame:

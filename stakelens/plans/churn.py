@@ -16,13 +16,13 @@ NAIVE = ["total_rounds_naive", "total_stake_naive", "total_deposits_naive", "ten
 ENGINEERED = ["total_sessions", "total_stake_engineered", "total_deposits_gbp", "tenure_days"]
 
 
-def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.25, max_rows: int | None = None):
+def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.25, width: float = 2.0**50):
     """Mark the same share of every class as test rows, in hash order of ``key``. Exact and repeatable.
 
     The classes are two huge groups, so positions come from ``ordered``, which cuts a class into slices.
     """
     hashed = df.withColumn("_hash", F.xxhash64(F.col(key)))
-    rows = ordered(hashed, [label], ["_hash", key], max_rows).add(_nth=running_sum(F.lit(1))).result()
+    rows = ordered(hashed, [label], ["_hash", key], width).add(_nth=running_sum(F.lit(1))).result()
     sizes = df.groupBy(label).agg(F.ceil(F.count("*") * F.lit(test_share)).alias("_tests"))
     return (
         rows.join(F.broadcast(sizes), label)  # one row per class
@@ -31,7 +31,7 @@ def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.
     )
 
 
-def score_metrics(scored: DataFrame, label: str = "label", score: str = "score", max_rows: int | None = None):
+def score_metrics(scored: DataFrame, label: str = "label", score: str = "score", width: float = 1e-4):
     """Ranking and threshold metrics of a scored frame, computed from one curve over its distinct scores.
 
     Average precision is the step sum over thresholds, AUC counts tied pairs half, and the 0.5 metrics are zero
@@ -41,7 +41,7 @@ def score_metrics(scored: DataFrame, label: str = "label", score: str = "score",
     curve = scored.groupBy((-F.col(score)).alias("_down")).agg(
         F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg")
     )
-    above = ordered(curve.withColumn("_all", F.lit(0)), ["_all"], ["_down"], max_rows).add(
+    above = ordered(curve.withColumn("_all", F.lit(0)), ["_all"], ["_down"], width).add(
         cum_pos=running_sum(F.col("pos")), cum_neg=running_sum(F.col("neg"))
     ).result()
     chosen = F.col("_down") <= -0.5

@@ -156,7 +156,7 @@ def bot_contamination(w: Warehouse) -> DataFrame:
     )
 
 
-def point_in_time_mismatches(w: Warehouse, max_rows: int | None = None) -> DataFrame:
+def point_in_time_mismatches(w: Warehouse) -> DataFrame:
     """Player-level incidents whose current risk segment differs from the one at the time."""
     incidents = (
         w.stg_fraud_ground_truth.filter("entity_type = 'player'")
@@ -164,7 +164,7 @@ def point_in_time_mismatches(w: Warehouse, max_rows: int | None = None) -> DataF
         .agg(F.count("*").alias("n"))
     )
     periods = w.dim_players_scd2.select("player_id", "valid_from", "valid_to", "is_current", "risk_segment")
-    then = asof_lookup(incidents, periods, "player_id", "event_ts", ["risk_segment"], max_rows)
+    then = asof_lookup(incidents, periods, "player_id", "event_ts", ["risk_segment"])
     now = periods.withColumnRenamed("risk_segment", "risk_segment_now")
     both = current_lookup(then, now, "player_id", ["risk_segment_now"])
     # Incidents of one player at one instant match each other on both sides, hence the square.

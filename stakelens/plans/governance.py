@@ -45,8 +45,11 @@ class UnknownPlayerError(LookupError):
 
 
 def check_requests(requests: DataFrame, players: DataFrame) -> None:
-    """Refuse the whole batch before anything is written if a requested player does not exist."""
-    unknown = requests.join(players, "player_id", "left_anti").select("player_id").take(5)
+    """Refuse the whole batch before anything is written if a requested player does not exist.
+
+    All such players are named; there are at most as many as requests, which people make one by one.
+    """
+    unknown = requests.join(players, "player_id", "left_anti").select("player_id").distinct().collect()
     if unknown:
         raise UnknownPlayerError(f"not in players: {[r.player_id for r in unknown]}")
 

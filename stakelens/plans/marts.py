@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions import seconds_between, surrogate_key
 from ..operators import lag, ordered, scd_periods
+from ..operators.ordered import DAY, YEAR
 
 
 def session_stats(
-    rounds: DataFrame, min_gaps: int = 100, max_sd: float = 0.3, max_rows: int | None = None
+    rounds: DataFrame, min_gaps: int = 100, max_sd: float = 0.3, width: float = DAY
 ) -> DataFrame:
     """Totals and gap statistics per (session, player), with the bot verdict. ``gaps`` is rounds less one.
 
-    Rounds are by far the largest table. Gaps need them grouped and sorted by session, and the totals follow from the
-    same grouping, so both come out of a single exchange.
+    Rounds are by far the largest table. They are exchanged once, by session and day; totals are summed there before they
+    move on, as a row per session and day.
     """
-    timed = ordered(rounds, ["session_id"], ["ts"], max_rows).add(_prev=lag("ts")).result()
+    timed = ordered(rounds, ["session_id"], ["ts"], width).add(_prev=lag("ts")).result()
     gap = seconds_between("ts", "_prev")
     stats = timed.withColumn("_gap", gap).groupBy("session_id", "player_id").agg(
         F.count("*").alias("rounds"),
@@ -79,9 +80,9 @@ def player_daily_activity(activity: DataFrame, payments: DataFrame) -> DataFrame
     )
 
 
-def dim_players_scd2(history: DataFrame, players: DataFrame, max_rows: int | None = None) -> DataFrame:
+def dim_players_scd2(history: DataFrame, players: DataFrame, width: float = YEAR) -> DataFrame:
     """Type 2 dimension: attribute periods joined to the player's static attributes."""
-    periods = scd_periods(history, "player_id", "effective_ts", max_rows)
+    periods = scd_periods(history, "player_id", "effective_ts", width)
     return periods.join(players, "player_id").select(
         surrogate_key("player_id", F.unix_micros("valid_from")).alias("player_dimension_key"),
         "player_id", "country", "currency", "acquisition_channel", "activity_segment", "signup_ts",

@@ -12,12 +12,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import seconds_between
 from ..operators import durable, keep_first, lag, last_value, lead, ordered, running_sum
-from ..operators.ordered import SLICE, Ordered
+from ..operators.ordered import DAY, SLICE, YEAR, Ordered
 
 ORDER = ["ts", "seq", "entity_id"]
-DAY = 86_400
 
 
 def _flags(hits: DataFrame, scenario: str, entity_type: str, entity: str = "entity_id") -> DataFrame:
@@ -80,7 +78,7 @@ def _seeded_slices(rows: Ordered, places: int) -> Ordered:
 
 
 def card_testing(
-    events: DataFrame, window_seconds: int = 600, min_bins: int = 3, max_rows: int | None = None
+    events: DataFrame, window_seconds: int = 600, min_bins: int = 3, width: float = DAY
 ) -> DataFrame:
     """Deposits that see at least ``min_bins`` distinct card BINs in the trailing window.
 
@@ -90,23 +88,20 @@ def card_testing(
     deposits = events.filter("event_type = 'payment' and payment_type = 'deposit'").select(
         "player_id", "card_bin", *ORDER
     )
-    rows = ordered(deposits, ["player_id"], ORDER, max_rows)
-    if rows.sliced:
-        found = _recent_bins(_seeded_slices(rows, min_bins), min_bins).df.filter("not _seed")
-    else:
-        found = _recent_bins(rows, min_bins).df
+    rows = ordered(deposits, ["player_id"], ORDER, width)
+    found = _recent_bins(_seeded_slices(rows, min_bins), min_bins).df.filter("not _seed")
     oldest = F.col(f"_bin{min_bins}")["ts"]
     return _flags(found.filter(oldest >= F.col("ts") - _seconds(window_seconds)), "card_testing", "payment")
 
 
-def bonus_ring(events: DataFrame, gap_seconds: int = 6 * 3600, max_rows: int | None = None) -> DataFrame:
+def bonus_ring(events: DataFrame, gap_seconds: int = 6 * 3600, width: float = DAY) -> DataFrame:
     """Claims of one bonus type on one device by a player other than the first, while claims keep coming.
 
     Every claim extends the device's memory by ``gap_seconds``, so claims fall into gap sessions.
     """
     claims = events.filter("event_type = 'bonus_claim'").select("device_id", "bonus_type", "player_id", *ORDER)
     place = ["device_id", "bonus_type"]
-    rows = ordered(claims, place, ORDER, max_rows).add(_prev=lag("ts"))
+    rows = ordered(claims, place, ORDER, width).add(_prev=lag("ts"))
     starts = F.col("_prev").isNull() | (F.col("ts") > F.col("_prev") + _seconds(gap_seconds))
     live = rows.add(_live=running_sum(starts.cast("int"))).result()
     # Aggregates, not windows, from here: a hot device pre-aggregates before its rows move.
@@ -135,7 +130,7 @@ def _memory_epochs(logins: DataFrame, what: str, ttl_days: int, lifetimes: int,
     for epoch in range(lifetimes):
         known = rows.filter((F.col(name) == epoch) & F.col(what).isNotNull())
         fresh = keep_first(known, ["player_id", what], ORDER).select("player_id", *ORDER)
-        spans = ordered(fresh, ["player_id"], ORDER).add(_next=lead("ts")).result()
+        spans = ordered(fresh, ["player_id"], ORDER, YEAR).add(_next=lead("ts")).result()
         forgotten = (
             spans.filter(F.col("_next").isNull() | (F.col("_next") > F.col("ts") + ttl))
             .groupBy("player_id")
@@ -180,7 +175,7 @@ def account_takeover(
     events: DataFrame,
     pending_seconds: int = 900,
     known_ttl_days: int | None = 400,
-    max_rows: int | None = None,
+    width: float = DAY,
 ) -> DataFrame:
     """A withdrawal on the device of the latest suspicious login, soon after it. Flags the payment and the login.
 
@@ -197,7 +192,7 @@ def account_takeover(
     )
     both = suspects.withColumn("_pending", pending).unionByName(withdrawals, allowMissingColumns=True)
     seen = both.select("*", F.col("_pending").isNull().alias("_out"))
-    carried = ordered(seen, ["player_id"], ORDER, max_rows).add(_pending=last_value(F.col("_pending"))).result()
+    carried = ordered(seen, ["player_id"], ORDER, width).add(_pending=last_value(F.col("_pending"))).result()
     hits = carried.filter(
         F.col("_out")
         & F.col("_pending").isNotNull()
@@ -236,31 +231,37 @@ def bot_betting(
     min_gaps: int = 100,
     max_sd: float = 0.3,
     ttl_seconds: int = 6 * 3600,
-    max_rows: int | None = None,
+    width: float = DAY,
 ) -> DataFrame:
     """First round at which a session has enough gaps and their running sample deviation is below ``max_sd``.
 
     A pause longer than ``ttl_seconds`` starts the statistics afresh; a stretch is flagged once.
     """
     rounds = events.filter("event_type = 'game_round'").select("session_id", "player_id", *ORDER)
-    rows = ordered(rounds, ["session_id"], ORDER, max_rows)
-    rows = rows.add(_prev=lag("ts"), _nth=running_sum(F.lit(1)))
-    gap = seconds_between("ts", "_prev")
-    fresh = F.col("_prev").isNull() | (gap > ttl_seconds)
+    rows = ordered(rounds, ["session_id"], ORDER, width).add(_prev=lag("ts"))
+    gap = (F.unix_micros("ts") - F.unix_micros("_prev")).cast("decimal(20,0)")  # whole numbers: sums are exact
+    fresh = F.col("_prev").isNull() | (gap > int(ttl_seconds * 1_000_000))
+    none = F.lit(0).cast("decimal(20,0)")
     rows = rows.with_columns(
-        _fresh=fresh.cast("int"), _gap=F.when(fresh, 0.0).otherwise(gap), _is_gap=(~fresh).cast("int")
-    )
-    rows = rows.add(_stretch=running_sum(F.col("_fresh"))).within("_stretch", ["_nth"])
-    rows = rows.add(
+        _fresh=fresh.cast("int"), _gap=F.when(fresh, none).otherwise(gap), _is_gap=(~fresh).cast("int")
+    ).add(
+        _stretch=running_sum(F.col("_fresh")),
         _n=running_sum(F.col("_is_gap")),
         _sum=running_sum(F.col("_gap")),
-        _squares=running_sum(F.col("_gap") * F.col("_gap")),
+        _squares=running_sum((F.col("_gap") * F.col("_gap")).cast("decimal(38,0)")),
     )
-    n = F.col("_n")
-    spread = (F.col("_squares") - F.col("_sum") * F.col("_sum") / n) / (n - 1)
-    deviation = F.sqrt(F.greatest(F.when(n > 1, spread).otherwise(0.0), F.lit(0.0)))
-    even = rows.result().filter((n >= max(min_gaps, 1)) & (deviation < max_sd))
-    return _flags(keep_first(even, ["session_id", "_stretch"], ORDER), "bot_betting", "session", "session_id")
+    # Sums of a stretch are those of the session less those at its start, where they are smallest.
+    stretch = rows.result()
+    place = ["session_id", "_stretch"]
+    starts = stretch.groupBy(*place).agg(*[F.min(c).alias(f"{c}0") for c in ("_n", "_sum", "_squares")])
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in place]
+    inside = stretch.alias("r").join(starts.alias("s"), same).select(
+        "r.*", *[(F.col(c) - F.col(f"{c}0")).cast("double").alias(f"{c}_here") for c in ("_n", "_sum", "_squares")])
+    n = F.col("_n_here")
+    spread = (F.col("_squares_here") - F.col("_sum_here") * F.col("_sum_here") / n) / (n - 1)
+    deviation = F.sqrt(F.greatest(F.when(n > 1, spread).otherwise(0.0), F.lit(0.0))) / 1e6
+    even = inside.filter((n >= max(min_gaps, 1)) & (deviation < max_sd))
+    return _flags(keep_first(even, place, ORDER), "bot_betting", "session", "session_id")
 
 
 def structuring(
@@ -269,14 +270,14 @@ def structuring(
     near_ratio: float = 0.9,
     window_seconds: int = DAY,
     min_deposits: int = 2,
-    max_rows: int | None = None,
+    width: float = DAY,
 ) -> DataFrame:
     """Deposits at or above the near-threshold amount with enough earlier ones inside the window."""
     floor = threshold_gbp * near_ratio
     large = events.filter(
         (F.col("event_type") == "payment") & (F.col("payment_type") == "deposit") & (F.col("amount_gbp") >= floor)
     ).select("player_id", *ORDER)
-    rows = ordered(large, ["player_id"], ORDER, max_rows).with_columns(_back0=F.col("ts"))
+    rows = ordered(large, ["player_id"], ORDER, width).with_columns(_back0=F.col("ts"))
     for step in range(1, min_deposits):
         rows = rows.add(**{f"_back{step}": lag(f"_back{step - 1}")})
     earliest = F.col(f"_back{min_deposits - 1}")

@@ -33,15 +33,3 @@ def prepare(spark: SparkSession) -> SparkSession:
         spark.conf.set(key, value)
     return spark
 
-
-BYTES_PER_SHUFFLE_PARTITION = 512 * 1024 * 1024
-MOST_SHUFFLE_PARTITIONS = 32_768  # beyond this, bookkeeping of map outputs costs more than smaller partitions save
-
-
-def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
-    """Raise the number of shuffle partitions to suit the input. AQE merges whatever turns out small."""
-    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = min(-(-input_bytes // BYTES_PER_SHUFFLE_PARTITION), MOST_SHUFFLE_PARTITIONS)
-    if wanted > current:
-        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
-    return max(wanted, current)

@@ -20,16 +20,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def path_bytes(spark: SparkSession, *paths: str) -> int:
-    """Total size of the files under paths that exist, from the file system's own accounting."""
-    total = 0
-    for path in paths:
-        if _exists(spark, path):
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            total += hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
-    return total
-
-
 def read_raw(spark: SparkSession, dirs: list[str], name: str) -> DataFrame | None:
     """A raw table, typed as declared, from the first directory that has it. Absent tables are noted and skipped.
 

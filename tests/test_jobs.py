@@ -44,15 +44,35 @@ def test_gate_stops_the_job(spark, raw_dir, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/quality/raw_gate").count() == 39
 
 
-def test_shuffles_grow_with_the_input(spark, raw_dir):
-    from stakelens.session import size_shuffles
-    from stakelens.sources.raw import path_bytes
-
-    assert 0 < path_bytes(spark, f"{raw_dir}/players.parquet", f"{raw_dir}/absent.parquet") < 1_000_000
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        assert size_shuffles(spark, 1_000_000) == int(before)
-        assert size_shuffles(spark, 10 * 2**40) == 20480
-        assert size_shuffles(spark, 100 * 2**40) == 32768
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+def test_flags_follow_the_data(spark, raw_dir, tmp_path):
+    """A second run with the same output folder, on raw tables without bonus claims, must not keep yesterday's flags."""
+    import shutil
+
+    changed, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    shutil.copytree(raw_dir, changed)
+    flags = f"{out}/derived/streaming_fraud_flags.parquet"
+    batch.run(spark, [changed], out, LENS_THRESHOLDS, gated=False)
+    first = spark.read.parquet(flags).filter("scenario_type = 'card_testing'").count()
+    payments = spark.read.parquet(f"{raw_dir}/payments.parquet").filter("payment_type != 'deposit'")
+    payments.write.mode("overwrite").parquet(f"{changed}/payments.parquet")
+    spark.catalog.clearCache()
+    batch.run(spark, [changed], out, LENS_THRESHOLDS, gated=False)
+    assert first > 0 and spark.read.parquet(flags).filter("scenario_type = 'card_testing'").count() == 0
+
+
+def test_failed_model_test_leaves_no_reports(spark, raw_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(batch, "gate", lambda raw, out: None)
+    bad = spark.sql("select 'player_ltv' table_name, 'unique(player_id)' expectation, false success, 1L unexpected_count,"
+                    " 1.0D unexpected_percent, 'a' sample_min, 'a' sample_max")
+    monkeypatch.setattr(quality, "model_tests", lambda w: bad)
+    with pytest.raises(quality.QualityGateError, match="player_ltv"):
+        batch.run(spark, [raw_dir], str(tmp_path), LENS_THRESHOLDS)
+    assert not (tmp_path / "reports").exists() and (tmp_path / "quality").exists()
+
+
+def test_every_failed_check_is_named(spark):
+    report = spark.range(7).selectExpr("'t' table_name", "concat('check', id) expectation", "false success",
+                                       "1.0D unexpected_percent", "'a' sample_min", "'b' sample_max")
+    with pytest.raises(quality.QualityGateError) as error:
+        quality.enforce(report)
+    assert all(f"check{i}" in str(error.value) for i in range(7))

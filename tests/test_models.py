@@ -77,7 +77,7 @@ def test_sessions_without_rounds_and_bots(spark):
 def test_sliced_session_stats(spark):
     rounds = _rounds(spark, {"bot": [5 * i for i in range(101)], "human": [i * i for i in range(101)]})
     plain = marts.session_stats(rounds).collect()
-    cut = marts.session_stats(rounds, max_rows=20).collect()
+    cut = marts.session_stats(rounds, width=60).collect()
     key = lambda r: (r.session_id, r.rounds, r.stake, round(r.stddev_gap_seconds, 6), r.is_bot)
     assert sorted(map(key, plain)) == sorted(map(key, cut))
 
@@ -139,7 +139,7 @@ def test_overlaps_are_found(spark):
     found = sorted((r.player_id, r.valid_from) for r in quality.overlapping_periods(periods, "player_id").collect())
     assert found == [("a", day(1)), ("a", day(5)), ("b", day(3))]
     cut = sorted((r.player_id, r.valid_from)
-                 for r in quality.overlapping_periods(periods, "player_id", max_rows=2).collect())
+                 for r in quality.overlapping_periods(periods, "player_id", width=86_400).collect())
     assert cut == found
 
 
@@ -184,11 +184,11 @@ def test_expectations_ignore_nulls_and_count_whole_groups(spark):
 def test_split_is_exact_and_metrics_match_brute_force(spark):
     rows = [(i, int(i % 7 == 0), round((i * 37 % 100) / 100, 2)) for i in range(400)]
     df = spark.createDataFrame(rows, "id int, label int, score double")
-    for max_rows in (None, 50):
-        split = churn.stratified_split(df, "label", "id", max_rows=max_rows)
+    for widths in ({}, {"width": 1e-3}):
+        split = churn.stratified_split(df, "label", "id", **({"width": 2.0**58} if widths else {}))
         sizes = {(r.label, r.is_test): r["count"] for r in split.groupBy("label", "is_test").count().collect()}
         assert sizes == {(0, True): 86, (0, False): 256, (1, True): 15, (1, False): 43}
-        got = churn.score_metrics(df, max_rows=max_rows).first()
+        got = churn.score_metrics(df, **widths).first()
         pos = [s for _, y, s in rows if y]
         neg = [s for _, y, s in rows if not y]
         auc = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg)

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from stakelens.operators.ordered import MAX_ROWS_SETTING, SMALL_INPUT_SETTING, is_plain_scan
+from stakelens.operators.ordered import Ordered
 from stakelens.operators import asof_lookup, keep_first, lag, last_value, lead, ordered, running_max_before, running_sum
 
 
@@ -20,46 +20,30 @@ def rows(spark):
     return spark.createDataFrame(data, "k string, at int, v int, n int")
 
 
-def test_sliced_groups_give_what_windows_give(rows):
-    def steps(max_rows):
-        out = ordered(rows, ["k"], ["at"], max_rows).add(
-            before=lag("v"), after=lead("v"), latest=last_value(F.col("v")),
-            total=running_sum(F.col("n")), top=running_max_before(F.col("n")),
-        )
-        return out.sliced, sorted(map(tuple, out.result().collect()), key=str)
-
-    plain, whole = steps(10_000), steps(20)
-    assert (plain[0], whole[0]) == (False, True)
-    assert plain[1] == whole[1]
-
-
-def test_exact_copies_can_be_cut_apart(spark):
-    copies = spark.createDataFrame([("k", 1)] * 200 + [("k", 2)] * 3, "k string, at int")
-    out = ordered(copies, ["k"], ["at"], max_rows=20).add(nth=running_sum(F.lit(1)))
-    assert out.sliced
-    assert sorted(r.nth for r in out.result().collect()) == list(range(1, 204))
-    assert out.df.groupBy("_slice").count().agg(F.max("count")).first()[0] < 203
-
-
-def test_large_inputs_are_measured_first(spark, rows, tmp_path):
-    rows.write.parquet(f"{tmp_path}/rows")
-    scan = spark.read.parquet(f"{tmp_path}/rows").filter("n > 0")
-    grouped = scan.groupBy("k", "at").agg(F.max("v").alias("v"))
-    assert is_plain_scan(scan) and not is_plain_scan(grouped)
-    assert not ordered(scan, ["k"], ["at"]).sliced, "small files need no count"
-    try:
-        spark.conf.set(SMALL_INPUT_SETTING, "0")
-        assert not ordered(scan, ["k"], ["at"]).sliced, "counted, and no key is too wide"
-        spark.conf.set(MAX_ROWS_SETTING, "50")
-        for df in (scan, grouped):
-            cut = ordered(df, ["k"], ["at"])
-            assert cut.sliced
-            before = cut.add(before=lag("v")).result().select("k", "at", "before")
-            plain = ordered(df, ["k"], ["at"], 10_000).add(before=lag("v")).result().select("k", "at", "before")
-            assert sorted(map(tuple, before.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
-    finally:
-        spark.conf.unset(SMALL_INPUT_SETTING)
-        spark.conf.unset(MAX_ROWS_SETTING)
+def steps():
+    return dict(
+        before=lag("v"), after=lead("v"), latest=last_value(F.col("v")), total=running_sum(F.col("n")),
+        top=running_max_before(F.col("n")),
+    )
+
+
+@pytest.mark.parametrize("width", [1, 7, 100_000])
+def test_sliced_groups_give_what_windows_give(rows, width):
+    plain = Ordered(rows, ["k"], ["at"], sliced=False).add(**steps()).add(twice=lag("before")).result()
+    cut = ordered(rows, ["k"], ["at"], width).add(**steps()).add(twice=lag("before")).result()
+    assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, cut.select(plain.columns).collect()), key=str)
+
+
+def test_nothing_runs_while_a_plan_is_built(spark, rows):
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    ordered(rows, ["k"], ["at"], 7).add(**steps()).result()
+    assert len(tracker.getJobIdsForGroup(None)) == before
+
+
+def test_slices_need_times_or_numbers(rows):
+    with pytest.raises(TypeError):
+        ordered(rows, ["at"], ["k"])
 
 
 def test_keep_first_limits_before_the_exchange(spark, rows):
@@ -70,8 +54,8 @@ def test_keep_first_limits_before_the_exchange(spark, rows):
     assert first.count() == 4
 
 
-@pytest.mark.parametrize("max_rows", [None, 15])
-def test_asof_is_half_open(spark, max_rows):
+@pytest.mark.parametrize("width", [3600, 30 * 86_400])
+def test_asof_is_half_open(spark, width):
     t0 = datetime(2024, 1, 1)
     periods = spark.createDataFrame(
         [("p", t0 + timedelta(days=i), t0 + timedelta(days=i + 1) if i < 9 else None, f"v{i}") for i in range(10)]
@@ -83,7 +67,7 @@ def test_asof_is_half_open(spark, max_rows):
         + [(90, "gap", t0 + timedelta(days=1)), (91, "gap", t0 + timedelta(hours=23)), (92, "nobody", t0)],
         "id int, player_id string, ts timestamp",
     )
-    found = asof_lookup(events, periods, "player_id", "ts", ["tier"], max_rows)
+    found = asof_lookup(events, periods, "player_id", "ts", ["tier"], width)
     got = {r.id: r.tier for r in found.collect()}
     want = {i: f"v{min((6 * i - 12) // 24, 9)}" for i in range(44) if 6 * i >= 12}
     assert got == {**want, 91: "only"}

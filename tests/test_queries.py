@@ -7,7 +7,7 @@ from compare import connect, duck_rows, spark_rows
 from conftest import TESTDATA
 
 import __spark_entry__ as entry
-from stakelens.operators.ordered import MAX_ROWS_SETTING, SMALL_INPUT_SETTING
+from stakelens import registry
 
 FOLDER = f"{TESTDATA}/sf0.001"
 ORACLES = entry.oracle_sql()
@@ -18,7 +18,7 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, FOLDER)
     got = spark_rows(df)
@@ -31,24 +31,9 @@ def test_query(spark, con, name):
 
 
 def test_only_the_model_lacks_a_twin():
-    assert set(entry.queries()) - set(ORACLES) == {"churn_model_comparison"}
+    assert set(registry.QUERIES) - set(ORACLES) == {"churn_model_comparison"}
     assert set(ORACLES) <= set(entry.queries())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
-
-
-@pytest.mark.parametrize("name", [
-    "bot_sessions", "dim_players_scd2", "flags_card_testing", "flags_bonus_ring", "flags_account_takeover",
-    "flags_bot_betting", "flags_structuring", "payments_with_status_then", "overlapping_quarters",
-    "churn_score_metrics",
-])
-def test_query_with_every_group_cut_into_slices(spark, con, name):
-    try:
-        spark.conf.set(SMALL_INPUT_SETTING, "0")
-        spark.conf.set(MAX_ROWS_SETTING, "3")
-        assert spark_rows(entry.queries()[name](spark, FOLDER)) == duck_rows(con, ORACLES[name])
-    finally:
-        spark.conf.unset(SMALL_INPUT_SETTING)
-        spark.conf.unset(MAX_ROWS_SETTING)

@@ -20,11 +20,11 @@ MACHINE = dict(window=1800, bins=3, ring=1800, pending=7200, gaps=3, sd=200.0, t
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("max_rows", [None, 40])
-def test_rules_agree_with_event_at_a_time(spark, seed, max_rows):
-    """With ``max_rows`` below the hot player's share, the same flags must come out of sliced groups."""
+@pytest.mark.parametrize("width", [None, 900])
+def test_rules_agree_with_event_at_a_time(spark, seed, width):
+    """The same flags must come out of slices of a quarter of an hour."""
     events = make(seed)
-    settings = {name: {**s, **({"max_rows": max_rows} if max_rows else {})} for name, s in SETTINGS.items()}
+    settings = {name: {**s, **({"width": width} if width else {})} for name, s in SETTINGS.items()}
     got = collected(rules.run_rules(frame(spark, events), registry(spark, SINCE), settings))
     want = machine.run(events, SINCE, **MACHINE)
     assert got == want
