@@ -11,6 +11,7 @@ Everything runs inside Spark's own expressions. The largest thing that is shuffl
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -121,9 +122,10 @@ def quantile_sketches(df: DataFrame, measured: str, lang: str = "lang", source:
     """Sketches of all texts with a word: language, source, ratio, bucket, n. ``measured`` names the counts column."""
     c = F.col(measured)
     values = F.array(*[F.struct(F.lit(r.name).alias("ratio"), _bucket(_ratio(c, r)).alias("bucket")) for r in RATIOS])
+    # A filter on the counts would be pushed below them and make them twice; exploding null drops the row as well.
     return (
-        df.filter(c["n_words"] > 0)
-        .select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(values).alias("v"))
+        df.select(F.col(lang).alias("lang"), F.col(source).alias("source"),
+                  F.explode(F.when(c["n_words"] > 0, values)).alias("v"))
         .groupBy("lang", "source", F.col("v.ratio").alias("ratio"), F.col("v.bucket").alias("bucket"))
         .agg(F.count("*").alias("n"))
     )
@@ -191,25 +193,26 @@ def join_verdict(df: DataFrame, measured: str, limits: DataFrame, lang: str, sou
     return joined.withColumn(kept, F.coalesce(inside, F.lit(True))).drop(*names.values())
 
 
-def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def quality_rules(docs: DataFrame, durable: Callable[..., DataFrame], text: str = "text", lang: str = "lang",
+                  source: str = "source") -> DataFrame:
     """The documents that pass, with their own columns.
 
     A document is rejected if it has under ten words, if repeated five-word windows hold over a fifth of its words, or
     if a ratio lies outside the fences of its language and source. Null texts count as empty and are rejected. Null
     languages and sources form groups of their own. Repeated rows are judged alike. Empty tables stay empty. Extra
-    columns pass through, whatever their names.
+    columns pass through, whatever their names. ``durable`` writes the sketches, a small table.
     """
     light, full, kept = fresh(docs, "_light", "_counts", "_kept")
-    limits = fences(quantile_sketches(
+    limits = fences(durable(quantile_sketches(
         docs.select(F.col(lang), F.col(source), counts(F.col(text), repeats=False).alias(light)), light, lang, source
-    ))
+    ), "sketches"))
     judged = join_verdict(docs.withColumn(full, counts(F.col(text))), full, limits, lang, source, kept)
     # One condition over both sides of the join: parts of it would be pushed below and the counts made once more there.
     passes = F.when(F.col(kept), ~base_failed(F.col(full))).otherwise(False)
     return judged.filter(passes).select(*[docs[c] for c in docs.columns])
 
 
-def quality_report(docs: DataFrame, durable, key: str = "doc_id", text: str = "text", lang: str = "lang",
+def quality_report(docs: DataFrame, durable: Callable[..., DataFrame], key: str = "doc_id", text: str = "text", lang: str = "lang",
                    source: str = "source") -> DataFrame:
     """One row per document: key, counts, ``base_failed`` and ``kept``. ``durable`` writes the counts, which are read twice.
 

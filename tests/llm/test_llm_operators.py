@@ -52,11 +52,11 @@ def tokenizer():
 # 1 ------------------------------------------------------------------------------------------------------------------
 
 def test_quality_rules_keep_columns_and_reject_the_short(edges, nothing):
-    kept = quality_rules.quality_rules(edges)
+    kept = quality_rules.quality_rules(edges, durable)
     assert kept.columns == COLUMNS
     texts = Counter(r.text for r in kept.collect())
     assert texts[TEXTS[7]] == 4 and None not in texts and "" not in texts  # two documents, each twice
-    assert quality_rules.quality_rules(nothing).count() == 0
+    assert quality_rules.quality_rules(nothing, durable).count() == 0
 
 
 def test_quality_report_on_edges(edges, nothing):
