@@ -64,19 +64,18 @@ def _percent_over(naive: Column, right: Column) -> Column:
 
 
 def dedup_distortion(w: Warehouse) -> DataFrame:
-    """Effect of retried deliveries alone: deposits with a known currency, in GBP, before and after dedup."""
-    fx = F.broadcast(w.fx.withColumnRenamed("currency", "_fx"))
-
-    def deposits(payments: DataFrame) -> DataFrame:
-        kept = payments.filter("payment_type = 'deposit'").join(fx, F.upper("currency") == F.col("_fx"))
-        return kept.agg(F.sum(F.col("amount") * F.col("rate_to_gbp")))
-
-    # The type is filtered after dedup: the first copy decides what a payment is.
-    both = one_row(
-        w,
-        raw_with_dupes_gbp=deposits(w.raw.payments),
-        deduped_gbp=deposits(keep_first(w.raw.payments, ["payment_id"], ["ts"])),
-    )
+    """Effect of retried deliveries alone: deposits with a known currency, in GBP, before and after dedup.
+
+    One pass over the payments: all copies of a payment are summed where the first copy is found.
+    """
+    rates = w.fx.withColumnRenamed("currency", "_fx")
+    priced = w.raw.payments.join(rates, F.upper("currency") == F.col("_fx"), "left").select(
+        "payment_id", "ts", F.when(F.col("payment_type") == "deposit", F.col("amount") * F.col("rate_to_gbp")).alias("gbp")
+    )
+    # Boxed, because the first copy decides what a payment is, also if it is no deposit.
+    first = F.min_by(F.struct("gbp"), F.col("ts"))
+    payments = priced.groupBy("payment_id").agg(F.sum("gbp").alias("every"), first.alias("one"))
+    both = payments.agg(F.sum("every").alias("raw_with_dupes_gbp"), F.sum("one.gbp").alias("deduped_gbp"))
     share = _percent_over(F.col("raw_with_dupes_gbp"), F.col("deduped_gbp"))
     return both.withColumn("dedup_only_distortion_pct", share)
 
@@ -178,19 +177,16 @@ def point_in_time_mismatches(w: Warehouse) -> DataFrame:
 
 
 def join_fanout(w: Warehouse) -> DataFrame:
-    """Rows a payments-to-rounds join per player would produce, without producing them."""
-    count = lambda df: df.groupBy("player_id").agg(F.count("*").alias("n"))
-    p, g = count(w.raw.payments).alias("p"), count(w.raw.game_rounds).alias("g")
-    product = p.join(g, F.col("p.player_id") == F.col("g.player_id")).agg(
-        F.sum((F.col("p.n") * F.col("g.n").cast("decimal(20,0)")).cast("decimal(38,0)"))
-    )
-    return one_row(
-        w,
-        players=w.raw.players.agg(F.count("*")),
-        payments=w.raw.payments.agg(F.count("*")),
-        game_rounds=w.raw.game_rounds.agg(F.count("*")),
-        naive_join_rows=product,
-    )
+    """Rows a payments-to-rounds join per player would produce, without producing them. Each table is read once."""
+    count = lambda df, name: df.groupBy("player_id").agg(F.count("*").alias(name))
+    per_player = count(w.raw.payments, "p").join(count(w.raw.game_rounds, "g"), "player_id", "full_outer")
+    product = (F.col("p") * F.col("g").cast("decimal(20,0)")).cast("decimal(38,0)")
+    totals = per_player.agg(
+        F.coalesce(F.sum("p"), F.lit(0)).alias("payments"), F.coalesce(F.sum("g"), F.lit(0)).alias("game_rounds"),
+        F.sum(product).alias("naive_join_rows"),
+    )
+    return totals.select(
+        w.raw.players.agg(F.count("*")).scalar().alias("players"), "payments", "game_rounds", "naive_join_rows")
 
 
 def totals_before_join(w: Warehouse) -> DataFrame:

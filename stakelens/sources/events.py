@@ -14,8 +14,8 @@ SEQ = {"login": 0, "payment": 1, "bonus_claim": 2, "game_round": 3}
 
 
 def normalise(payments: DataFrame, fx: DataFrame) -> DataFrame:
-    """Attach ``amount_gbp``. The seed has five rows, so it is always broadcast."""
-    rates = F.broadcast(fx.select(F.col("currency").alias("_fx"), "rate_to_gbp"))
+    """Attach ``amount_gbp``. Rates may come from a caller's file, so the planner decides by their size."""
+    rates = fx.select(F.col("currency").alias("_fx"), "rate_to_gbp")
     return (
         payments.join(rates, F.upper("currency") == F.col("_fx"), "left")
         .withColumn("amount_gbp", to_gbp("amount", "rate_to_gbp"))
@@ -97,13 +97,34 @@ def to_messages(events: DataFrame) -> DataFrame:
     return events.select(F.col("player_id").cast("string").alias("key"), F.to_json(body).alias("value"))
 
 
-def from_messages(messages: DataFrame, fx: DataFrame) -> DataFrame:
-    """Decode JSON messages into EVENT rows. A ts without an offset is UTC, as the session zone is."""
+def _decoded(messages: DataFrame) -> DataFrame:
+    """The messages with ``e``, their fields, ``at``, their time, and ``wrong``, why they are no events (else null)."""
     wire = T.StructType([T.StructField(f.name, T.StringType() if f.name == "ts" else f.dataType)
                          for f in EVENT.fields if f.name not in {"seq", "amount_gbp"}])
-    events = messages.select(F.from_json(F.col("value").cast("string"), wire).alias("e")).select("e.*")
+    body = F.col("value").cast("string")
+    decoded = messages.select(body.alias("message"), F.from_json(body, wire).alias("e")).withColumn(
+        "at", F.try_to_timestamp("e.ts"))
+    wrong = (
+        F.when(F.col("message").isNull() | F.col("e.event_type").isNull(), F.lit("no event"))
+        .when(~F.col("e.event_type").isin(list(SEQ)), F.lit("unknown event type"))
+        .when(F.col("at").isNull(), F.lit("no time"))
+    )
+    return decoded.withColumn("wrong", wrong)
+
+
+def rejected_messages(messages: DataFrame) -> DataFrame:
+    """Messages that are no events, with the reason: to be written next to the events, so that none vanishes."""
+    return _decoded(messages).filter("wrong is not null").select("message", F.col("wrong").alias("reason"))
+
+
+def from_messages(messages: DataFrame, fx: DataFrame) -> DataFrame:
+    """Decode JSON messages into EVENT rows, but for those that :func:`rejected_messages` returns.
+
+    A ts without an offset is UTC, as the session zone is.
+    """
+    events = _decoded(messages).filter("wrong is null").select("e.*", "at")
     rank = F.coalesce(*[F.when(F.col("event_type") == kind, F.lit(n)) for kind, n in SEQ.items()])
-    events = events.withColumns({"ts": F.to_timestamp("ts"), "seq": rank})
+    events = events.withColumns({"ts": F.col("at"), "seq": rank}).drop("at")
     return normalise(events, fx).select(*EVENT.fieldNames())
 
 

@@ -15,7 +15,7 @@ log = logging.getLogger(__name__)
 FX_TO_GBP = {"GBP": "1.00", "EUR": "0.85", "SEK": "0.075", "DKK": "0.115", "CAD": "0.59"}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
@@ -28,7 +28,7 @@ def read_raw(spark: SparkSession, dirs: list[str], name: str) -> DataFrame | Non
     """
     for folder in dirs:
         path = f"{folder.rstrip('/')}/{name}.parquet"
-        if _exists(spark, path):
+        if exists(spark, path):
             found = spark.read.parquet(path)
             return found.select(
                 *[

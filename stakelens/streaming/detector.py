@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..session import STATE_PROVIDER
+from ..sources.raw import exists
 from .processors import FLAG_OUT, PlayerProcessor, PlayerRules, RingProcessor, SessionProcessor
 
 WATERMARK = "10 minutes"
@@ -95,9 +96,14 @@ def flag_id(*extra: Column) -> Column:
 
 
 def write_flags(flags: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Stamp and append flags. Each micro-batch owns a folder and overwrites it, so a retry does not duplicate."""
+    """Stamp and append flags. Each micro-batch owns a folder and overwrites it, so a retry does not duplicate.
+
+    A batch without flags, as most are, leaves no folder.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
         stamped = batch.select(
             flag_id().alias("flag_id"), "scenario_type", "entity_type", "entity_id", "player_id",
             "triggering_event_ts", F.current_timestamp().alias("detected_ts"), "severity", "raised_ts", "raised_by",
@@ -136,6 +142,15 @@ def run_detector(
     ]
 
 
+FLAG_FILE = (
+    "flag_id string, scenario_type string, entity_type string, entity_id string, player_id string,"
+    " triggering_event_ts timestamp, detected_ts timestamp, severity string, raised_ts timestamp, raised_by string,"
+    " job string, batch_id int"
+)
+
+
 def read_flags(spark, path: str) -> DataFrame:
-    """Flags of all jobs written by :func:`run_detector`."""
+    """Flags of all jobs written by :func:`run_detector`; none if no batch has found any."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], FLAG_FILE)
     return spark.read.parquet(path)

@@ -118,3 +118,15 @@ def test_retries_are_dropped_on_request(spark, topic, tmp_path):
     assert got.count() == 120 < len(events)
     assert got.filter(F.col("event_type") == "login").select("entity_id").distinct().count() == \
         got.filter(F.col("event_type") == "login").count()
+
+
+def test_messages_that_are_no_events_are_set_aside(spark):
+    from stakelens.sources.events import from_messages, rejected_messages
+    from stakelens.sources.raw import fx_rates
+
+    good = '{"event_type": "login", "ts": "2024-01-01T00:00:00Z"}'
+    bad = ["{", '{"event_type": "login", "ts": "yesterday"}', '{"event_type": "walk", "ts": "2024-01-01T00:00:00Z"}', "null", None]
+    messages = spark.createDataFrame([(m,) for m in [good, *bad]], "value string")
+    assert from_messages(messages, fx_rates(spark)).count() == 1
+    got = {r.message: r.reason for r in rejected_messages(messages).collect()}
+    assert got == {"{": "no event", bad[1]: "no time", bad[2]: "unknown event type", "null": "no event", None: "no event"}
