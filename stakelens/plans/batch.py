@@ -9,6 +9,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from ..operators import clear_scratch
 from ..session import build_session
 from ..sources.sinks import export_reports, write_metrics, write_parquet
 from . import bi, churn, distortion, quality, rules
@@ -109,7 +110,11 @@ def main() -> None:
     parser.add_argument("--raw", action="append", required=True)
     parser.add_argument("--out", required=True)
     args = parser.parse_args()
-    run(build_session("stakelens-batch"), args.raw, args.out)
+    spark = build_session("stakelens-batch")
+    try:
+        run(spark, args.raw, args.out)
+    finally:
+        clear_scratch(spark)
 
 
 if __name__ == "__main__":
