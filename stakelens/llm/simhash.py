@@ -4,9 +4,9 @@ Equal fingerprints are merged first. The rest are sorted into cells by populatio
 cell. Two fingerprints within the radius have counts that differ by the radius at most, so a tile meets only the
 tiles of its own and of neighbouring cells; all other tile pairs are skipped. For a small radius, cells are the
 counts of the four 16-bit quarters, which skips about 19 of 20 pairs of random fingerprints; for a wide one they are
-bands of the whole count. Tiles that meet are compared in full, by exclusive-or and bit counts. Links inside one
-batch of tile pairs are thinned to a spanning forest, which keeps every connection while a large group of near
-copies makes no more links than it has members.
+bands of the whole count. Tiles that meet are compared in full, by exclusive-or and bit counts. Links between two
+tiles are thinned to stars as they are found, which keeps every connection while a large group of near copies makes no
+more links in a tile pair than it has members there.
 """
 
 from __future__ import annotations
@@ -131,37 +131,35 @@ def _tiles(distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(cut, "cell int, tile binary, packed binary")
 
 
-def near(a: np.ndarray, b: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of linked rows; ``a`` and ``b`` have a row of unsigned words for each fingerprint."""
+def tile_links(a: np.ndarray, b: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what all links between two tiles connect, at most one per fingerprint.
+
+    ``a`` and ``b`` have a row of unsigned words for each fingerprint; the result is two such arrays. Links are
+    merged into classes as the rows of ``a`` are worked off, so no more than one comparison matrix is held.
+    """
+    every = np.concatenate([a, b])
+    root = np.arange(len(every))
     rows = max(1, CELLS // max(1, len(b)))
-    left, right = [], []
     for start in range(0, len(a), rows):
         i, j = np.nonzero(np.bitwise_count(a[start:start + rows, 0, None] ^ b[None, :, 0]) <= like.first)
         i += start
         if like.lanes > 1 and len(i):
             close = np.bitwise_count(a[i] ^ b[j]).sum(axis=1, dtype=int) <= like.radius
             i, j = i[close], j[close]
-        left.append(i)
-        right.append(j)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def forest(links: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
-    """As few of the links as keep everything connected that they connect."""
-    root: dict[bytes, bytes] = {}
-
-    def find(x: bytes) -> bytes:
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = x = root[up]
-        return x
-
-    kept = []
-    for a, b in links:
-        x, y = find(a), find(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            kept.append((a, b))
-    return kept
+        j = j + len(a)
+        while True:
+            x, y = root[i], root[j]
+            apart = x != y
+            if not apart.any():
+                break
+            i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while not np.array_equal(shorter := root[root], root):
+                root = shorter
+    moved = np.flatnonzero(root != np.arange(len(every)))
+    left, right = every[moved], every[root[moved]]
+    differ = (left != right).any(axis=1)
+    return left[differ], right[differ]
 
 
 def fingerprint_links(distinct: DataFrame, like: Likeness, durable: Callable[..., DataFrame]) -> DataFrame:
@@ -185,17 +183,13 @@ def fingerprint_links(distinct: DataFrame, like: Likeness, durable: Callable[...
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            links: list[tuple[bytes, bytes]] = []
             for x, y in zip(batch.column("a"), batch.column("b"), strict=True):
-                p, q = (np.frombuffer(z.as_py(), np.uint64).reshape(-1, lanes) for z in (x, y))  # any order of bytes
-                i, j = near(p, q, like)
-                apart = (p[i] != q[j]).any(axis=1)
-                if apart.any():
-                    found = zip((r.tobytes() for r in p[i[apart]]), (r.tobytes() for r in q[j[apart]]), strict=True)
-                    links = forest([*links, *found])
-            yield pa.RecordBatch.from_pydict({
-                "a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary()),
-            })
+                p, q = (np.frombuffer(z.as_buffer(), np.uint64).reshape(-1, lanes) for z in (x, y))  # any order of bytes
+                left, right = tile_links(p, q, like)
+                if len(left):
+                    yield pa.RecordBatch.from_pydict({
+                        "a": pa.array([r.tobytes() for r in left], pa.binary()),
+                        "b": pa.array([r.tobytes() for r in right], pa.binary())})
 
     return pairs.mapInArrow(compare, "a binary, b binary")
 
