@@ -12,13 +12,14 @@ more links in a tile pair than it has members there.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -31,6 +32,7 @@ TILE = 4096
 CELLS = 1 << 18  # of one comparison matrix
 SHINGLES_AT_ONCE = 1 << 14
 NARROW = 4  # widest radius for which quarter counts are worth their many neighbours
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)
 STRIPES = 16  # tasks over which the tiles of one band are spread
 
 
@@ -194,9 +196,22 @@ def fingerprint_links(distinct: DataFrame, like: Likeness, durable: Callable[...
     return pairs.mapInArrow(compare, "a binary, b binary")
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of pairs of tiles, which are wide rows, are kept small while they are compared."""
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
 def _linked(distinct: DataFrame, like: Likeness, durable: Callable[..., DataFrame]) -> DataFrame:
     """The rows of ``distinct`` that have links, with their ``component``. Written."""
-    member = components(fingerprint_links(distinct, like, durable), durable)
+    with _small_batches(distinct.sparkSession):
+        links = durable(fingerprint_links(distinct, like, durable), "links")
+    member = components(links, durable)
     return durable(distinct.join(member, F.col("fp") == F.col("node")).drop("node"), "linked")
 
 
