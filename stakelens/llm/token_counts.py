@@ -18,18 +18,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import PIECES_AT_ONCE, ROWS_AT_ONCE, Tokenizer, tokenizer_of
+from .bpe import PIECES_AT_ONCE, Tokenizer, tokenizer_of
 
+ROWS_AT_ONCE = 128
 MAJORITY, FIRST, LAST = "majority", "first", "last"
 SECTIONS = "array<struct<name:string,start:int,end:int>>"
 
 
-def token_spans(tokenizer: Tokenizer, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def token_spans(tokenizer: Tokenizer, text: str, cut: list[str] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """First character of each token, and one past the last that it touches; a bounded number of pieces at a time.
 
-    A token may hold only some bytes of a character; it touches that character.
+    A token may hold only some bytes of a character; it touches that character. ``cut`` are the text's pieces, if known.
     """
-    found = (m.group() for m in tokenizer.pattern.finditer(text))
+    found = iter(cut) if cut is not None else (m.group() for m in tokenizer.pattern.finditer(text))
     done = 0
     while pieces := list(islice(found, PIECES_AT_ONCE)):
         tokenizer.learn(pieces)
@@ -101,13 +102,16 @@ def token_counts(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 some = batch.slice(at, ROWS_AT_ONCE)
+                bodies = [x or "" for x in some.column("text").to_pylist()]
+                # Short texts learn their new pieces together, in few large matrices.
+                cuts = [t.pattern.findall(x) if len(x) <= PIECES_AT_ONCE else None for x in bodies]
+                t.learn([p for pieces in cuts if pieces for p in pieces])
                 keys, names, sizes, tokens = [], [], [], []
-                for row, (body, parts) in enumerate(zip(
-                        some.column("text").to_pylist(), some.column("sections").to_pylist(), strict=True)):
-                    body = body or ""
+                for row, (body, cut, parts) in enumerate(zip(
+                        bodies, cuts, some.column("sections").to_pylist(), strict=True)):
                     own, spans = _apart(parts, len(body))
                     totals = np.zeros(len(own) + 1, np.int64)
-                    for starts, ends in token_spans(t, body):
+                    for starts, ends in token_spans(t, body, cut):
                         totals += np.bincount(attribute(starts, ends, spans, rule) + 1, minlength=len(own) + 1)
                     widths = [len(body) - int((spans[:, 1] - spans[:, 0]).sum()), *(spans[:, 1] - spans[:, 0]).tolist()]
                     for name, width, n in zip([None, *own], widths, totals.tolist(), strict=True):
