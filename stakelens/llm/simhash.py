@@ -7,13 +7,18 @@ counts of the four 16-bit quarters, which skips about 19 of 20 pairs of random f
 bands of the whole count. Tiles that meet are compared in full, by exclusive-or and bit counts. Links between two
 tiles are thinned to stars as they are found, which keeps every connection while a large group of near copies makes no
 more links in a tile pair than it has members there.
+
+Where texts count as near by the shingles they share, bit links are candidates only. The texts of two tiles that have
+candidates meet in blocks, with the hashes of their distinct shingles, and a link is what has the exact Jaccard
+similarity; only such links are thinned.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from hashlib import blake2b
 from itertools import product
 
 import numpy as np
@@ -34,6 +39,8 @@ SHINGLES_AT_ONCE = 1 << 14
 NARROW = 4  # widest radius for which quarter counts are worth their many neighbours
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)
 STRIPES = 16  # tasks over which the tiles of one band are spread
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19  # most texts, and about the most shingles, of one side of a block
+SET_BYTES, SIZE_BYTES = 16, 4  # of an entry, after its fingerprint
 
 
 @dataclass(frozen=True)
@@ -47,9 +54,12 @@ class Likeness:
     first: int = 3
 
 
-# Five-word shingles at a similarity of 0.8: texts whose shingle sets have that Jaccard similarity differ in 39 of
-# 256 bits on average, with a deviation of 6; unrelated ones in 128, with a deviation of 8.
-FIVE_WORDS = Likeness(shingle=5, lanes=4, radius=50, first=22)
+# Near is a Jaccard similarity of ALIKE or more between the sets of five-word shingles.
+ALIKE = (4, 5)
+# Candidates for it. Of sets at 0.8, a bit of 256 differs with probability 0.151 if they are large and equal in size, and
+# 0.1875 at most (4 of 5 shingles). So such a pair is missed (over 68 bits, or over 24 in the first word) with less than
+# one in 1,000 at any size, and one in 100,000 for large sets. Unrelated texts differ in 128, with a deviation of 8.
+FIVE_WORDS = Likeness(shingle=5, lanes=4, radius=68, first=24)
 
 
 def fingerprint(text: str | None, shingle: int = 3, lanes: int = 1) -> np.ndarray:
@@ -57,20 +67,46 @@ def fingerprint(text: str | None, shingle: int = 3, lanes: int = 1) -> np.ndarra
 
     The first word has the majority bits of the shingles' XXH64; further words those of its mixed values.
     """
-    w = (text or "").encode().lower().split()  # bytes: lowers A-Z and splits at the six ASCII spaces only
-    if not w:
-        return np.zeros(lanes, np.uint64)
+    w = _words(text)
     last = max(1, len(w) - shingle + 1)
+    blocks = (_hashes(w, shingle, range(i, min(last, i + SHINGLES_AT_ONCE))) for i in range(0, last, SHINGLES_AT_ONCE))
+    return _majority(blocks, last, lanes) if w else np.zeros(lanes, np.uint64)
+
+
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The hashes of the distinct word shingles of a whole text, in order; none for a text without words."""
+    w = _words(text)
+    return np.unique(_hashes(w, shingle, range(max(1, len(w) - shingle + 1)))) if w else np.zeros(0, np.uint64)
+
+
+def entry(text: str | None, like: Likeness) -> tuple[bytes, np.ndarray]:
+    """What stands for all texts with the same set of shingles: fingerprint of the set, its digest and its size.
+
+    The fingerprint's words come along.
+    """
+    h = shingle_set(text, like.shingle)
+    fp = fingerprint(text, like.shingle, like.lanes)
+    digest = blake2b(h.astype("<u8").tobytes(), digest_size=SET_BYTES).digest()
+    return fp.astype(">u8").tobytes() + digest + len(h).to_bytes(SIZE_BYTES, "big"), fp
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()  # bytes: lowers A-Z and splits at the six ASCII spaces only
+
+
+def _hashes(w: list[bytes], shingle: int, places: range) -> np.ndarray:
+    return np.fromiter((xxh64_intdigest(b" ".join(w[i:i + shingle]), SEED) for i in places), np.uint64, len(places))
+
+
+def _majority(blocks: Iterable[np.ndarray], n: int, lanes: int) -> np.ndarray:
     ones = np.zeros((lanes, 64), np.int64)
-    for start in range(0, last, SHINGLES_AT_ONCE):
-        some = range(start, min(last, start + SHINGLES_AT_ONCE))
-        h = np.fromiter((xxh64_intdigest(b" ".join(w[i:i + shingle]), SEED) for i in some), np.uint64, len(some))
+    for h in blocks:
         for lane in range(lanes):
             bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             ones[lane] += bits.sum(axis=0, dtype=np.int64)
             h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-    return np.packbits(ones * 2 > last, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
+    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
 
 def _cell(fp: np.ndarray, like: Likeness) -> int:
@@ -111,6 +147,21 @@ def fingerprints(docs: DataFrame, text: str = "text", like: Likeness = Likeness(
     return docs.withColumn(to, of(F.col(text)))
 
 
+def entries(docs: DataFrame, text: str, like: Likeness, to: str) -> DataFrame:
+    """The frame with a column ``to``: struct of ``fp`` (the whole :func:`entry`) and ``cell``."""
+
+    @F.pandas_udf("fp binary, cell int")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [entry(x, like) for x in batch]
+            yield pd.DataFrame({
+                "fp": pd.Series([e for e, _ in made], dtype=object),
+                "cell": np.array([_cell(fp, like) for _, fp in made], np.int32),
+            })
+
+    return docs.withColumn(to, of(F.col(text)))
+
+
 def _tiles(distinct: DataFrame) -> DataFrame:
     """Tiles of at most TILE fingerprints of one cell: cell, tile, packed."""
 
@@ -166,7 +217,23 @@ def tile_links(a: np.ndarray, b: np.ndarray, like: Likeness) -> tuple[np.ndarray
 
 def fingerprint_links(distinct: DataFrame, like: Likeness, durable: Callable[..., DataFrame]) -> DataFrame:
     """Links (a, b) that connect what all links connect. ``distinct`` has one row per ``fp``, with its ``cell``."""
-    tiles = durable(_tiles(distinct), "tiles")
+    pairs, lanes = _meetings(durable(_tiles(distinct), "tiles"), like), like.lanes
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column("a"), batch.column("b"), strict=True):
+                p, q = (np.frombuffer(z.as_buffer(), np.uint64).reshape(-1, lanes) for z in (x, y))  # any order of bytes
+                left, right = tile_links(p, q, like)
+                if len(left):
+                    yield pa.RecordBatch.from_pydict({
+                        "a": pa.array([r.tobytes() for r in left], pa.binary()),
+                        "b": pa.array([r.tobytes() for r in right], pa.binary())})
+
+    return pairs.mapInArrow(compare, "a binary, b binary")
+
+
+def _meetings(tiles: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs (a, b) of packed tiles that may hold links, each once and each tile with itself."""
     stripes = STRIPES if like.radius > NARROW else 1
     stripe = F.pmod(F.xxhash64("tile"), F.lit(stripes)).cast("int")
     meets = F.array(*[F.struct((F.col("cell") + s).alias("cell_b"), F.lit(k).alias("stripe"))
@@ -180,20 +247,131 @@ def fingerprint_links(distinct: DataFrame, like: Likeness, durable: Callable[...
         stripe.alias("stripe"),
     )
     once = (F.col("cell_a") != F.col("cell_b")) | (F.col("tile_a") <= F.col("tile_b"))
-    pairs = left.join(right, ["cell_b", "stripe"]).filter(once).select("a", "b")
-    lanes = like.lanes
+    return left.join(right, ["cell_b", "stripe"]).filter(once).select("a", "b")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _unpacked(entries: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprint words and set sizes of rows of bytes."""
+    words = np.ascontiguousarray(entries[:, :8 * lanes]).view(np.uint64)  # any order of bytes
+    return words, np.ascontiguousarray(entries[:, -SIZE_BYTES:]).view(">u4").ravel().astype(np.int64)
+
+
+def _candidates(a: np.ndarray, b: np.ndarray, like: Likeness) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows near enough in bits and in size, in order of the first; a slice of ``a`` at a time."""
+    (p, m), (q, n) = _unpacked(a, like.lanes), _unpacked(b, like.lanes)
+    rows = max(1, CELLS // max(1, len(b)))
+    for start in range(0, len(a), rows):
+        i, j = np.nonzero(np.bitwise_count(p[start:start + rows, 0, None] ^ q[None, :, 0]) <= like.first)
+        i += start
+        near = ALIKE[1] * np.minimum(m[i], n[j]) >= ALIKE[0] * np.maximum(m[i], n[j])
+        i, j = i[near], j[near]
+        near = np.bitwise_count(p[i] ^ q[j]).sum(axis=1, dtype=int) <= like.radius
+        yield i[near], j[near]
+
+
+def _chunks(sizes: np.ndarray) -> np.ndarray:
+    """Ascending numbers that cut rows into chunks of BLOCK texts and about BLOCK_SHINGLES shingles at most."""
+    key = np.arange(len(sizes)) // BLOCK * (1 << 40) + (np.cumsum(sizes) - sizes) // BLOCK_SHINGLES
+    return np.unique(key, return_inverse=True)[1]
+
+
+def blocks(tiles: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs of chunks of tiles with candidates: block (its name), side (1 or 2) and fp (an entry with candidates)."""
+    width = 8 * like.lanes + SET_BYTES + SIZE_BYTES
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y in zip(batch.column("a"), batch.column("b"), strict=True):
-                p, q = (np.frombuffer(z.as_buffer(), np.uint64).reshape(-1, lanes) for z in (x, y))  # any order of bytes
-                left, right = tile_links(p, q, like)
-                if len(left):
+                a, b = (np.frombuffer(z.as_buffer(), np.uint8).reshape(-1, width) for z in (x, y))
+                same = np.array_equal(a[0], b[0])
+                of_a, of_b = (_chunks(_unpacked(z, like.lanes)[1]) for z in (a, b))
+                in_a, in_b = np.zeros((len(a), of_b[-1] + 1), bool), np.zeros((len(b), of_a[-1] + 1), bool)
+                for i, j in _candidates(a, b, like):
+                    if same:
+                        i, j = i[i < j], j[i < j]
+                    in_a[i, of_b[j]] = True
+                    in_b[j, of_a[i]] = True
+                for k, m in zip(*np.nonzero([in_a[of_a == k].any(axis=0) for k in range(of_a[-1] + 1)]), strict=True):
+                    left, right = in_a[:, m] & (of_a == k), in_b[:, k] & (of_b == m)
+                    if same and k == m:
+                        left, right = left | right, np.zeros(len(b), bool)
+                    name = b"".join(z[np.argmax(of == c), -SET_BYTES - SIZE_BYTES:-SIZE_BYTES].tobytes()
+                                    for z, of, c in ((a, of_a, k), (b, of_b, m)))
+                    members = [r.tobytes() for r in (*a[left], *b[right])]
                     yield pa.RecordBatch.from_pydict({
-                        "a": pa.array([r.tobytes() for r in left], pa.binary()),
-                        "b": pa.array([r.tobytes() for r in right], pa.binary())})
+                        "block": pa.array([name] * len(members), pa.binary()),
+                        "side": pa.array([1] * int(left.sum()) + [2] * int(right.sum()), pa.int32()),
+                        "fp": pa.array(members, pa.binary())})
 
-    return pairs.mapInArrow(compare, "a binary, b binary")
+    return _meetings(tiles, like).mapInArrow(find, "block binary, side int, fp binary")
+
+
+def confirmed_links(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], like: Likeness) -> tuple[np.ndarray, np.ndarray]:
+    """Links among the candidates between two lists of entries that connect what all pairs of them with ALIKE connect.
+
+    ``sets`` has the shingle sets of ``a``, then of ``b``. Each candidate is decided by its whole sets unless the two
+    are connected already.
+    """
+    every = np.concatenate([a, b])
+    root = np.arange(len(every))
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum([len(s) for s in sets])
+    own = np.split(ids, ends[:-1])
+    size, mark = np.diff(ends, prepend=0), np.zeros(ids.max(initial=-1) + 1, bool)
+    for rows, others in _candidates(a, b, like):
+        edges = np.flatnonzero(np.diff(rows)) + 1
+        for i, js in zip(rows[np.concatenate([[0], edges])] if len(rows) else [], np.split(others, edges), strict=False):
+            js = js + len(a)
+            js = js[(root[js] != root[i]) & (size[js] > 0)]
+            if not len(js):
+                continue
+            mark[own[i]] = True
+            starts = np.cumsum(size[js]) - size[js]
+            common = np.add.reduceat(mark[np.concatenate([own[j] for j in js])], starts, dtype=np.int64)
+            mark[own[i]] = False
+            joined = root[js[sum(ALIKE) * common >= ALIKE[0] * (size[i] + size[js])]]
+            if len(joined):
+                joined = np.append(joined, root[i])
+                root[np.isin(root, joined)] = joined.min()
+    moved = np.flatnonzero(root != np.arange(len(every)))
+    return every[moved], every[root[moved]]
+
+
+def _confirmed(candidates: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    """Links (a, b) among the members of each block. ``sets`` has ``of`` (an entry) and ``shingles`` (packed hashes)."""
+
+    def confirm(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        entry_of, packed = table.column("fp").to_pylist(), table.column("shingles").to_pylist()
+        place = [np.flatnonzero(side == k) for k in (1, 2)]
+        if not len(place[1]):
+            place[1] = place[0]  # a chunk with itself
+        a, b = (np.array([np.frombuffer(entry_of[i], np.uint8) for i in p]) for p in place)
+        left, right = confirmed_links(a, b, [np.frombuffer(packed[i], "<u8") for p in place for i in p], like)
+        linked = [(x.tobytes(), y.tobytes()) for x, y in zip(left, right, strict=True)]
+        return pa.table({"a": pa.array([x for x, _ in linked], pa.binary()), "b": pa.array([y for _, y in linked], pa.binary())})
+
+    members = candidates.join(sets, F.col("fp") == F.col("of")).select("block", "side", "fp", "shingles")
+    return members.groupBy("block").applyInArrow(confirm, "a binary, b binary")
+
+
+def shingle_links(distinct: DataFrame, texts: DataFrame, like: Likeness, durable: Callable[..., DataFrame]) -> DataFrame:
+    """Links (a, b) that connect what all confirmed candidates connect.
+
+    ``distinct`` has one row per entry ``fp``, with its ``cell`` and the number ``row`` of one of its texts; ``texts``
+    has ``row`` and ``text``. Only texts with candidates are shuffled, as hashes.
+    """
+    found = durable(blocks(durable(_tiles(distinct), "tiles"), like), "blocks")
+    wanted = found.select(F.col("fp").alias("of")).distinct().join(
+        distinct.select("fp", F.col("row").alias("at")), F.col("of") == F.col("fp")).select("of", "at")
+
+    @F.pandas_udf("binary")
+    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([shingle_set(x, like.shingle).astype("<u8").tobytes() for x in batch], dtype=object)
+
+    sets = texts.join(wanted, F.col("row") == F.col("at")).select("of", packed("text").alias("shingles"))
+    return _confirmed(found, durable(sets, "sets"), like)
 
 
 @contextmanager
@@ -207,11 +385,11 @@ def _small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(BATCH_SETTING, before)
 
 
-def _linked(distinct: DataFrame, like: Likeness, durable: Callable[..., DataFrame]) -> DataFrame:
+def _linked(distinct: DataFrame, links: Callable[[], DataFrame], durable: Callable[..., DataFrame]) -> DataFrame:
     """The rows of ``distinct`` that have links, with their ``component``. Written."""
     with _small_batches(distinct.sparkSession):
-        links = durable(fingerprint_links(distinct, like, durable), "links")
-    member = components(links, durable)
+        found = durable(links(), "links")
+    member = components(found, durable)
     return durable(distinct.join(member, F.col("fp") == F.col("node")).drop("node"), "linked")
 
 
@@ -228,7 +406,7 @@ def near_duplicates(docs: DataFrame, durable: Callable[..., DataFrame], key: str
         .select("key", "mark.fp", "mark.cell"), "marked")
     distinct = durable(
         marked.groupBy("fp").agg(F.first("cell").alias("cell"), F.min("key").alias("first")), "distinct")
-    linked = _linked(distinct, like, durable)
+    linked = _linked(distinct, lambda: fingerprint_links(distinct, like, durable), durable)
     names = linked.groupBy("component").agg(F.min("first").alias("name"))
     renamed = linked.join(names, "component").select(F.col("fp").alias("linked"), "name")
     name = F.when(F.col("linked").isNull(), F.col("first")).otherwise(F.col("name"))
@@ -242,21 +420,24 @@ def drop_near_duplicates(docs: DataFrame, durable: Callable[..., DataFrame], key
                          like: Likeness = FIVE_WORDS) -> DataFrame:
     """The documents with one of each component left: the one with the smallest key, nulls last.
 
+    Links are texts whose sets of shingles have a Jaccard similarity of ALIKE or more, equal sets among them. Those are
+    always found; of pairs just at ALIKE less than one in 1,000 is no candidate and so missed (see FIVE_WORDS).
     Columns are those of ``docs``, whatever their names. Of repeated rows one stays; a null key is a document of its
     own like any other. All null and empty texts are copies of each other. Empty tables stay empty.
     """
     row, mark, out = fresh(docs, "_row", "_mark", "_gone")
-    marked = durable(fingerprints(docs, text, like, mark).withColumn(row, F.monotonically_increasing_id()), "marked")
+    marked = durable(entries(docs, text, like, mark).withColumn(row, F.monotonically_increasing_id()), "marked")
     # The order in which documents are kept: those with a key, by key, then the row number.
     place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(row).alias("row"))
     rows = marked.select(F.col(f"{mark}.fp").alias("fp"), F.col(f"{mark}.cell").alias("cell"), place.alias("place"))
     distinct = durable(
         rows.groupBy("fp").agg(F.first("cell").alias("cell"), F.min("place").alias("first"), F.count("*").alias("n")),
         "distinct")
-    linked = _linked(distinct, like, durable)
+    one, texts = distinct.select("fp", "cell", "first.row"), marked.select(F.col(row).alias("row"), F.col(text).alias("text"))
+    linked = _linked(distinct, lambda: shingle_links(one, texts, like, durable), durable)
     best = linked.groupBy("component").agg(F.min("first").alias("best"))
     behind = linked.join(best, "component").filter(F.col("first.row") != F.col("best.row")).select("first.row")
-    # All rows of a fingerprint but its first go, and the first too if it is behind in its component. Few rows go,
+    # All rows of a set of shingles but its first go, and the first too if it is behind in its component. Few rows go,
     # so the texts themselves are shuffled only if even those do not fit a broadcast.
     copies = rows.join(distinct.filter("n > 1").select(F.col("fp").alias("same"), F.col("first.row").alias("kept")),
                        F.col("fp") == F.col("same")).filter(F.col("place.row") != F.col("kept")).select("place.row")

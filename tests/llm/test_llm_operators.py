@@ -341,6 +341,47 @@ def test_near_copies_go_and_others_stay(spark, edges, nothing):
     assert simhash.drop_near_duplicates(nothing, durable).count() == 0
 
 
+def _alike(texts, k=5):
+    """Pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    sets = [{tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} for w in (t.lower().split() for t in texts)]
+    return [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 5 * len(a & b) >= 4 * len(a | b)]
+
+
+def _kept(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted(r.doc_id for r in simhash.drop_near_duplicates(df, durable).collect())
+
+
+def _fresh_words(rng, n):
+    return [f"w{x}" for x in rng.integers(0, 9**9, n)]
+
+
+def test_every_dropped_document_has_a_chain_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 40)
+    rng = np.random.default_rng(8)
+    texts = []
+    for shared in (250, 260, 270, 280):  # of 304 words a passage in common: similarities of 0.69 to 0.88, and 0.8 nearly
+        passage = _fresh_words(rng, shared)
+        texts += [" ".join(passage + _fresh_words(rng, 304 - shared)) for _ in range(30)]
+    word = _fresh_words(rng, 200)
+    for _ in range(30):  # a chain whose ends have nothing in common
+        word = word[8:] + _fresh_words(rng, 8)
+        texts.append(" ".join(word))
+    texts += [" ".join(_fresh_words(rng, 9)[:n]) for n in (1, 4, 5, 8, 9) for _ in range(4)]
+    short = _fresh_words(rng, 9)
+    texts += [" ".join(short), " ".join(short[:8]), " ".join(short[:7])]
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    name = _closure(range(len(texts)), _alike(texts))
+    assert _kept(spark, texts) == sorted(set(name)) and len(set(name)) > 60
+
+
+def test_documents_with_a_long_passage_in_common_stay(spark):
+    rng = np.random.default_rng(9)
+    passage = _fresh_words(rng, 230)
+    texts = [" ".join(passage + _fresh_words(rng, 74)) for _ in range(700)]  # all pairs at 0.6
+    assert _kept(spark, texts) == list(range(700))
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------
 
 def test_bpe_equals_the_library(tokenizer, encoding):
