@@ -82,10 +82,11 @@ def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
 def entry(text: str | None, like: Likeness) -> tuple[bytes, np.ndarray]:
     """What stands for all texts with the same set of shingles: fingerprint of the set, its digest and its size.
 
-    The fingerprint's words come along.
+    The fingerprint's words come along; in it each distinct shingle counts once.
     """
     h = shingle_set(text, like.shingle)
-    fp = fingerprint(text, like.shingle, like.lanes)
+    blocks = (h[i:i + SHINGLES_AT_ONCE] for i in range(0, len(h), SHINGLES_AT_ONCE))
+    fp = _majority(blocks, len(h), like.lanes)
     digest = blake2b(h.astype("<u8").tobytes(), digest_size=SET_BYTES).digest()
     return fp.astype(">u8").tobytes() + digest + len(h).to_bytes(SIZE_BYTES, "big"), fp
 

@@ -382,6 +382,22 @@ def test_documents_with_a_long_passage_in_common_stay(spark):
     assert _kept(spark, texts) == list(range(700))
 
 
+def test_repeated_shingles_count_once_and_equal_fingerprints_are_confirmed(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    texts = [" ".join([*_fresh_words(rng, 475), *["-"] * 60, *_fresh_words(rng, 475)]) for _ in range(40)]
+    texts += [t.replace(" - -", " -" * 300, 1) for t in texts[:10]]  # the same sets of shingles
+    assert _kept(spark, texts) == list(range(40))
+    assert simhash.entry(texts[0], simhash.FIVE_WORDS)[0] == simhash.entry(texts[40], simhash.FIVE_WORDS)[0]
+    monkeypatch.setattr(simhash, "_majority", lambda blocks, n, lanes: np.full(lanes, 5, np.uint64))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    made = df.toPandas()
+    made["fp"] = [simhash.entry(t, simhash.FIVE_WORDS)[0] for t in made.text]
+    same = spark.createDataFrame(made.drop_duplicates("fp").assign(cell=0, row=lambda d: d.doc_id)[["fp", "cell", "row"]],
+                                 "fp binary, cell int, row long")
+    links = simhash.shingle_links(same, df.withColumnRenamed("doc_id", "row"), simhash.FIVE_WORDS, durable)
+    assert same.count() == 40 and links.filter("a <> b").count() == 0
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------
 
 def test_bpe_equals_the_library(tokenizer, encoding):
