@@ -1,16 +1,20 @@
 """Secret scans: three fixed patterns, and a battery of randomness tests for what they miss.
 
 Candidates are runs of at least twenty key characters with letters and digits among them. The encoding is inferred
-from the characters (hex, base 32, letters and digits, base 64). Three tests look at each candidate:
-
-- runs: the changes between digits, capitals and small letters. Ordinary tokens change class at one in four places
-  at most; the p-value is that of as many changes or more.
-- chi-squared: how evenly the alphabet of the encoding is used.
-- serial correlation of neighbouring characters.
-
-A candidate is a secret if the last two do not speak against chance and the first rejects "ordinary". The rejection
-is controlled for false discoveries (Benjamini-Hochberg) among the candidates of the same encoding and length class, so
-that many short candidates do not hide or carry the long ones. P-values are rounded up to a tenth of a decade;
+from the characters (hex, base 32, letters of one case and digits, letters and digits, base 64). The tests look at each
+candidate's
+
+- runs: its changes between digits, capitals, small letters and signs;
+- frequencies: how evenly it uses the alphabet;
+- serial dependence: which letters follow each other.
+
+Each is weighed as a likelihood ratio, chance in the encoding against ordinary tokens (words, joined by case, signs or
+numbers), and conditional on the one before: class after class, letter in its class, letter after letter. So their product
+is the ratio of the whole token, and one over it is a p-value of "ordinary": a ratio has mean one under the model it
+is taken against, so it exceeds x with a probability of 1 / x at most, at any length. A candidate is a secret if that
+combined p-value rejects "ordinary" and neither chi-squared nor the serial correlation speaks against chance. The
+rejection is controlled for false discoveries (Benjamini-Hochberg) among the candidates of the same encoding and length
+class, so that many short candidates do not hide or carry the long ones. P-values are rounded up to a tenth of a decade;
 counts of the rounded values are all that is gathered from the corpus, and they add in any order.
 
 Everything runs inside Spark's own expressions.
@@ -35,19 +39,65 @@ LEAST_ASSIGNED = 12
 KINDS = ("assign", "access", "hex", "random")
 
 RUN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
-ALPHABETS = {  # by inferred encoding, the narrowest that fits
-    "hex": ("^[0-9a-fA-F]+$", "0123456789abcdef"),
-    "base32": ("^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    "alnum": ("^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
-    "base64": ("", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+ALPHABETS = {  # by inferred encoding, the narrowest that fits; letters of one case are read as small ones
+    "hex": ("^[0-9a-fA-F]+$", DIGITS + "abcdef"),
+    "base32": ("^(?:[A-Z2-7]+|[a-z2-7]+)$", LETTERS + "234567"),
+    "base36": ("^(?:[A-Z0-9]+|[a-z0-9]+)$", LETTERS + DIGITS),
+    "alnum": ("^[A-Za-z0-9]+$", LETTERS.upper() + LETTERS + DIGITS),
+    "base64": ("", LETTERS.upper() + LETTERS + DIGITS + "+/"),
+}
+ONE_CASE = ("hex", "base32", "base36")
+# Ordinary tokens: how often a class follows another (start, small, capital, digit, sign), with and without case ...
+STEPS = {
+    " ": {"a": 0.6, "A": 0.3, "0": 0.09, "+": 0.01}, "a": {"a": 0.84, "A": 0.05, "0": 0.05, "+": 0.06},
+    "A": {"a": 0.43, "A": 0.45, "0": 0.06, "+": 0.06}, "0": {"a": 0.08, "A": 0.08, "0": 0.7, "+": 0.14},
+    "+": {"a": 0.5, "A": 0.2, "0": 0.25, "+": 0.05},
 }
+STEPS_ONE_CASE = {" ": {"a": 0.8, "0": 0.2}, "a": {"a": 0.92, "0": 0.08}, "0": {"a": 0.25, "0": 0.75}}
+# ... and how often a letter begins or follows another: a row for the beginning, then by the letter before; -4 log2 of the
+# share, rounded down, in base 36. English text, blended with plain letter shares (20 %) and an even share (20 %).
+FOLLOWS = (
+    "fniicjmkgqohjfgjrffejooonr mkghjnkpirodfemkrdfclmponr dpjlcopogdqdnlgmrhhkdqqqhr eqmncnpfirhfmlanrikckqqrpr "
+    "fomi7nppcrqkolgorjhjgqqqor hphghinolrqdkdlkpceeonoinr eqmmfgpparrhnlanreiigqqror jpnn8omjerqhmfjnrgbjgoqrqq "
+    "bqnn6opperqmnldorjkimqqrpr jmhjhkkpmrpfh9elrieeomqnqm iqkn5oppkrkmomcnrljkeqqrpr hqlk6nmofrqgoiklrkekkphrqr "
+    "fpnjacppdrqgolfmrlghiqqrkr bjnm7oppgrqlklderlijkqqrpr epgdclfoirnlokdmrlgcknqror kjifimopkrojhajhrbiehnlqqr "
+    "cqmmbnpnhrqeolehrdjekoprjr mpnnjoppmrrjoklorikk3qqrqr epll9nipfrnmkfenrgggkpprkr jqkn7onkfrolnlijrlfbiqpqlr "
+    "eqlmbnpbdrqknlhmrehigqoqjr kllldknpjrqdgdlhrbfenqqpqr 8qnn6opofrqmnlkorllloqpqqr cqnkenpdarqkoheordikoqoqqr "
+    "gpanempofrqkmmlerlj8oqqmor lolmemoohrrkjhj9rkcaoplrpq jqnn4opodrrjlkhorllkoqqroq"
+).split()
 LENGTH_CLASSES = (32, 48, 96)
-ORDINARY_CHANGES = 0.25
 FALSE_DISCOVERIES = 0.01
 AGAINST_CHANCE = 0.001
 MOST_TENTHS = 400
 
 
+def _class(c: str) -> str:
+    return "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c if c == " " else "+"
+
+
+def evidence(encoding: str) -> list[int]:
+    """Hundredths of decades by which each character, after each (or none), speaks for chance against ordinary tokens.
+
+    Rows by the character before, none first, one after another.
+    """
+    alphabet = ALPHABETS[encoding][1]
+    steps = STEPS_ONE_CASE if encoding in ONE_CASE else STEPS
+
+    def share(before: str, c: str) -> float:
+        row = FOLLOWS[LETTERS.find(before.lower()) + 1] if before != " " else FOLLOWS[0]
+        return 2 ** (-int(row[LETTERS.index(c.lower())], 36) / 4) if c.isalpha() else 1.0
+
+    out = []
+    for before in " " + alphabet:
+        within = {k: sum(share(before, c) for c in alphabet if _class(c) == k) for k in set(map(_class, alphabet))}
+        classes = sum(steps[_class(before)][k] for k in within)
+        for c in alphabet:
+            ordinary = steps[_class(before)][_class(c)] / classes * share(before, c) / within[_class(c)]
+            out.append(math.floor(-100 * math.log10(len(alphabet) * ordinary)))
+    return out
+
+
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda acc, x: acc + x)
 
@@ -115,13 +165,13 @@ def _upper_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def _tests(token: Column, alphabet: Column, classes: Column) -> Column:
-    """Struct of the three p-values. ``classes`` is the token with each character replaced by its class."""
+def _tests(token: Column, alphabet: Column, table: Column) -> Column:
+    """Struct of ``decades`` (hundredths for chance against ordinary) and the two p-values of chance."""
     n = F.length(token)
     k = F.length(alphabet)
-    changes = F.length(F.regexp_replace(classes, r"(.)\1*", "x")) - 1
-    pairs = n - 1
-    z_runs = (changes - 0.5 - pairs * ORDINARY_CHANGES) / F.sqrt(pairs * ORDINARY_CHANGES * (1 - ORDINARY_CHANGES))
+    places = F.transform(F.split(token, ""), lambda c: F.instr(alphabet, c))
+    decades = let(places, lambda at: _total(F.transform(at, lambda x, i: F.get(
+        table, F.coalesce(F.get(at, i - 1), F.lit(0)) * k + x - 1))))
 
     squares = F.aggregate(F.split(alphabet, ""), F.lit(0.0), lambda acc, c: acc + F.pow(
         (n - F.length(F.replace(token, c, F.lit("")))).cast("double"), F.lit(2.0)))
@@ -135,29 +185,26 @@ def _tests(token: Column, alphabet: Column, classes: Column) -> Column:
     z_serial = let(off, lambda d: let(F.aggregate(d, F.lit(0.0), lambda acc, x: acc + x * x), lambda var: F.when(
         var > 0, (F.aggregate(F.transform(d, lambda x, i: x * F.coalesce(F.get(d, i + 1), F.lit(0.0))), F.lit(0.0),
                               lambda acc, x: acc + x) / var + 1.0 / n) * F.sqrt(n)).otherwise(F.lit(99.0))))
-    return F.struct(_upper_tail(z_runs).alias("runs"), _upper_tail(z_even).alias("even"),
+    return F.struct(decades.alias("decades"), _upper_tail(z_even).alias("even"),
                     (2 * _upper_tail(F.abs(z_serial))).alias("serial"))
 
 
 def _read(core: Column) -> Column:
-    """A candidate in its inferred encoding: token, alphabet, classes of its characters, stratum."""
+    """A candidate in its inferred encoding: token, alphabet, table of evidence, stratum."""
 
     def by_name(e: Column, choices: dict[str, Column]) -> Column:
-        return F.when(e == "hex", choices["hex"]).when(e == "base32", choices["base32"]).when(
-            e == "alnum", choices["alnum"]).otherwise(choices["base64"])
+        return reduce(lambda other, name: F.when(e == name, choices[name]).otherwise(other), ALPHABETS, choices["base64"])
 
-    encoding = F.when(core.rlike(ALPHABETS["hex"][0]), F.lit("hex")).when(
-        core.rlike(ALPHABETS["base32"][0]), F.lit("base32")).when(
-        core.rlike(ALPHABETS["alnum"][0]), F.lit("alnum")).otherwise(F.lit("base64"))
+    encoding = reduce(lambda other, name: F.when(core.rlike(ALPHABETS[name][0]), F.lit(name)).otherwise(other),
+                      list(ALPHABETS)[-2::-1], F.lit("base64"))
     length = reduce(lambda c, at: c + (F.length(core) >= at).cast("int"), LENGTH_CLASSES, F.lit(0))
     standard = F.replace(F.replace(core, F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/"))
-    tokens = {"hex": F.lower(core), "base32": core, "alnum": core, "base64": standard}
+    tokens = {name: F.lower(core) for name in ONE_CASE} | {"alnum": core, "base64": standard}
     alphabets = {name: F.lit(characters) for name, (_, characters) in ALPHABETS.items()}
-    return let(encoding, lambda e: let(by_name(e, tokens), lambda token: F.struct(
-        token.alias("token"), by_name(e, alphabets).alias("alphabet"),
-        F.regexp_replace(F.regexp_replace(F.regexp_replace(
-            token, "[0-9+/]", "0"), "[A-Z]", "A"), "[a-z]", "a").alias("classes"),
-        F.concat(e, F.lit("/"), length.cast("string")).alias("stratum"))))
+    tables = {name: F.split(F.lit(",".join(map(str, evidence(name)))), ",").cast("array<int>") for name in ALPHABETS}
+    return let(encoding, lambda e: F.struct(
+        by_name(e, tokens).alias("token"), by_name(e, alphabets).alias("alphabet"), by_name(e, tables).alias("table"),
+        F.concat(e, F.lit("/"), length.cast("string")).alias("stratum")))
 
 
 def _scored(found: Column) -> Column:
@@ -166,10 +213,9 @@ def _scored(found: Column) -> Column:
 
     def of(m: Column) -> Column:
         return let(F.rtrim(m["text"], F.lit("=")), lambda core: let(_read(core), lambda r: let(
-            _tests(r["token"], r["alphabet"], r["classes"]), lambda p: F.struct(
+            _tests(r["token"], r["alphabet"], r["table"]), lambda p: F.struct(
                 m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), r["stratum"].alias("stratum"),
-                F.least(F.lit(MOST_TENTHS), F.floor(-10 * F.log10(F.greatest(p["runs"], F.lit(1e-300))))
-                        ).cast("int").alias("tenths"),
+                F.least(F.lit(MOST_TENTHS), F.greatest(F.lit(0), F.floor(p["decades"] / 10))).cast("int").alias("tenths"),
                 ((p["even"] >= AGAINST_CHANCE) & (p["serial"] >= AGAINST_CHANCE)).alias("by_chance"),
             ))))
 
@@ -185,7 +231,7 @@ def candidates(text: Column, base: Column) -> Column:
 def cutoffs(scored: DataFrame, column: str) -> dict[str, int]:
     """By stratum, the least rounded score that counts as a discovery.
 
-    ``scored`` has an array of candidates per row. At most one number for each of 16 strata comes to the driver.
+    ``scored`` has an array of candidates per row. At most one number for each of 20 strata comes to the driver.
     """
     one = scored.select(F.explode(F.col(column)).alias("c")).select("c.stratum", "c.tenths")
     sums = one.groupBy("stratum", "tenths").agg(F.count("*").alias("n"))

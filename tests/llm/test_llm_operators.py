@@ -467,6 +467,46 @@ def test_random_keys_are_found_and_masked(spark, edges):
     assert texts[0] is None and texts[9] == '[secret]" end' and texts[10] == "[secret] and [secret]" and texts[7] == TEXTS[7]
 
 
+SMALL, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+ENCODINGS = {
+    "base32": SMALL.upper() + "234567", "small base32": SMALL + "234567", "small and digits": SMALL + DIGITS,
+    "capitals and digits": SMALL.upper() + DIGITS, "capital hex": DIGITS + "ABCDEF", "letters and digits": SMALL + SMALL.upper() + DIGITS,
+    "base64": SMALL + SMALL.upper() + DIGITS + "+/",
+}
+NOUNS = ("internal release version customer verwaltung kunden entwicklung desarrollo aplicacion archivo fichier serveur quelque "
+         "response request handler project schema update report session player payment stream window buffer").split()
+
+
+def _ordinary(rng):
+    """A token of words and a number, joined in one of the usual ways."""
+    w = [*rng.choice(NOUNS, 3), str(rng.integers(1, 3000))]
+    return rng.choice(["-".join(w), "_".join(w).upper(), "".join(w), "".join(w).upper(), "/".join(w),
+                       "".join(x.capitalize() for x in w), f"{w[0]}{w[3]}_{w[1]}_{w[2]}"])
+
+
+def test_keys_of_every_encoding_are_found(spark):
+    rng = np.random.default_rng(11)
+    for least, ordinary in ((0.8, 0), (0.5, 9)):  # every candidate a key; one in ten, less in the strata that words share
+        rows = []
+        for name, characters in ENCODINGS.items():
+            for n in (20, 32, 40, 64):
+                for _ in range(60):
+                    key = "".join(rng.choice(list(characters), n))
+                    rows.append((f"{name}, {n}", f"x {key} " + " ".join(_ordinary(rng) for _ in range(ordinary)), n))
+        df = spark.createDataFrame(rows, "doc_id string, text string, n int")
+        found, wrong = Counter(), 0
+        for r in secret_scan.secret_spans(df, durable).collect():
+            n = int(r.doc_id.split(", ")[1])
+            spans = {(s["start"], s["end"]) for s in r.spans}
+            found[r.doc_id] += any(a < n + 2 and b > 2 for a, b in spans)
+            wrong += sum(a >= n + 2 for a, b in spans)
+        print(ordinary, wrong, {k: round(found[k] / 60, 2) for k in sorted(found)})
+        assert wrong <= 0.01 * sum(found.values()), wrong
+        for k in found:
+            assert found[k] / 60 >= (least if k.endswith(" 20") else 0.85 if k.endswith(" 32") else 0.93), (k, found[k])
+        assert len(found) == 28
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------
 
 def test_tokens_of_sections(tokenizer, encoding):
