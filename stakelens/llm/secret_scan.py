@@ -223,9 +223,10 @@ def _scored(found: Column) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """Scored candidates that touch no base span."""
+    """Scored candidates that no base span covers wholly."""
     return let(F.struct(_scored(located(text, RUN)).alias("s"), base.alias("b")), lambda x: F.filter(
-        x["s"], lambda c: ~F.exists(x["b"], lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
+        x["s"], lambda c: ~F.exists(x["b"], lambda b: (b["start"] <= c["start"]) & (
+            c["start"] + F.length(F.rtrim(c["text"], F.lit("="))) <= b["end"]))))
 
 
 def cutoffs(scored: DataFrame, column: str) -> dict[str, int]:
@@ -299,22 +300,26 @@ def _masked(text: Column, pattern: str, secret: Callable[[Column], Column], mask
 def mask_secrets(docs: DataFrame, text: str = "text", length: str | None = "n_chars", mask: str = "[secret]") -> DataFrame:
     """The documents, all of them, with each secret replaced by ``mask``; columns as they are.
 
-    Base kinds are masked first, in their order, then what the tests find in the rest. ``length`` names a column with
-    the number of characters, which follows the text where both are there. Null texts stay null.
+    Assigned values are masked first, then what the tests find in runs that are not wholly of a base kind, then access
+    keys and hex in the rest. ``length`` names a column with the number of characters, which follows the text where both
+    are there. Null texts stay null.
     """
     body, full = F.col(text), lambda part: F.lit(True)
-    base = _masked(_masked(_masked(
-        body, ASSIGN, lambda part: F.length(part) >= LEAST_ASSIGNED, mask, 1), ACCESS, full, mask), HEX, full, mask)
+    assigned = _masked(body, ASSIGN, lambda part: F.length(part) >= LEAST_ASSIGNED, mask, 1)
     name, scored = fresh(docs, "_masked", "_scored")
-    masked = docs.withColumn(name, base)
-    least = cutoffs(masked.select(_scored(located(F.col(name), RUN)).alias(scored)), scored)
+    masked = docs.withColumn(name, assigned)
+
+    def tested(found: Column) -> Column:
+        return F.filter(_scored(found), lambda c: ~c["text"].rlike(f"^(?:{ACCESS}|{HEX})={{0,2}}$"))
+
+    least = cutoffs(masked.select(tested(located(F.col(name), RUN)).alias(scored)), scored)
 
     def secret(part: Column) -> Column:
         one = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), part.alias("text")))
-        return F.exists(_scored(one), lambda c: _discovered(c, least))
+        return F.exists(tested(one), lambda c: _discovered(c, least))
 
     clean = _masked(F.col(name), RUN, secret, mask) if least else F.col(name)
-    out = masked.withColumn(name, clean)
+    out = masked.withColumn(name, clean).withColumn(name, _masked(_masked(F.col(name), ACCESS, full, mask), HEX, full, mask))
     changed = {text: F.col(name)}
     if length is not None and length in docs.columns:
         kind = docs.schema[length].dataType

@@ -507,6 +507,19 @@ def test_keys_of_every_encoding_are_found(spark):
         assert len(found) == 28
 
 
+def test_keys_around_a_hex_stretch_are_found_whole(spark):
+    rng = np.random.default_rng(12)
+    letters = list(SMALL + SMALL.upper() + DIGITS)
+    hexes = ["".join(rng.choice(list(DIGITS + "abcdef"), 18)) for _ in range(40)]
+    keys = ["".join(rng.choice(letters, 14)) + "Z" + h + "Z" + "".join(rng.choice(letters, 14)) for h in hexes]
+    plain = ["AKIA" + "Z9" * 8, "0123456789abcdef" * 2]
+    df = spark.createDataFrame([(i, f"word {k} and {' '.join(plain)}") for i, k in enumerate(keys)], "doc_id long, text string")
+    found = [{(s["start"], s["rank"], s["end"]) for s in r.spans} for r in secret_scan.secret_spans(df, durable).collect()]
+    assert sum((5, 3, 53) in x for x in found) >= 36 and all((20, 2, 38) in x and len(x) <= 4 for x in found)
+    left = [r.text for r in secret_scan.mask_secrets(df).collect()]
+    assert sum(x == "word [secret] and [secret] [secret]" for x in left) >= 36
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------
 
 def test_tokens_of_sections(tokenizer, encoding):
