@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.durable import durable
-from . import bpe, hnsw, line_crf, mixing, quality_rules, secret_scan, sharding, simhash, token_counts, url_filter
+from . import (
+    bpe, conversation_repair, damage, decontamination, hnsw, line_crf, mixing, periodic_runs, quality_rules, secret_scan, sharding,
+    simhash, token_counts, url_filter)
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -82,6 +84,28 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(ready, RANKS, PATTERN)
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = damage.with_repeats(_table(spark, folder, "documents", "doc_id", "text"))
+    found = periodic_runs.periodic_runs(docs)
+    best = F.array_min(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), (-best["shorter"]).alias("length"),
+        best["period"].alias("period"), F.floor(F.lit(-1000) * best["shorter"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = _table(spark, folder, "documents", "doc_id", "text"), _table(spark, folder, "benchmark", "item_id", "text")
+    return decontamination.contamination(docs, items, durable)
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = damage.damaged_turns(_table(spark, folder, "conversations", "conv_id", "turn", "role", "text"))
+    return conversation_repair.report(conversation_repair.repair(turns, durable, copies="copies"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_crf": op2_line_crf,
@@ -93,6 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_secret_scan": op9_secret_scan,
     "op10_token_counts": op10_token_counts,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_decontamination": op12_decontamination,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -192,5 +219,48 @@ c as (
       rows between unbounded preceding and 1 preceding), 0) as before
   from d join f on d.source is not distinct from f.source)
 select doc_id, size, source_size, target, (whole * size + greatest(0, least(size, rest - before)))::bigint as taken from c
+""",
+    # All windows of the documents against all windows of the items; near matches around a window's rarest term.
+    "op12_decontamination": r"""
+with d as (
+  select row_number() over () as r, doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+  from documents),
+i as (
+  select item_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+  from benchmark),
+win as (
+  select distinct item_id, w[k:k + 9] as words
+  from (select item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) as k from i where len(w) > 0)),
+grams as (
+  select r, k, n, w[k + 1:k + n] as words
+  from (select r, w, n, unnest(range(len(w) - n + 1)) as k from d, (select distinct len(words) as n from win) where len(w) >= n)),
+occ as (select r, k, n, item_id from grams join win using (words)),
+hit as (
+  select r, count(distinct pos)::bigint as n_hit
+  from (select r, unnest(range(k, k + n)) as pos from (select distinct r, k, n from occ)) group by 1),
+ids as (
+  select r, count(*)::bigint as n_items, sha256(array_to_string(list_sort(list(item)), ',')) as items_sha256
+  from (select distinct r, item_id::varchar as item from occ) group by 1),
+t as (select r, unnest(w) as term, unnest(range(len(w))) as pos from d),
+c as (select term, count(*) as n from t group by 1),
+dw as (select row_number() over () as wid, words from (select distinct words from win)),
+wt as (select wid, unnest(words) as term, unnest(range(len(words))) as off from dw),
+rare as (
+  select wid, arg_min(term, coalesce(n, 0) * 1000 + off) as rarest, count(distinct term) as terms
+  from wt left join c using (term) group by 1 having min(coalesce(n, 0)) > 0),
+places as (select t.r, t.pos, wid, terms from t join rare on t.term = rarest),
+near as (
+  select places.r, places.pos, wid from places join (select distinct wid, term from wt) x using (wid)
+  join t on t.r = places.r and t.term = x.term and abs(t.pos - places.pos) <= 20
+  group by places.r, places.pos, wid, terms having count(distinct x.term) = terms),
+n as (select r, count(distinct item_id)::bigint as n_near_items from near join dw using (wid) join win using (words) group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  coalesce(items_sha256, sha256('')) as items_sha256, n_hit is not null as contaminated,
+  coalesce(n_near_items, 0)::bigint as n_near_items
+from d left join hit using (r) left join ids using (r) left join n using (r)
 """,
 }
