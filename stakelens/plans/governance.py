@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping
 from functools import reduce
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import pseudonym
 from ..operators import durable, keep_first
+from ..sources.versions import TableSet
 
 AML_RETENTION_MONTHS = 60
 
@@ -131,46 +131,38 @@ def audit_rows(requests: DataFrame, salt: str, processed_at: str | None = None)
     )
 
 
-def _swap(fs, path, folder: str, run: str, name: str) -> None:
-    fs.rename(path(f"{folder}/{name}.parquet"), path(f"{folder}/_replaced-{run}/{name}.parquet"))
-    fs.rename(path(f"{folder}/_erased-{run}/{name}.parquet"), path(f"{folder}/{name}.parquet"))
+AUDIT_LOG = "erasure_audit_log"
 
 
-def _recover(fs, path, folder: str) -> None:
-    """Put back tables that an interrupted run had moved aside, and drop what it left behind."""
-    for pattern in ("_replaced-*", "_erased-*"):
-        for found in fs.globStatus(path(f"{folder}/{pattern}")) or []:
-            for table in fs.listStatus(found.getPath()):
-                live = path(folder, table.getPath().getName())
-                if pattern == "_replaced-*" and not fs.exists(live):
-                    fs.rename(table.getPath(), live)
-            fs.delete(found.getPath(), True)
+def run_erasure(spark: SparkSession, folder: str, requests: DataFrame, salt: str, processed_at: str | None = None) -> int:
+    """Erase in the governed tables under ``folder`` and append to the audit log there, in one commit; its version.
 
-
-def run_erasure(
-    spark: SparkSession, folder: str, requests: DataFrame, salt: str, audit_path: str, processed_at: str | None = None
-) -> None:
-    """Rewrite the governed tables under ``folder`` and append to the audit log.
-
-    Everything is written beside the live tables first and swapped in by rename at the end, so a failure before
-    that point leaves the live tables untouched. A rerun first puts back what an interrupted swap moved aside, and
-    changes nothing that is already erased. One run at a time.
+    Only files with rows of requested players are rewritten. The new files and the audit records become live
+    together (see ``sources.versions``): whoever reads the set sees an erasure with its record, or neither. The replaced
+    files hold identifiers, so they are deleted right after, or, if that was cut short, before the next run does
+    anything. Erasing what is erased changes no value, and is recorded again.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    _recover(fs, path, folder)
-    tables = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in (*HASHED_COLUMNS, *NULLED_COLUMNS)}
-    check_requests(requests, tables["players"])
-    run = uuid.uuid4().hex
-    for name, df in erase(tables, requests, salt).items():
-        df.write.parquet(f"{folder}/_erased-{run}/{name}.parquet")
-    fs.mkdirs(path(f"{folder}/_replaced-{run}"))
-    for name in tables:
-        _swap(fs, path, folder, run, name)
-    # The replaced files hold the identifiers, so they must not outlive the swap.
-    fs.delete(path(f"{folder}/_replaced-{run}"), True)
-    fs.delete(path(f"{folder}/_erased-{run}"), True)
-    audit_rows(requests, salt, processed_at).write.mode("append").parquet(audit_path)
+    tables = TableSet(spark, folder)
+    tables.clean()
+    base = tables.version()[0]
+    check_requests(requests, tables.read("players"))
+    asked = requests.select("player_id").distinct()
+    added, replaced = {}, {}
+    for name in (*HASHED_COLUMNS, *NULLED_COLUMNS):
+        touched = tables.files_with(name, asked)
+        if touched:
+            hashed, nulled = HASHED_COLUMNS.get(name, []), NULLED_COLUMNS.get(name, [])
+            added[name] = tables.add(name, erase_table(tables.read(name, touched), asked, hashed, nulled, salt))
+            replaced[name] = touched
+    added[AUDIT_LOG] = tables.add(AUDIT_LOG, audit_rows(asked, salt, processed_at))
+    version = tables.commit(base, added, replaced)
+    tables.clean()
+    return version
+
+
+def audit_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The audit records of all erasures committed under ``folder``."""
+    return TableSet(spark, folder).read(AUDIT_LOG)
 
 
 def erasure_sample(dim: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import FX_RATES, RAW
+from .versions import live_files
 
 log = logging.getLogger(__name__)
 
@@ -24,12 +25,14 @@ def read_raw(spark: SparkSession, dirs: list[str], name: str) -> DataFrame | Non
     """A raw table, typed as declared, from the first directory that has it. Absent tables are noted and skipped.
 
     Files come with whatever types their writer inferred (float money, zone-less timestamps), so columns are cast
-    to the declared types after the scan; columns the file lacks are null.
+    to the declared types after the scan; columns the file lacks are null. Of tables in a versioned set (see
+    ``versions``) the files of the latest version are read.
     """
     for folder in dirs:
         path = f"{folder.rstrip('/')}/{name}.parquet"
         if exists(spark, path):
-            found = spark.read.parquet(path)
+            live = live_files(spark, folder.rstrip("/"), name)
+            found = spark.read.parquet(*(live or [path]))
             return found.select(
                 *[
                     (F.col(f.name) if f.name in found.columns else F.lit(None)).cast(f.dataType).alias(f.name)
