@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -102,6 +102,14 @@ def expect(df: DataFrame, table: str, checks: Sequence[Expectation]) -> DataFram
     return reduce(DataFrame.unionByName, reports)
 
 
+def not_found(spark: SparkSession, table: str) -> DataFrame:
+    """The report's row for a table that is not there: nothing was checked, so its success is null."""
+    return spark.range(1).select(
+        F.lit(table).alias("table_name"), F.lit("table_found").alias("expectation"), F.lit(None).cast("boolean").alias("success"),
+        F.lit(0).cast("long").alias("unexpected_count"), F.lit(0.0).alias("unexpected_percent"),
+        F.lit(None).cast("string").alias("sample_min"), F.lit(None).cast("string").alias("sample_max"))
+
+
 def duplicate_rate(df: DataFrame, table: str, column: str) -> DataFrame:
     """Share of rows beyond the first per id; zero for an empty table. Reported, never gated."""
     rate = F.when(F.count("*") > 0, 1 - F.countDistinct(column) / F.count("*")).otherwise(0.0)

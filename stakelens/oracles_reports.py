@@ -256,6 +256,16 @@ where a.effective_ts + interval 90 day > b.effective_ts group by 1, 2""",
     "erased_login_events": "select * replace (cast(success_flag as varchar) as success_flag) from ("
     + _erased("raw_login_events", "ip_address", _HASHED) + ") e",
     "erased_players": _erased("raw_players", "date_of_birth", "null"),
+    "erasure_committed": "select 'sessions' as table_name, cast(session_id as varchar) as row_id,"
+    " cast(player_id as varchar) as player_id, ip_address as value from ("
+    + _erased("raw_sessions", "ip_address", _HASHED) + ") s union all"
+    " select 'login_events', cast(login_id as varchar), cast(player_id as varchar), ip_address from ("
+    + _erased("raw_login_events", "ip_address", _HASHED) + ") l union all"
+    " select 'players', cast(player_id as varchar), cast(player_id as varchar), cast(date_of_birth as varchar) from ("
+    + _erased("raw_players", "date_of_birth", "null") + ") p union all"
+    " select 'erasure_audit_log', erasure_id, player_id_pseudonym, retention_expires_at from ("
+    + _audit("self_exclusion_registry", "2024-02-29 12:00:00", "2029-02-28") + ") a",
+    "erasure_refused": "select distinct -player_id as player_id from raw_players where player_id % 2 = 1",
     "erasure_dry_run": "select * from touched",
     "erasure_audit": _audit("self_exclusion_registry", "2024-02-29 12:00:00", "2029-02-28"),
     "appended_audit": _audit("self_exclusion_registry", "2024-02-29 12:00:00", "2029-02-28")
@@ -287,8 +297,7 @@ from player_ltv where last_active_date is not null""",
     "expired_archive_days": """
 select cast(cast(ts as date) as varchar) as day, count(*) as events from unified_events
 where cast(ts as date) < date '2024-04-15' - 90 group by 1""",
-    "general_view_dim_players": "select * exclude (kyc_status, self_exclusion_status, risk_segment)"
-    " from dim_players_scd2",
+    "general_view_dim_players": "select player_dimension_key, player_id from dim_players_scd2",
     "naive_features": f"select * replace ({', '.join(_d(c, c) for c in _REPLACE_NAIVE)}) from naive",
     "engineered_features": f"select * replace ({', '.join(_d(c, c) for c in _REPLACE_ENGINEERED)},"
     " cast(total_sessions as bigint) as total_sessions,"

@@ -69,11 +69,14 @@ def dedup_distortion(w: Warehouse) -> DataFrame:
     One pass over the payments: all copies of a payment are summed where the first copy is found.
     """
     rates = w.fx.withColumnRenamed("currency", "_fx")
-    priced = w.raw.payments.join(rates, F.upper("currency") == F.col("_fx"), "left").select(
-        "payment_id", "ts", F.when(F.col("payment_type") == "deposit", F.col("amount") * F.col("rate_to_gbp")).alias("gbp")
+    raw = w.raw.payments
+    place = F.struct("ts", *[c for c in raw.columns if c not in ("payment_id", "ts")])  # the order of staging
+    priced = raw.join(rates, F.upper("currency") == F.col("_fx"), "left").select(
+        "payment_id", place.alias("place"),
+        F.when(F.col("payment_type") == "deposit", F.col("amount") * F.col("rate_to_gbp")).alias("gbp")
     )
     # Boxed, because the first copy decides what a payment is, also if it is no deposit.
-    first = F.min_by(F.struct("gbp"), F.col("ts"))
+    first = F.min_by(F.struct("gbp"), F.col("place"))
     payments = priced.groupBy("payment_id").agg(F.sum("gbp").alias("every"), first.alias("one"))
     both = payments.agg(F.sum("every").alias("raw_with_dupes_gbp"), F.sum("one.gbp").alias("deduped_gbp"))
     share = _percent_over(F.col("raw_with_dupes_gbp"), F.col("deduped_gbp"))

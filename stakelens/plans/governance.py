@@ -44,12 +44,17 @@ class UnknownPlayerError(LookupError):
     pass
 
 
+def unknown_players(requests: DataFrame, players: DataFrame) -> DataFrame:
+    """Requested players that do not exist."""
+    return requests.join(players, "player_id", "left_anti").select("player_id").distinct()
+
+
 def check_requests(requests: DataFrame, players: DataFrame) -> None:
     """Refuse the whole batch before anything is written if a requested player does not exist.
 
     All such players are named; there are at most as many as requests, which people make one by one.
     """
-    unknown = requests.join(players, "player_id", "left_anti").select("player_id").distinct().collect()
+    unknown = unknown_players(requests, players).collect()
     if unknown:
         raise UnknownPlayerError(f"not in players: {[r.player_id for r in unknown]}")
 
@@ -271,6 +276,10 @@ def expired_days(archive: DataFrame, today: str, ts: str = "ts") -> DataFrame:
 
 
 def general_view(df: DataFrame, model: str) -> DataFrame:
-    """What the general BI layer may see of a model: everything that is not restricted."""
+    """What the general BI layer may see of a model: columns that are classified, and not as restricted.
+
+    A column that nobody has classified yet stays hidden.
+    """
     frame = classified(df, model)
-    return frame.select(*[f.name for f in frame.schema.fields if f.metadata.get("classification") != "restricted"])
+    classes = {f.name: f.metadata.get("classification") for f in frame.schema.fields}
+    return frame.select(*[name for name, kind in classes.items() if kind not in (None, "restricted")])

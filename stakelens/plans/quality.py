@@ -17,6 +17,7 @@ from ..operators.expect import (
     in_set,
     never,
     not_before,
+    not_found,
     not_null,
     unique,
 )
@@ -65,12 +66,13 @@ def _raw_checks() -> dict[str, list]:
 
 
 def raw_gate(raw) -> DataFrame:
-    """All checks on all raw tables that are present, as one report."""
+    """All checks on all raw tables, as one report. An absent table is a row that neither passed nor failed."""
     reports = []
     for table, checks in _raw_checks().items():
         try:
             frame = getattr(raw, table)
         except FileNotFoundError:
+            reports.append(not_found(raw.spark, table))
             continue
         reports.append(expect(frame, table, checks))
     return reduce(DataFrame.unionByName, reports)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +11,12 @@ from pyspark.sql import types as T
 
 from .operators import asof_lookup, current_lookup, keep_first, scratch_dir
 from .plans import bi, churn, distortion, governance, quality, rules
-from .plans.warehouse import Thresholds, Warehouse
+from .plans.warehouse import RawTables, Thresholds, Warehouse
+from .schemas import RAW
 from .sources.events import event_stream, replay_slice, to_messages
+from .sources import replay
 from .sources.lens import Lens
+from .sources.replay import replay_stream, write_slices
 from .sources.sinks import append_audit, export_reports, replace_table, sync_flags, write_metrics
 from .streaming import detector
 from .streaming.processors import PlayerRules
@@ -33,6 +37,8 @@ LENS_THRESHOLDS = Thresholds(
     },
 )
 
+REPLAY_SLICES = 24  # micro-batches of a replay at least
+
 THREE_VALUED = {"is_self_excluded_as_of", "success_flag"}
 
 QUERIES: dict[str, Query] = {}
@@ -226,6 +232,33 @@ def erasure_audit(w: Warehouse) -> DataFrame:
     return governance.audit_rows(_requests(w), SALT, "2024-02-29 12:00:00")
 
 
+@query
+def erasure_committed(w: Warehouse) -> DataFrame:
+    """Erasure end to end: raw tables written, erased in one commit, and read as any job reads them, with the audit log."""
+    folder = scratch_dir(w.spark, "governed")
+    for name in (*governance.HASHED_COLUMNS, *governance.NULLED_COLUMNS):
+        typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in RAW[name].fields]
+        getattr(w.raw, name).select(*typed).repartitionByRange("player_id").write.parquet(f"{folder}/{name}.parquet")
+    requests = _requests(w).select(F.col("player_id").cast("string").alias("player_id"))
+    governance.run_erasure(w.spark, folder, requests, SALT, "2024-02-29 12:00:00")
+    raw, log = RawTables(w.spark, folder), governance.audit_log(w.spark, folder)
+    parts = [
+        raw.sessions.select(F.lit("sessions").alias("table_name"), F.col("session_id").alias("row_id"), "player_id",
+                            F.col("ip_address").alias("value")),
+        raw.login_events.select(F.lit("login_events"), "login_id", "player_id", "ip_address"),
+        raw.players.select(F.lit("players"), "player_id", "player_id", F.col("date_of_birth").cast("string")),
+        log.select(F.lit(governance.AUDIT_LOG), "erasure_id", "player_id_pseudonym", F.col("retention_expires_at").cast("string")),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
+@query
+def erasure_refused(w: Warehouse) -> DataFrame:
+    """Requested players that do not exist, for whose sake a batch is refused: every other id is made up."""
+    asked = w.raw.players.select((F.col("player_id") * (1 - 2 * (F.col("player_id") % 2))).alias("player_id"))
+    return governance.unknown_players(asked, w.raw.players)
+
+
 @query
 def retained_row_counts(w: Warehouse) -> DataFrame:
     return governance.retained_row_counts(_tables(w), w.raw.players)
@@ -463,9 +496,8 @@ def stream_without_retries(w: Warehouse, target: str) -> DataFrame:
 @_streamed
 def stream_rolling_large_deposits(w: Warehouse, target: str) -> DataFrame:
     windows = detector.rolling_large_deposits(w.events, floor_gbp=45.0, window="72 hours", slide="24 hours")
-    writer = windows.writeStream.outputMode("complete").option("checkpointLocation", f"{target}-state")
-    _finish(writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(target)))
-    return w.spark.read.parquet(target)
+    _finish(detector.write_windows(windows, target, f"{target}-state"))
+    return detector.read_windows(w.spark, target)
 
 
 @_streamed
@@ -480,8 +512,10 @@ def stream_messages(w: Warehouse, target: str) -> DataFrame:
 
 @_streamed
 def stream_flags(w: Warehouse, target: str) -> DataFrame:
-    """All six rules as stateful jobs. They must raise what the batch rules raise."""
+    """All six rules as stateful jobs over a bounded replay. They must raise what the batch rules raise."""
     at = w.at.rules
+    events = warehouse(w.spark, w.raw.folder).events
+    write_slices(events, f"{target}-slices", rows=min(replay.ROWS, -(-events.count() // REPLAY_SLICES) or 1))
     player = PlayerRules(
         card_window_seconds=at["card_testing"]["window_seconds"],
         min_bins=at["card_testing"]["min_bins"],
@@ -490,7 +524,7 @@ def stream_flags(w: Warehouse, target: str) -> DataFrame:
         structuring_window_seconds=at["structuring"]["window_seconds"],
     )
     jobs = detector.run_detector(
-        w.events, w.self_exclusion_registry, target, f"{target}-state", once=True,
+        replay_stream(w.spark, f"{target}-slices", events.schema), w.self_exclusion_registry, target, f"{target}-state", once=True,
         player=player, ring=at["bonus_ring"], session=at["bot_betting"],
     )
     for job in jobs:

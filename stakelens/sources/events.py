@@ -11,6 +11,8 @@ from ..schemas import EVENT
 
 # Events of equal timestamp are handled in this order.
 SEQ = {"login": 0, "payment": 1, "bonus_claim": 2, "game_round": 3}
+# A message that says only that time has come so far: nothing earlier will follow. It moves a stream's watermark on.
+TICK = "tick"
 
 
 def normalise(payments: DataFrame, fx: DataFrame) -> DataFrame:
@@ -106,7 +108,7 @@ def _decoded(messages: DataFrame) -> DataFrame:
         "at", F.try_to_timestamp("e.ts"))
     wrong = (
         F.when(F.col("message").isNull() | F.col("e.event_type").isNull(), F.lit("no event"))
-        .when(~F.col("e.event_type").isin(list(SEQ)), F.lit("unknown event type"))
+        .when(~F.col("e.event_type").isin([*SEQ, TICK]), F.lit("unknown event type"))
         .when(F.col("at").isNull(), F.lit("no time"))
     )
     return decoded.withColumn("wrong", wrong)
@@ -128,13 +130,18 @@ def from_messages(messages: DataFrame, fx: DataFrame) -> DataFrame:
     return normalise(events, fx).select(*EVENT.fieldNames())
 
 
-def event_stream(spark: SparkSession, source: str, fx: DataFrame, **options: str) -> DataFrame:
-    """Streaming EVENT rows, from a topic (``source="kafka"`` plus its options) or a folder of JSON messages.
+def message_stream(spark: SparkSession, source: str, **options: str) -> DataFrame:
+    """Messages from a topic (``source="kafka"`` plus its options) or a folder of JSON messages.
 
     Admission is bounded per micro-batch: ``maxOffsetsPerTrigger`` or ``maxFilesPerTrigger``.
     """
     if source == "kafka":
         bounded = {"maxOffsetsPerTrigger": "100000", **options}
-        return from_messages(spark.readStream.format("kafka").options(**bounded).load(), fx)
+        return spark.readStream.format("kafka").options(**bounded).load()
     bounded = {"maxFilesPerTrigger": "100", **options}
-    return from_messages(spark.readStream.options(**bounded).text(source), fx)
+    return spark.readStream.options(**bounded).text(source)
+
+
+def event_stream(spark: SparkSession, source: str, fx: DataFrame, **options: str) -> DataFrame:
+    """Streaming EVENT rows from the messages of :func:`message_stream` that are events."""
+    return from_messages(message_stream(spark, source, **options), fx)

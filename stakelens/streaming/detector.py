@@ -4,33 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..session import STATE_PROVIDER
+from ..sources.events import TICK, rejected_messages
 from ..sources.raw import exists
-from .processors import FLAG_OUT, PlayerProcessor, PlayerRules, RingProcessor, SessionProcessor
+from .processors import FLAG_OUT, InOrder, PlayerProcessor, PlayerRules, RingProcessor, SessionProcessor
 
 WATERMARK = "10 minutes"
 
 
 def with_watermark(events: DataFrame, delay: str = WATERMARK) -> DataFrame:
-    """Late events beyond the delay are dropped; within it, each micro-batch is sorted per key."""
+    """Late events beyond the delay are dropped; within it, order does not matter."""
     return events.withWatermark("ts", delay)
 
 
+def _of_kinds(events: DataFrame, kinds: tuple[str, ...], delay: str) -> DataFrame:
+    """The events of these kinds. Ticks move the watermark on with them and go only behind it.
+
+    The second condition reads ``ts``, so the optimizer does not apply it before the watermark.
+    """
+    marked = with_watermark(events.filter(F.col("event_type").isin(*kinds, TICK)), delay)
+    return marked.filter(F.when(F.col("ts").isNotNull(), F.col("event_type") != TICK))
+
+
 def without_retries(events: DataFrame, delay: str = WATERMARK) -> DataFrame:
     """Drop redelivered events while the watermark still remembers them. A caller's option: the rules do not ask it."""
     return with_watermark(events, delay).dropDuplicatesWithinWatermark(["event_type", "entity_id"])
 
 
-def _run(events: DataFrame, keys: list[str], columns: list[str], processor) -> DataFrame:
+def keyed_flags(events: DataFrame, keys: list[str], processor: InOrder) -> DataFrame:
+    """The flags that a processor raises on a stream with a watermark. Events without one of the keys belong together."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
     # Only the columns a rule reads cross into Python; ids travel as text, time as microseconds.
-    as_text = [F.col(c).cast("string").alias(c) for c in columns if c not in ("seq", "amount_gbp")]
-    others = [F.col(c) for c in columns if c == "seq"]
-    others += [F.col(c).cast("double").alias(c) for c in columns if c == "amount_gbp"]
-    slim = events.select("ts", F.unix_micros("ts").alias("us"), *as_text, *others)
-    found = slim.groupBy(*keys).transformWithStateInPandas(
+    id_type = events.schema["entity_id"].dataType
+    processor.id_type = "bigint" if isinstance(id_type, T.IntegralType) else "string"
+    kinds = {"seq": "int", "amount_gbp": "double", "entity_id": processor.id_type}
+    wanted = dict.fromkeys([*keys, "seq", "entity_id", *processor.columns])
+    slim = events.select("ts", F.unix_micros("ts").alias("us"), *[F.col(c).cast(kinds.get(c, "string")).alias(c) for c in wanted])
+    found = slim.groupBy(*keys).transformWithState(
         statefulProcessor=processor, outputStructType=FLAG_OUT, outputMode="append", timeMode="EventTime"
     )
     return found.select(
@@ -41,24 +54,20 @@ def _run(events: DataFrame, keys: list[str], columns: list[str], processor) -> D
 
 
 def player_flags(events: DataFrame, rules: PlayerRules = PlayerRules(), delay: str = WATERMARK) -> DataFrame:
-    wanted = with_watermark(events, delay).filter("event_type in ('login', 'payment')")
-    columns = ["event_type", "entity_id", "player_id", "device_id", "payment_type", "amount_gbp", "card_bin",
-               "country_from_ip", "seq"]
-    return _run(wanted, ["player_id"], columns, PlayerProcessor(rules))
+    wanted = _of_kinds(events, ("login", "payment"), delay)
+    return keyed_flags(wanted, ["player_id"], PlayerProcessor(rules))
 
 
 def ring_flags(events: DataFrame, gap_seconds: float = 6 * 3600, delay: str = WATERMARK) -> DataFrame:
-    wanted = with_watermark(events, delay).filter("event_type = 'bonus_claim'")
-    columns = ["entity_id", "player_id", "device_id", "bonus_type", "seq"]
-    return _run(wanted, ["device_id", "bonus_type"], columns, RingProcessor(gap_seconds))
+    wanted = _of_kinds(events, ("bonus_claim",), delay)
+    return keyed_flags(wanted, ["device_id", "bonus_type"], RingProcessor(gap_seconds))
 
 
 def session_flags(
     events: DataFrame, min_gaps: int = 100, max_sd: float = 0.3, ttl_seconds: float = 6 * 3600, delay: str = WATERMARK
 ) -> DataFrame:
-    wanted = with_watermark(events, delay).filter("event_type = 'game_round'")
-    columns = ["entity_id", "player_id", "session_id", "seq"]
-    return _run(wanted, ["session_id"], columns, SessionProcessor(min_gaps, max_sd, ttl_seconds))
+    wanted = _of_kinds(events, ("game_round",), delay)
+    return keyed_flags(wanted, ["session_id"], SessionProcessor(min_gaps, max_sd, ttl_seconds))
 
 
 def breach_flags(events: DataFrame, registry: DataFrame) -> DataFrame:
@@ -113,10 +122,44 @@ def write_flags(flags: DataFrame, path: str, checkpoint: str) -> DataStreamWrite
     return flags.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
 
 
+def _per_batch(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Each micro-batch with rows owns a folder and overwrites it, so a retry does not duplicate."""
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        if not batch.isEmpty():
+            batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+
+
+def write_rejects(rejects: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Messages that are no events, with the reason, by micro-batch."""
+    return _per_batch(rejects, path, checkpoint)
+
+
+def read_rejects(spark, path: str) -> DataFrame:
+    """The rejected messages of :func:`run_detector` under its ``path``; none if there were none."""
+    schema = "message string, reason string, batch_id int"
+    return spark.read.schema(schema).parquet(f"{path}-rejects") if exists(spark, f"{path}-rejects") else spark.createDataFrame([], schema)
+
+
+def write_windows(windows: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """The windows that a micro-batch changed, as they are after it. State behind the watermark is dropped."""
+    return _per_batch(windows, path, checkpoint).outputMode("update")
+
+
+def read_windows(spark, path: str) -> DataFrame:
+    """Every window as the last micro-batch left it that changed it."""
+    changes = spark.read.parquet(path)
+    values = [c for c in changes.columns if c not in ("player_id", "window_start", "batch_id")]
+    last = F.max_by(F.struct(*values), F.col("batch_id"))
+    return changes.groupBy("player_id", "window_start").agg(last.alias("last")).select("player_id", "window_start", "last.*")
+
+
 def archive_events(events: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """Every event as gzipped JSON lines under year/month/day of its time, in files of five minutes' arrivals."""
     return (
-        events.withColumns({
+        events.filter(F.col("event_type") != TICK).withColumns({
             "year": F.date_format("ts", "yyyy"), "month": F.date_format("ts", "MM"), "day": F.date_format("ts", "dd"),
         })
         .writeStream.format("json").partitionBy("year", "month", "day").option("compression", "gzip")
@@ -127,8 +170,13 @@ def archive_events(events: DataFrame, path: str, checkpoint: str) -> DataStreamW
 def run_detector(
     events: DataFrame, registry: DataFrame, path: str, checkpoint: str, once: bool = False,
     player: PlayerRules = PlayerRules(), ring: dict | None = None, session: dict | None = None,
+    messages: DataFrame | None = None,
 ) -> list:
-    """Start one query per partitioning key. ``once`` works off what is there and stops, for a backtest."""
+    """Start one query per partitioning key. ``once`` works off what is there and stops, for a backtest.
+
+    With ``messages``, the stream that the events were decoded from, one more query keeps those that are no events,
+    with the reason, so that none vanishes.
+    """
     jobs = {
         "player": player_flags(events, player),
         "ring": ring_flags(events, **(ring or {})),
@@ -136,10 +184,10 @@ def run_detector(
         "breach": breach_flags(events, registry),
     }
     trigger = {"availableNow": True} if once else {"processingTime": "1 second"}
-    return [
-        write_flags(flags, f"{path}/job={name}", f"{checkpoint}/{name}").trigger(**trigger).start()
-        for name, flags in jobs.items()
-    ]
+    writers = [write_flags(flags, f"{path}/job={name}", f"{checkpoint}/{name}") for name, flags in jobs.items()]
+    if messages is not None:
+        writers.append(write_rejects(rejected_messages(messages), f"{path}-rejects", f"{checkpoint}/rejects"))
+    return [w.trigger(**trigger).start() for w in writers]
 
 
 FLAG_FILE = (

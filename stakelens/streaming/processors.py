@@ -1,20 +1,25 @@
 """Keyed state for the rules on a stream.
 
-A processor sees the rows of one key per micro-batch, sorts them by (ts, seq, entity_id) and walks them in that
-order. State is read once and written once per call, and holds a bounded number of values per key wherever the rule
-allows. All expiry compares event times; a single event-time timer clears keys that have gone quiet.
+Events of a key come in any order within the watermark's delay. A processor keeps them in a reorder buffer until the
+watermark has passed them, after which no earlier event can come, and only then walks them in order of (us, seq,
+entity_id): across micro-batches in the very order in which the batch rules see them. What a rule remembers of a key is
+read once and written once per release, and is a bounded number of values wherever the rule allows. The buffer holds
+the key's events of the last ``delay`` and no others.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from typing import NamedTuple
+from itertools import islice
+from typing import Any, NamedTuple
 
-import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 SECOND = 1_000_000  # microseconds
+ROWS_AT_ONCE = 1000
 
 FLAG_OUT = T.StructType([
     T.StructField("scenario_type", T.StringType()),
@@ -39,73 +44,102 @@ class PlayerRules(NamedTuple):
     min_deposits: int = 2
 
 
-class _InOrder(StatefulProcessor):
-    quiet_us: int  # how long a key stays in state after its last event
+class InOrder(StatefulProcessor):
+    """Releases the events of a key in order, and forgets a key that has been quiet for ``quiet_us``.
+
+    A further rule derives from this: ``columns`` names the text columns that it reads, ``begin`` what it remembers of
+    a new key (anything JSON can hold), ``step`` takes one event and returns flags.
+    """
+
+    columns: tuple[str, ...] = ()
+    id_type = "string"  # ids are ordered as they are in the events
+    quiet_us: int
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.clock = handle.getValueState("clock", "last_us bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["us", "seq", "entity_id"], kind="stable")
-        flags = self.consume(batch)
-        last = int(batch["us"].iloc[-1])
-        if not self.clock.exists():  # a key in state always has one timer
-            self._remind(last)
-        self.clock.update((last,))
-        if flags:
-            yield pd.DataFrame(flags, columns=FLAG_OUT.names)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last = self.clock.get()[0]
-        if (last + self.quiet_us) // 1000 >= expiredTimerInfo.getExpiryTimeInMs():
-            self._remind(last)  # there were events since the timer was set
-        else:
-            self.clock.clear()
-            self.forget()
+        fields = ", ".join(f"{c} {'double' if c == 'amount_gbp' else 'string'}" for c in self.columns)
+        self.arrivals = handle.getListState("arrivals", f"us bigint, seq int, entity_id {self.id_type}, {fields}")
+        # ``due`` is when the timer rings that asks whether the key has gone quiet; there is always one.
+        self.memory = handle.getValueState("memory", "last_us bigint, due bigint, body string")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        names, first = ("us", "seq", "entity_id", *self.columns), None
+        while some := list(islice(rows, ROWS_AT_ONCE)):
+            self.arrivals.appendList([tuple(r[n] for n in names) for r in some])
+            first = min(r["us"] for r in some) if first is None else min(first, *(r["us"] for r in some))
+        self.handle.registerTimer(self._after(first))
         yield from ()
 
-    def _remind(self, last_us: int) -> None:
-        self.handle.registerTimer((last_us + self.quiet_us) // 1000 + 1)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        ready, waiting = [], []
+        for row in self.arrivals.get() if self.arrivals.exists() else ():
+            (ready if row[0] <= passed else waiting).append(tuple(row))
+        last, due, body = self.memory.get() if self.memory.exists() else (None, None, None)
+        flags: list[tuple] = []
+        if ready:
+            ready.sort(key=lambda row: row[:3])
+            memory = self.begin() if body is None else json.loads(body)
+            event = Row("us", "seq", "entity_id", *self.columns)
+            for us, seq, entity, *others in ready:
+                flags += self.step(memory, event(us, seq, str(entity), *others))
+            last, body = ready[-1][0], json.dumps(memory)
+            if waiting:
+                self.arrivals.put(waiting)
+                self.handle.registerTimer(self._after(min(row[0] for row in waiting)))
+            else:
+                self.arrivals.clear()
+        rung = due is None or expiredTimerInfo.getExpiryTimeInMs() >= due
+        if rung and last is not None and not ready and not waiting and last + self.quiet_us < passed:
+            self.memory.clear()
+            self.forget()
+        elif ready or (rung and last is not None):
+            if rung:
+                due = max(self._after(last + self.quiet_us), passed // 1000 + 1)
+                self.handle.registerTimer(due)
+            self.memory.update((last, due, body))
+        for flag in flags:
+            yield Row(**dict(zip(FLAG_OUT.names, flag, strict=True)))
+
+    @staticmethod
+    def _after(us: int) -> int:
+        """The time of a timer that rings once the watermark has passed ``us``."""
+        return -(-us // 1000) + 1
+
+    def begin(self) -> Any:
+        raise NotImplementedError
 
-    def consume(self, batch: pd.DataFrame) -> list[tuple]:
+    def step(self, memory: Any, e: Row) -> Iterator[tuple]:
         raise NotImplementedError
 
     def forget(self) -> None:
-        raise NotImplementedError
+        """Clear further state of a quiet key."""
 
     def close(self) -> None:
         pass
 
 
 class _Known:
-    """The keys of a map state, each looked up at most once per call."""
+    """The keys of a map state."""
 
     def __init__(self, state):
         self.state = state
-        self.seen: dict[str, bool] = {}
 
     def __contains__(self, value) -> bool:
-        if value not in self.seen:
-            self.seen[value] = self.state.containsKey((value,))
-        return self.seen[value]
+        return self.state.containsKey((value,))
 
     def add(self, value, us: int) -> None:
         self.state.updateValue((value,), (us,))
-        self.seen[value] = True
 
     def clear(self) -> None:
         self.state.clear()
-        self.seen.clear()
-
-
-def _missing(value) -> bool:
-    return value is None or value != value
 
 
-class PlayerProcessor(_InOrder):
+class PlayerProcessor(InOrder):
     """Card testing, account takeover and structuring, which all follow one player."""
 
+    columns = ("event_type", "player_id", "device_id", "payment_type", "amount_gbp", "card_bin", "country_from_ip")
+
     def __init__(self, rules: PlayerRules):
         self.rules = rules
         self.quiet_us = int(max(
@@ -115,140 +149,124 @@ class PlayerProcessor(_InOrder):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.bins = handle.getListState("bins", "card_bin string, us bigint")
-        self.large = handle.getListState("large", "us bigint")
-        self.pending = handle.getValueState("pending", "device_id string, login_id string, us bigint")
-        self.devices = handle.getMapState("devices", "value string", "us bigint")
-        self.geos = handle.getMapState("geos", "value string", "us bigint")
-        self.rewritten = handle.getValueState("rewritten", "devices_us bigint, geos_us bigint")
+        self.devices = _Known(handle.getMapState("devices", "value string", "us bigint"))
+        self.geos = _Known(handle.getMapState("geos", "value string", "us bigint"))
 
     def forget(self) -> None:
-        for state in (self.bins, self.large, self.pending, self.devices, self.geos, self.rewritten):
-            state.clear()
-
-    def consume(self, batch: pd.DataFrame) -> list[tuple]:
-        r = self.rules
-        bins = [tuple(v) for v in self.bins.get()] if self.bins.exists() else []
-        large = [v[0] for v in self.large.get()] if self.large.exists() else []
-        pending = tuple(self.pending.get()) if self.pending.exists() else None
-        devices_us, geos_us = self.rewritten.get() if self.rewritten.exists() else (None, None)
-        devices, geos = _Known(self.devices), _Known(self.geos)
-        known_ttl = int(r.known_ttl_days * 86_400 * SECOND)
-        flags: list[tuple] = []
-
-        for e in batch.itertuples(index=False):
-            if e.event_type == "login":
-                if devices_us is not None and e.us > devices_us + known_ttl:
-                    devices.clear()
-                    devices_us = None
-                if geos_us is not None and e.us > geos_us + known_ttl:
-                    geos.clear()
-                    geos_us = None
-                has_history = devices_us is not None
-                new_device = e.device_id not in devices
-                no_geo = _missing(e.country_from_ip)
-                new_geo = no_geo or e.country_from_ip not in geos
-                if new_device:
-                    devices.add(e.device_id, e.us)
-                    devices_us = e.us
-                if new_geo and not no_geo:
-                    geos.add(e.country_from_ip, e.us)
-                    geos_us = e.us
-                if new_device and new_geo and has_history:
-                    pending = (e.device_id, e.entity_id, e.us)
-            elif e.payment_type == "withdrawal":
-                if pending and pending[0] == e.device_id and e.us <= pending[2] + int(r.pending_seconds * SECOND):
-                    at = (e.us, e.entity_id)
-                    flags.append(("account_takeover", "payment", e.entity_id, e.player_id, e.us, *at))
-                    flags.append(("account_takeover", "login", pending[1], e.player_id, pending[2], *at))
-                    pending = None
-            elif e.payment_type == "deposit":
-                # The most recent distinct BINs, newest first; a BIN seen again moves to the front.
-                card_bin = None if _missing(e.card_bin) else e.card_bin
-                bins = [(card_bin, e.us)] + [b for b in bins if b[0] != card_bin]
-                del bins[r.min_bins:]
-                if len(bins) == r.min_bins and bins[-1][1] >= e.us - int(r.card_window_seconds * SECOND):
-                    flags.append(("card_testing", "payment", e.entity_id, e.player_id, e.us, e.us, e.entity_id))
-                if not _missing(e.amount_gbp) and e.amount_gbp >= r.near_threshold_gbp:
-                    large = [e.us, *large][: r.min_deposits]
-                    earliest = e.us - int(r.structuring_window_seconds * SECOND)
-                    if len(large) == r.min_deposits and large[-1] >= earliest:
-                        flags.append(("structuring", "payment", e.entity_id, e.player_id, e.us, e.us, e.entity_id))
-
-        if bins:
-            self.bins.put(bins)
-        if large:
-            self.large.put([(us,) for us in large])
-        if pending:
-            self.pending.update(pending)
-        else:
-            self.pending.clear()
-        self.rewritten.update((devices_us, geos_us))
-        return flags
-
-
-class RingProcessor(_InOrder):
+        self.devices.clear()
+        self.geos.clear()
+
+    def begin(self) -> dict:
+        # Newest BINs and large deposits first; when each list of known values was written last.
+        return {"bins": [], "large": [], "pending": None, "devices_us": None, "geos_us": None}
+
+    def step(self, memory: dict, e: Row) -> Iterator[tuple]:
+        if e.event_type == "login":
+            self._login(memory, e)
+        elif e.payment_type == "withdrawal":
+            yield from self._withdrawal(memory, e)
+        elif e.payment_type == "deposit":
+            yield from self._deposit(memory, e)
+
+    def _login(self, memory: dict, e: Row) -> None:
+        ttl = int(self.rules.known_ttl_days * 86_400 * SECOND)
+        for known, written in ((self.devices, "devices_us"), (self.geos, "geos_us")):
+            if memory[written] is not None and e.us > memory[written] + ttl:
+                known.clear()
+                memory[written] = None
+        has_history = memory["devices_us"] is not None
+        new_device = not has_history or e.device_id not in self.devices
+        no_geo = e.country_from_ip is None
+        new_geo = no_geo or memory["geos_us"] is None or e.country_from_ip not in self.geos
+        if new_device:
+            self.devices.add(e.device_id, e.us)
+            memory["devices_us"] = e.us
+        if new_geo and not no_geo:
+            self.geos.add(e.country_from_ip, e.us)
+            memory["geos_us"] = e.us
+        if new_device and new_geo and has_history:
+            memory["pending"] = (e.device_id, e.entity_id, e.us)
+
+    def _withdrawal(self, memory: dict, e: Row) -> Iterator[tuple]:
+        if not memory["pending"]:
+            return
+        device, login, us = memory["pending"]
+        if device == e.device_id and e.us <= us + int(self.rules.pending_seconds * SECOND):
+            at = (e.us, e.entity_id)
+            yield "account_takeover", "payment", e.entity_id, e.player_id, e.us, *at
+            yield "account_takeover", "login", login, e.player_id, us, *at
+            memory["pending"] = None
+
+    def _deposit(self, memory: dict, e: Row) -> Iterator[tuple]:
+        r, raised = self.rules, (e.player_id, e.us, e.us, e.entity_id)
+        # The most recent distinct BINs; one that is seen again moves to the front.
+        bins = [[e.card_bin, e.us], *[b for b in memory["bins"] if b[0] != e.card_bin]][:r.min_bins]
+        memory["bins"] = bins
+        if len(bins) == r.min_bins and bins[-1][1] >= e.us - int(r.card_window_seconds * SECOND):
+            yield "card_testing", "payment", e.entity_id, *raised
+        if e.amount_gbp is not None and e.amount_gbp >= r.near_threshold_gbp:
+            large = [e.us, *memory["large"]][:r.min_deposits]
+            memory["large"] = large
+            if len(large) == r.min_deposits and large[-1] >= e.us - int(r.structuring_window_seconds * SECOND):
+                yield "structuring", "payment", e.entity_id, *raised
+
+
+class RingProcessor(InOrder):
     """Bonus claims per (device, bonus type). Every claim extends the memory of who claimed."""
 
+    columns = ("player_id",)
+
     def __init__(self, gap_seconds: float = 6 * 3600):
         self.quiet_us = int(gap_seconds * SECOND)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.claimants = handle.getMapState("claimants", "player_id string", "us bigint")
-        self.last = handle.getValueState("last", "us bigint")
+        self.claimants = _Known(handle.getMapState("claimants", "player_id string", "us bigint"))
 
     def forget(self) -> None:
         self.claimants.clear()
-        self.last.clear()
-
-    def consume(self, batch: pd.DataFrame) -> list[tuple]:
-        last = self.last.get()[0] if self.last.exists() else None
-        claimants = _Known(self.claimants)
-        flags = []
-        for e in batch.itertuples(index=False):
-            if last is not None and e.us > last + self.quiet_us:
-                claimants.clear()
-                last = None
-            if e.player_id not in claimants:
-                if last is not None:
-                    flags.append(("bonus_abuse_ring", "bonus_claim", e.entity_id, e.player_id, e.us, e.us, e.entity_id))
-                claimants.add(e.player_id, e.us)
-            last = e.us
-        self.last.update((last,))
-        return flags
-
-
-class SessionProcessor(_InOrder):
-    """Running mean and variance of the gaps between a session's rounds."""
+
+    def begin(self) -> dict:
+        return {"last": None}
+
+    def step(self, memory: dict, e: Row) -> Iterator[tuple]:
+        if memory["last"] is not None and e.us > memory["last"] + self.quiet_us:
+            self.claimants.clear()
+            memory["last"] = None
+        if e.player_id not in self.claimants:
+            if memory["last"] is not None:
+                yield "bonus_abuse_ring", "bonus_claim", e.entity_id, e.player_id, e.us, e.us, e.entity_id
+            self.claimants.add(e.player_id, e.us)
+        memory["last"] = e.us
+
+
+class SessionProcessor(InOrder):
+    """Sums of the gaps between a session's rounds and of their squares. Whole numbers, so that they are exact."""
+
+    columns = ("player_id", "session_id")
 
     def __init__(self, min_gaps: int = 100, max_sd: float = 0.3, ttl_seconds: float = 6 * 3600):
         self.min_gaps = min_gaps
-        self.max_variance = max_sd * max_sd
+        self.max_sd = max_sd
         self.quiet_us = int(ttl_seconds * SECOND)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.stats = handle.getValueState("stats", "n bigint, mean double, m2 double, us bigint, flagged boolean")
+    def begin(self) -> dict:
+        return {"n": 0, "sum": 0, "squares": 0, "last": None, "flagged": False}
 
-    def forget(self) -> None:
-        self.stats.clear()
-
-    def consume(self, batch: pd.DataFrame) -> list[tuple]:
-        n, mean, m2, last, flagged = self.stats.get() if self.stats.exists() else (0, 0.0, 0.0, None, False)
-        flags = []
-        for e in batch.itertuples(index=False):
-            if last is None or e.us > last + self.quiet_us:
-                n, mean, m2, flagged = 0, 0.0, 0.0, False
-            else:
-                gap = (e.us - last) / SECOND
-                n += 1
-                step = gap - mean
-                mean += step / n
-                m2 += step * (gap - mean)
-            last = e.us
-            if n >= max(self.min_gaps, 1) and not flagged and (m2 / (n - 1) if n > 1 else 0.0) < self.max_variance:
-                flagged = True
-                flags.append(("bot_betting", "session", e.session_id, e.player_id, e.us, e.us, e.entity_id))
-        self.stats.update((n, mean, m2, last, flagged))
-        return flags
+    def step(self, memory: dict, e: Row) -> Iterator[tuple]:
+        if memory["last"] is None or e.us > memory["last"] + self.quiet_us:
+            memory.update(self.begin())
+        else:
+            gap = e.us - memory["last"]
+            memory["n"] += 1
+            memory["sum"] += gap
+            memory["squares"] += gap * gap
+        memory["last"] = e.us
+        if memory["n"] >= max(self.min_gaps, 1) and not memory["flagged"] and self._deviation(memory) < self.max_sd:
+            memory["flagged"] = True
+            yield "bot_betting", "session", e.session_id, e.player_id, e.us, e.us, e.entity_id
+
+    @staticmethod
+    def _deviation(memory: dict) -> float:
+        n, total, squares = memory["n"], memory["sum"], memory["squares"]
+        return ((n * squares - total * total) / (n * (n - 1))) ** 0.5 / SECOND if n > 1 else 0.0

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import random
+from collections import Counter
 from datetime import timedelta
 
 import pytest
@@ -13,6 +15,8 @@ from test_rules import SETTINGS, SINCE
 
 from stakelens.plans import rules
 from stakelens.sources import event_stream, fx_rates
+from stakelens.sources.events import from_messages, message_stream
+from stakelens.sources.replay import replay_stream, write_slices
 from stakelens.streaming import detector
 from stakelens.streaming.processors import PlayerRules
 
@@ -42,6 +46,13 @@ def in_pieces(folder, events, pieces):
         publish(folder, [e for e in events if e["ts"] in chosen], f"part{n}", n)
 
 
+def tick(folder, at, order, delay=timedelta(minutes=10)):
+    """A last message that lets the watermark pass ``at``."""
+    path = folder / f"tick{order}.json"
+    path.write_text(json.dumps({"event_type": "tick", "ts": (at + delay + timedelta(milliseconds=2)).isoformat()}))
+    os.utime(path, (1_700_000_000 + order, 1_700_000_000 + order))
+
+
 @pytest.fixture
 def topic(tmp_path):
     folder = tmp_path / "topic"
@@ -51,10 +62,13 @@ def topic(tmp_path):
 
 def detect(spark, topic, tmp_path, name="out"):
     events = event_stream(spark, str(topic), fx_rates(spark), maxFilesPerTrigger="1")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")  # few keys
     jobs = detector.run_detector(
         events, registry(spark, SINCE), f"{tmp_path}/{name}", f"{tmp_path}/{name}-state", once=True,
         player=PLAYER, ring=SETTINGS["bonus_ring"], session=SETTINGS["bot_betting"],
     )
+    spark.conf.set("spark.sql.shuffle.partitions", before)  # running streams keep theirs
     for job in jobs:
         job.awaitTermination()
     return detector.read_flags(spark, f"{tmp_path}/{name}")
@@ -63,6 +77,7 @@ def detect(spark, topic, tmp_path, name="out"):
 def test_stream_equals_batch_over_micro_batches(spark, topic, tmp_path):
     events = make(2)
     in_pieces(topic, events, 4)
+    tick(topic, max(e["ts"] for e in events), 4)
     flags = detect(spark, topic, tmp_path)
     want = collected(rules.run_rules(frame(spark, events), registry(spark, SINCE), SETTINGS))
     assert collected(flags) == want and len({w[0] for w in want}) == 6
@@ -71,12 +86,40 @@ def test_stream_equals_batch_over_micro_batches(spark, topic, tmp_path):
     assert flags.select("flag_id").distinct().count() == len(set(want))
 
 
+@pytest.mark.parametrize("seed", [30, 32])
+def test_order_of_arrival_does_not_matter_within_the_watermark(spark, topic, tmp_path, seed):
+    """Each event arrives up to nine minutes late, so batches overlap and cut through instants."""
+    rng = random.Random(seed)
+    events = make(seed, n=400, minutes=300)
+    arrived = sorted(events, key=lambda e: e["ts"] + timedelta(seconds=rng.uniform(0, 540)))
+    assert [e["ts"] for e in arrived] != sorted(e["ts"] for e in arrived)
+    for n in range(8):
+        publish(topic, arrived[n * len(arrived) // 8:(n + 1) * len(arrived) // 8], f"part{n}", n)
+    tick(topic, max(e["ts"] for e in events), 8)
+    want = collected(rules.run_rules(frame(spark, events), registry(spark, SINCE), SETTINGS))
+    assert collected(detect(spark, topic, tmp_path)) == want and len({w[0] for w in want}) == 6
+
+
+def test_replay_is_bounded_and_in_order(spark, tmp_path):
+    events = frame(spark, make(33, n=300))
+    write_slices(events, f"{tmp_path}/slices", rows=20)
+    seen = []
+    replay_stream(spark, f"{tmp_path}/slices").writeStream.foreachBatch(
+        lambda batch, _: seen.append([(r.ts, r.event_type) for r in batch.collect()])).option(
+        "checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) > 15 and max(map(len, seen)) <= 20
+    assert all(max(a)[0] <= min(b)[0] for a, b in zip(seen, seen[1:], strict=False))
+    assert sum(map(len, seen)) == events.count() + 1 and seen[-1][0][1] == "tick"
+    write_slices(events.limit(0), f"{tmp_path}/none")
+
+
 def test_restart_goes_on_where_it_stopped(spark, topic, tmp_path):
     events = sorted(make(22, n=200), key=lambda e: e["ts"])
     middle = events[100]["ts"]
     publish(topic, [e for e in events if e["ts"] < middle], "first", 0)
     detect(spark, topic, tmp_path)
     publish(topic, [e for e in events if e["ts"] >= middle], "second", 1)
+    tick(topic, events[-1]["ts"], 2)
     flags = detect(spark, topic, tmp_path)
     assert collected(flags) == collected(rules.run_rules(frame(spark, events), registry(spark, SINCE), SETTINGS))
 
@@ -91,6 +134,7 @@ def test_events_behind_the_watermark_are_dropped(spark, topic, tmp_path):
     publish(topic, [deposit(3, 301, "c")], "second", 1)
     publish(topic, [deposit(4, 2, "z")], "third", 2)
     events = event_stream(spark, str(topic), fx_rates(spark), maxFilesPerTrigger="1")
+    tick(topic, START + timedelta(minutes=301), 3)
     flags = detector.player_flags(events, PLAYER)
     detector.write_flags(flags, f"{tmp_path}/o", f"{tmp_path}/s").trigger(availableNow=True).start().awaitTermination()
     found = [r.entity_id for r in spark.read.parquet(f"{tmp_path}/o").filter("scenario_type = 'card_testing'").collect()]
@@ -130,3 +174,30 @@ def test_messages_that_are_no_events_are_set_aside(spark):
     assert from_messages(messages, fx_rates(spark)).count() == 1
     got = {r.message: r.reason for r in rejected_messages(messages).collect()}
     assert got == {"{": "no event", bad[1]: "no time", bad[2]: "unknown event type", "null": "no event", None: "no event"}
+
+
+def test_the_detector_keeps_messages_that_are_no_events(spark, topic, tmp_path):
+    publish(topic, make(3, n=7)[:7], "good", 0)
+    (topic / "bad.json").write_text('{\n{"event_type": "walk", "ts": "2024-01-01T00:00:00Z"}\n{"event_type": "login"}\n')
+    messages = message_stream(spark, str(topic), maxFilesPerTrigger="1")
+    for job in detector.run_detector(
+            from_messages(messages, fx_rates(spark)), registry(spark, SINCE), f"{tmp_path}/o", f"{tmp_path}/s", once=True,
+            messages=messages):
+        job.awaitTermination()
+    assert sorted(r.reason for r in detector.read_rejects(spark, f"{tmp_path}/o").collect()) == [
+        "no event", "no time", "unknown event type"]
+
+
+def test_windows_are_upserted_and_forgotten(spark, topic, tmp_path):
+    events = make(35, n=300)
+    in_pieces(topic, events, 3)
+    stream = event_stream(spark, str(topic), fx_rates(spark), maxFilesPerTrigger="1")
+    windows = detector.rolling_large_deposits(stream, window="1 hour", slide="1 hour", at_least=1)
+    query = detector.write_windows(windows, f"{tmp_path}/w", f"{tmp_path}/s").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {(r.player_id, r.window_start): r.deposits for r in detector.read_windows(spark, f"{tmp_path}/w").collect()}
+    want = Counter((e["player_id"], e["ts"].replace(minute=0)) for e in events
+                   if e["payment_type"] == "deposit" and e["amount_gbp"] >= 9000)
+    assert got == want
+    held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert held[-1] < len(want), "windows behind the watermark stay in state"
