@@ -50,8 +50,9 @@ def parts(url: str | None) -> tuple[str, str]:
 def index_bytes(rules: Iterable[Rule]) -> bytes:
     """The index file. Of equal rules, one that blocks counts. A verdict is ``allow`` or ``block``."""
     verdicts: dict[str, bool] = {}
-    lengths = {0}
+    lengths, longest = {0}, 0
     for r in rules:
+        longest = max(longest, len(r.host))
         name = r.host + r.path
         verdicts[name] = verdicts.get(name, False) or r.verdict == BLOCK
         lengths.add(len(r.path))
@@ -61,7 +62,7 @@ def index_bytes(rules: Iterable[Rule]) -> bytes:
     ends = np.cumsum([0, *map(len, raw)]).astype("<u8")
     steps = np.array(sorted(lengths), "<u8")
     return b"".join([
-        np.array([len(names), len(steps), len(blob), 0], "<u8").tobytes(),
+        np.array([len(names), len(steps), len(blob), longest], "<u8").tobytes(),
         np.array([xxh64_intdigest(n) for n in names], "<u8").tobytes(), ends.tobytes(), steps.tobytes(),
         np.array([verdicts[n] for n in names], "u1").tobytes(), blob])
 
@@ -71,7 +72,7 @@ class Index:
 
     def __init__(self, path: str):
         whole = np.memmap(path, "u1", "r")
-        n, lengths, size, _ = (int(x) for x in whole[:8 * HEAD].view("<u8"))
+        n, lengths, size, self.longest = (int(x) for x in whole[:8 * HEAD].view("<u8"))
         cuts = np.cumsum([8 * HEAD, 8 * n, 8 * (n + 1), 8 * lengths, n, size])
         piece = [whole[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         self.keys, self.ends, steps = (p.view("<u8") for p in piece[:3])
@@ -92,7 +93,9 @@ class Index:
         found = [parts(u) for u in urls]
         rows, names, order = [], [], []
         for row, (host, path) in enumerate(found):
-            at = 0
+            # No rule is for a longer host, so of a host of thousands of labels only the last few are looked up.
+            spare = len(host) - self.longest
+            at = 0 if spare <= 0 else host.find(".", spare - 1) + 1 or -1
             while host and at >= 0:
                 for n in self.lengths:
                     if n <= len(path):
@@ -145,7 +148,8 @@ def filter_urls(pages: DataFrame, rules: Iterable[Rule], url: str = "url",
     """The pages with host, path, rule (as ``host/path``, null if none fits) and verdict, under ``names``.
 
     A url that no rule fits is allowed. Null urls and those without ``://`` have an empty host and path, and no rule
-    fits them. Rows are judged one by one: repeated rows alike, an empty table gives no rows. Of the page's own
+    fits them. Rows are judged one by one: repeated rows alike, an empty table gives no rows. The work for a url is
+    bounded by the longest rule host and the number of path lengths of the rules, however long the url is. Of the page's own
     columns, those called like ``names`` are replaced and the others pass.
     """
     name = share_index(pages.sparkSession, rules)

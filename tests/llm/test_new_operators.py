@@ -374,3 +374,24 @@ def test_op12_against_brute_force(spark):
     rows = QUERIES["op12_decontamination"](spark, FOLDER).collect()
     assert sorted(tuple(r)[:6] for r in rows) == sorted(plain_contamination(docs, items))
     assert sum(r.contaminated for r in rows) >= 3
+
+
+# 3 ------------------------------------------------------------------------------------------------------------------
+
+def test_long_urls_take_little(tmp_path):
+    import tracemalloc
+
+    from stakelens.llm import url_filter
+
+    rules = [url_filter.Rule("example.com", "/de/", "block"), url_filter.Rule("com", "/", "allow"), url_filter.Rule("", "/x", "block")]
+    (tmp_path / "i").write_bytes(url_filter.index_bytes(rules))
+    index = url_filter.Index(str(tmp_path / "i"))
+    host = "a." * 500_000
+    urls = [f"http://{host}example.com/de/x", f"http://{host}com/", f"http://{host}bexample.com/de/", f"http://{'x' * 10**6}",
+            f"http://{host}", "http://example.com/de/" + "y/" * 500_000, "http://com/de/", "http://.com/de/"]
+    tracemalloc.start()
+    got = [(rule, verdict) for _, _, rule, verdict in index.judge(urls)]
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    assert got == [("example.com/de/", "block"), ("com/", "allow"), ("com/", "allow"), (None, "allow"), (None, "allow"),
+                   ("example.com/de/", "block"), ("com/", "allow"), ("com/", "allow")]
