@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +15,9 @@ from ..sources.events import TICK, rejected_messages
 from ..sources.raw import exists
 from .processors import FLAG_OUT, InOrder, PlayerProcessor, PlayerRules, RingProcessor, SessionProcessor
 
+if TYPE_CHECKING:
+    from .rule import Rule
+
 WATERMARK = "10 minutes"
 
 
@@ -20,7 +26,7 @@ def with_watermark(events: DataFrame, delay: str = WATERMARK) -> DataFrame:
     return events.withWatermark("ts", delay)
 
 
-def _of_kinds(events: DataFrame, kinds: tuple[str, ...], delay: str) -> DataFrame:
+def of_kinds(events: DataFrame, kinds: tuple[str, ...], delay: str) -> DataFrame:
     """The events of these kinds. Ticks move the watermark on with them and go only behind it.
 
     The second condition reads ``ts``, so the optimizer does not apply it before the watermark.
@@ -34,18 +40,15 @@ def without_retries(events: DataFrame, delay: str = WATERMARK) -> DataFrame:
     return with_watermark(events, delay).dropDuplicatesWithinWatermark(["event_type", "entity_id"])
 
 
-def keyed_flags(events: DataFrame, keys: list[str], processor: InOrder) -> DataFrame:
-    """The flags that a processor raises on a stream with a watermark. Events without one of the keys belong together."""
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
-    # Only the columns a rule reads cross into Python; ids travel as text, time as microseconds.
-    id_type = events.schema["entity_id"].dataType
-    processor.id_type = "bigint" if isinstance(id_type, T.IntegralType) else "string"
+def slim_events(events: DataFrame, keys: list[str], processor: InOrder) -> DataFrame:
+    """Only the columns a rule reads: ids travel as text (the event's own as it is ordered), time as microseconds."""
+    processor.id_type = "bigint" if isinstance(events.schema["entity_id"].dataType, T.IntegralType) else "string"
     kinds = {"seq": "int", "amount_gbp": "double", "entity_id": processor.id_type}
     wanted = dict.fromkeys([*keys, "seq", "entity_id", *processor.columns])
-    slim = events.select("ts", F.unix_micros("ts").alias("us"), *[F.col(c).cast(kinds.get(c, "string")).alias(c) for c in wanted])
-    found = slim.groupBy(*keys).transformWithState(
-        statefulProcessor=processor, outputStructType=FLAG_OUT, outputMode="append", timeMode="EventTime"
-    )
+    return events.select("ts", F.unix_micros("ts").alias("us"), *[F.col(c).cast(kinds.get(c, "string")).alias(c) for c in wanted])
+
+
+def as_flags(found: DataFrame) -> DataFrame:
     return found.select(
         "scenario_type", "entity_type", "entity_id", "player_id",
         F.timestamp_micros("triggering_us").alias("triggering_event_ts"), F.lit("high").alias("severity"),
@@ -53,20 +56,28 @@ def keyed_flags(events: DataFrame, keys: list[str], processor: InOrder) -> DataF
     )
 
 
+def keyed_flags(events: DataFrame, keys: list[str], processor: InOrder) -> DataFrame:
+    """The flags that a processor raises on a stream with a watermark. Events without one of the keys belong together."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+    return as_flags(slim_events(events, keys, processor).groupBy(*keys).transformWithState(
+        statefulProcessor=processor, outputStructType=FLAG_OUT, outputMode="append", timeMode="EventTime"
+    ))
+
+
 def player_flags(events: DataFrame, rules: PlayerRules = PlayerRules(), delay: str = WATERMARK) -> DataFrame:
-    wanted = _of_kinds(events, ("login", "payment"), delay)
+    wanted = of_kinds(events, ("login", "payment"), delay)
     return keyed_flags(wanted, ["player_id"], PlayerProcessor(rules))
 
 
 def ring_flags(events: DataFrame, gap_seconds: float = 6 * 3600, delay: str = WATERMARK) -> DataFrame:
-    wanted = _of_kinds(events, ("bonus_claim",), delay)
+    wanted = of_kinds(events, ("bonus_claim",), delay)
     return keyed_flags(wanted, ["device_id", "bonus_type"], RingProcessor(gap_seconds))
 
 
 def session_flags(
     events: DataFrame, min_gaps: int = 100, max_sd: float = 0.3, ttl_seconds: float = 6 * 3600, delay: str = WATERMARK
 ) -> DataFrame:
-    wanted = _of_kinds(events, ("game_round",), delay)
+    wanted = of_kinds(events, ("game_round",), delay)
     return keyed_flags(wanted, ["session_id"], SessionProcessor(min_gaps, max_sd, ttl_seconds))
 
 
@@ -170,18 +181,19 @@ def archive_events(events: DataFrame, path: str, checkpoint: str) -> DataStreamW
 def run_detector(
     events: DataFrame, registry: DataFrame, path: str, checkpoint: str, once: bool = False,
     player: PlayerRules = PlayerRules(), ring: dict | None = None, session: dict | None = None,
-    messages: DataFrame | None = None,
+    messages: DataFrame | None = None, further: Sequence[Rule] = (),
 ) -> list:
     """Start one query per partitioning key. ``once`` works off what is there and stops, for a backtest.
 
     With ``messages``, the stream that the events were decoded from, one more query keeps those that are no events,
-    with the reason, so that none vanishes.
+    with the reason, so that none vanishes. Each rule in ``further`` is a query of its own.
     """
     jobs = {
         "player": player_flags(events, player),
         "ring": ring_flags(events, **(ring or {})),
         "session": session_flags(events, **(session or {})),
         "breach": breach_flags(events, registry),
+        **{rule.name: rule.stream(events) for rule in further},
     }
     trigger = {"availableNow": True} if once else {"processingTime": "1 second"}
     writers = [write_flags(flags, f"{path}/job={name}", f"{checkpoint}/{name}") for name, flags in jobs.items()]

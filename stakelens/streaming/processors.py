@@ -82,8 +82,12 @@ class InOrder(StatefulProcessor):
             memory = self.begin() if body is None else json.loads(body)
             event = Row("us", "seq", "entity_id", *self.columns)
             for us, seq, entity, *others in ready:
+                if last is not None and us > last + self.quiet_us:
+                    self.forget()
+                    memory = self.begin()
+                last = us
                 flags += self.step(memory, event(us, seq, str(entity), *others))
-            last, body = ready[-1][0], json.dumps(memory)
+            body = json.dumps(memory)
             if waiting:
                 self.arrivals.put(waiting)
                 self.handle.registerTimer(self._after(min(row[0] for row in waiting)))

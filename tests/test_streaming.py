@@ -18,7 +18,8 @@ from stakelens.sources import event_stream, fx_rates
 from stakelens.sources.events import from_messages, message_stream
 from stakelens.sources.replay import replay_stream, write_slices
 from stakelens.streaming import detector
-from stakelens.streaming.processors import PlayerRules
+from stakelens.streaming.processors import SECOND, InOrder, PlayerRules
+from stakelens.streaming.rule import Rule
 
 PLAYER = PlayerRules(card_window_seconds=1800, pending_seconds=7200, structuring_window_seconds=3600)
 
@@ -201,3 +202,48 @@ def test_windows_are_upserted_and_forgotten(spark, topic, tmp_path):
     assert got == want
     held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
     assert held[-1] < len(want), "windows behind the watermark stay in state"
+
+
+def hasty_rule():
+    # A class in a function travels to the workers by value.
+    class Hasty(InOrder):
+        """Every third withdrawal of a player without an hour between two of them."""
+
+        columns = ("player_id", "payment_type")
+        quiet_us = 3600 * SECOND
+
+        def begin(self):
+            return [0]
+
+        def step(self, memory, e):
+            if e.payment_type == "withdrawal":
+                memory[0] += 1
+                if memory[0] % 3 == 0:
+                    yield "hasty", "payment", e.entity_id, e.player_id, e.us, e.us, e.entity_id
+
+    return Rule("hasty", ("payment",), ("player_id",), Hasty())
+
+
+def test_a_further_rule_runs_on_tables_and_streams(spark, topic, tmp_path):
+    rng = random.Random(9)
+    events = make(36, n=500)
+    rule = hasty_rule()
+    want, seen = [], {}
+    for e in sorted(events, key=lambda e: (e["ts"], e["seq"], e["entity_id"])):
+        if e["event_type"] == "payment":
+            last, n = seen.get(e["player_id"], (e["ts"], 0))
+            n = (0 if e["ts"] - last > timedelta(hours=1) else n) + (e["payment_type"] == "withdrawal")
+            seen[e["player_id"]] = (e["ts"], n)
+            if e["payment_type"] == "withdrawal" and n % 3 == 0:
+                want.append(("hasty", "payment", e["entity_id"], e["player_id"], e["ts"], e["ts"], e["entity_id"]))
+    got = rules.run_rules(frame(spark, events), registry(spark, SINCE), SETTINGS, (*rules.KEYED_RULES, rule.batch))
+    assert collected(got.filter("scenario_type = 'hasty'")) == sorted(want, key=str) and len(want) > 5
+    arrived = sorted(events, key=lambda e: e["ts"] + timedelta(seconds=rng.uniform(0, 540)))
+    for n in range(3):
+        publish(topic, arrived[n * len(arrived) // 3:(n + 1) * len(arrived) // 3], f"part{n}", n)
+    tick(topic, max(e["ts"] for e in events), 3)
+    stream = event_stream(spark, str(topic), fx_rates(spark), maxFilesPerTrigger="1")
+    for job in detector.run_detector(stream, registry(spark, SINCE), f"{tmp_path}/o", f"{tmp_path}/s", once=True, further=[rule]):
+        job.awaitTermination()
+    found = detector.read_flags(spark, f"{tmp_path}/o").filter("scenario_type = 'hasty'")
+    assert collected(found) == sorted(want, key=str)
