@@ -88,7 +88,9 @@ def _narrowed(index: Index, places: DataFrame, first: int, last: int | None, dur
     asked = places.select("row", "at", "window", F.explode(wanted).alias("list"), F.size(wanted).alias("wanted")).select(
         "row", "at", "window", "wanted", (F.col("at") + F.col("list.offset")).alias("position"), F.col("list.term").alias("term"))
     # Only lists that are asked for are moved; of the later ones, which are long, only what lies in documents with places.
-    lists = index.postings.select("row", "position", "term").join(asked.select("term").distinct(), "term", "left_semi")
+    # Their terms are written, so that the planner knows how few they are and filters where the postings are.
+    lists = index.postings.select("row", "position", "term").join(
+        durable(asked.select("term").distinct(), "terms"), "term", "left_semi")
     if last is None:
         lists = lists.join(durable(places.select("row").distinct(), "rows"), "row", "left_semi")
     met = asked.join(lists, ["row", "position", "term"], "left_semi").groupBy("row", "at", "window", "wanted").count()
@@ -130,7 +132,7 @@ def near_matches(index: Index, durable: Callable[..., DataFrame], reach: int = R
         asked = places.select("row", "at", "window", F.size(wanted).alias("wanted"), F.explode(wanted).alias("list")).select(
             "row", "at", "window", "wanted", F.col("list.term").alias("term"), F.explode(beside).alias("stretch"))
         lists = index.postings.select("row", "position", "term", F.floor(F.col("position") / reach).alias("stretch")).join(
-            asked.select("term").distinct(), "term", "left_semi")
+            durable(asked.select("term").distinct(), "terms"), "term", "left_semi")
         if not all_rows:
             lists = lists.join(durable(places.select("row").distinct(), "rows"), "row", "left_semi")
         met = asked.join(lists, ["row", "stretch", "term"]).filter(F.abs(F.col("position") - F.col("at")) <= reach)
