@@ -13,11 +13,12 @@ from .operators import asof_lookup, current_lookup, keep_first, scratch_dir
 from .plans import bi, churn, distortion, governance, quality, rules
 from .plans.warehouse import RawTables, Thresholds, Warehouse
 from .schemas import RAW
+from .session import prepare
 from .sources.events import event_stream, replay_slice, to_messages
 from .sources import replay
 from .sources.lens import Lens
 from .sources.replay import replay_stream, write_slices
-from .sources.sinks import append_audit, export_reports, replace_table, sync_flags, write_metrics
+from .sources.sinks import append_audit, export_reports, replace_table, sync_flags, write_metrics, write_parquet
 from .streaming import detector
 from .streaming.processors import PlayerRules
 
@@ -37,7 +38,8 @@ LENS_THRESHOLDS = Thresholds(
     },
 )
 
-REPLAY_SLICES = 24  # micro-batches of a replay at least
+REPLAY_SLICES = 20  # micro-batches of a replay at least
+REPLAY_ROWS_A_TASK = 2_000
 
 THREE_VALUED = {"is_self_excluded_as_of", "success_flag"}
 
@@ -515,7 +517,13 @@ def stream_flags(w: Warehouse, target: str) -> DataFrame:
     """All six rules as stateful jobs over a bounded replay. They must raise what the batch rules raise."""
     at = w.at.rules
     events = warehouse(w.spark, w.raw.folder).events
-    write_slices(events, f"{target}-slices", rows=min(replay.ROWS, -(-events.count() // REPLAY_SLICES) or 1))
+    rows = min(replay.ROWS, -(-events.count() // REPLAY_SLICES) or 1)
+    write_slices(events, f"{target}-slices", rows)
+    write_parquet(w.self_exclusion_registry, f"{target}-registry")
+    # State is dealt out for good when a stream starts, so its session has as many partitions as a micro-batch can fill.
+    own = prepare(w.spark.newSession())
+    own.conf.set("spark.sql.shuffle.partitions", max(1, min(rows // REPLAY_ROWS_A_TASK, int(
+        w.spark.conf.get("spark.sql.shuffle.partitions")))))
     player = PlayerRules(
         card_window_seconds=at["card_testing"]["window_seconds"],
         min_bins=at["card_testing"]["min_bins"],
@@ -524,8 +532,8 @@ def stream_flags(w: Warehouse, target: str) -> DataFrame:
         structuring_window_seconds=at["structuring"]["window_seconds"],
     )
     jobs = detector.run_detector(
-        replay_stream(w.spark, f"{target}-slices", events.schema), w.self_exclusion_registry, target, f"{target}-state", once=True,
-        player=player, ring=at["bonus_ring"], session=at["bot_betting"],
+        replay_stream(own, f"{target}-slices", events.schema), own.read.parquet(f"{target}-registry"), target,
+        f"{target}-state", once=True, player=player, ring=at["bonus_ring"], session=at["bot_betting"],
     )
     for job in jobs:
         job.awaitTermination()

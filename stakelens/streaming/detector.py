@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
@@ -121,24 +121,27 @@ def write_flags(flags: DataFrame, path: str, checkpoint: str) -> DataStreamWrite
     A batch without flags, as most are, leaves no folder.
     """
 
-    def save(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        stamped = batch.select(
+    def stamped(batch: DataFrame) -> DataFrame:
+        return batch.select(
             flag_id().alias("flag_id"), "scenario_type", "entity_type", "entity_id", "player_id",
             "triggering_event_ts", F.current_timestamp().alias("detected_ts"), "severity", "raised_ts", "raised_by",
         )
-        stamped.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return flags.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    return _per_batch(flags, path, checkpoint, stamped)
 
 
-def _per_batch(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+def _per_batch(
+    stream: DataFrame, path: str, checkpoint: str, shown: Callable[[DataFrame], DataFrame] = lambda batch: batch
+) -> DataStreamWriter:
     """Each micro-batch with rows owns a folder and overwrites it, so a retry does not duplicate."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.persist()  # or the state would be worked through once to see whether there are rows and once to write them
+        try:
+            if not batch.isEmpty():
+                shown(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
 

@@ -76,3 +76,15 @@ def test_every_failed_check_is_named(spark):
     with pytest.raises(quality.QualityGateError) as error:
         quality.enforce(report)
     assert all(f"check{i}" in str(error.value) for i in range(7))
+
+
+def test_absent_tables_are_rows_of_the_report(spark, raw_dir, tmp_path):
+    import shutil
+
+    shutil.copytree(f"{raw_dir}/sessions.parquet", f"{tmp_path}/sessions.parquet")
+    report = quality.raw_gate(RawTables(spark, str(tmp_path)))
+    absent = {r.table_name for r in report.filter("expectation = 'table_found'").collect()}
+    assert len(absent) == 7 and "sessions" not in absent and report.count() == 7 + 4
+    assert quality.enforce(report).filter("success is null").count() == 7
+    nothing = quality.raw_gate(RawTables(spark, f"{tmp_path}/nowhere"))
+    assert nothing.count() == 8 and {r.table_passed for r in quality.report_by_table(nothing).collect()} == {None}
