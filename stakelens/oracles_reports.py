@@ -420,6 +420,7 @@ union all select 'scd_summary', count(*) from (select distinct vip_tier, kyc_sta
                                                risk_segment, is_current from dim_players_scd2) d
 union all select 'scd_timeline', count(*) from timeline
 union all select 'scenario_exposure', count(*) from at_risk""",
+    "exported_timeline": "select * from timeline",
     "stream_flags": "select * from flags_all_rules",
     "stream_archive": "select strftime(ts, '%Y') as year, strftime(ts, '%m') as month, strftime(ts, '%d') as day,"
     " event_type, count(*) as events from unified_events group by all",

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import clear_scratch
 from ..session import build_session
@@ -70,18 +71,26 @@ def reports(w: Warehouse) -> dict:
     }
 
 
-def comparison(w: Warehouse, out: str) -> None:
-    """The naive-against-engineered results: one JSON document per topic."""
+def results_document(w: Warehouse) -> DataFrame:
+    """The naive-against-engineered results as one row: the date, both models, the difference of their AUC, each topic."""
+    models = churn.compare_models(w)
+    of = {name: models.filter(F.col("dataset") == name).drop("dataset") for name in ("naive", "engineered")}
     topics = {
-        "models": churn.compare_models(w),
+        **of,
         "portfolio_value_distortion": distortion.deposit_distortion(w),
         "self_exclusion_contamination": distortion.self_exclusion_contamination(w),
         "bot_session_contamination": distortion.bot_contamination(w),
         "scd_point_in_time_lookup": distortion.point_in_time_mismatches(w),
-        "join_fanout": distortion.join_fanout(w),
+        "join_fanout_demo": distortion.join_fanout(w),
     }
-    for name, df in topics.items():
-        write_metrics(df, f"{out}/comparison/{name}")
+    one = w.churn_labels.agg(F.max("observation_date").cast("date").alias("as_of_date")).select(
+        "as_of_date", *[df.select(F.struct("*")).scalar().alias(name) for name, df in topics.items()])
+    return one.withColumn("auc_delta", F.col("engineered.auc") - F.col("naive.auc"))
+
+
+def comparison(w: Warehouse, out: str) -> None:
+    """One JSON document."""
+    write_metrics(results_document(w), f"{out}/comparison")
 
 
 def run(

@@ -18,7 +18,7 @@ from .sources.events import event_stream, replay_slice, to_messages
 from .sources import replay
 from .sources.lens import Lens
 from .sources.replay import replay_stream, write_slices
-from .sources.sinks import append_audit, export_reports, replace_table, sync_flags, write_metrics, write_parquet
+from .sources.sinks import append_audit, export_reports, published, replace_table, sync_flags, write_metrics, write_parquet
 from .streaming import detector
 from .streaming.processors import PlayerRules
 
@@ -462,11 +462,17 @@ def exported_reports(w: Warehouse) -> DataFrame:
         "scenario_exposure": bi.value_at_risk(w),
     }
     export_reports(w.spark, reports, target)
-    out = None
-    for name in reports:
-        rows = w.spark.read.parquet(f"{target}/{name}").agg(F.lit(name).alias("report"), F.count("*").alias("rows"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return published(w.spark, target).drop("checksum")
+
+
+@query
+def exported_timeline(w: Warehouse) -> DataFrame:
+    """The contents of an exported report: of two editions, readers see the second."""
+    target = scratch_dir(w.spark, "editions")
+    timeline = bi.scd_timeline(w.dim_players_scd2)
+    export_reports(w.spark, {"scd_timeline": timeline.limit(0)}, target)
+    export_reports(w.spark, {"scd_timeline": timeline}, target)
+    return published(w.spark, target, "scd_timeline")
 
 
 def _streamed(function: Callable[[Warehouse, str], DataFrame]) -> None:

@@ -10,6 +10,8 @@ from stakelens.plans.warehouse import RawTables
 from stakelens.registry import LENS_THRESHOLDS
 from stakelens.schemas import RAW
 from stakelens.sources.lens import Lens
+from stakelens.sources.sinks import export_reports, published
+from stakelens.sources.versions import TableSet
 
 FOLDER = f"{TESTDATA}/sf0.001"
 
@@ -34,8 +36,12 @@ def test_daily_job(spark, raw_dir, tmp_path):
     tests = {(r.table_name, r.expectation): r.success
              for r in spark.read.parquet(f"{out}/quality/model_tests").collect()}
     assert tests[("player_ltv", "unique(player_id)")] and tests[("stg_game_rounds", "unique(round_id)")]
-    assert set(spark.read.json(f"{out}/reports/manifest").first().tables) == set(batch.reports(w))
-    assert spark.read.json(f"{out}/comparison/join_fanout").first().players == ltv.count()
+    manifest = {r.report: r.rows for r in published(spark, f"{out}/reports").collect()}
+    assert set(manifest) == set(batch.reports(w)) and manifest["player_ltv"] == ltv.count()
+    results = spark.read.json(f"{out}/comparison").first()
+    assert results.join_fanout_demo.players == ltv.count() and len(results.as_of_date) == 10
+    aucs = results.naive.auc, results.engineered.auc  # none where only one class was seen
+    assert results.auc_delta == (None if None in aucs else pytest.approx(aucs[1] - aucs[0]))
 
 
 def test_gate_stops_the_job(spark, raw_dir, tmp_path):
@@ -88,3 +94,27 @@ def test_absent_tables_are_rows_of_the_report(spark, raw_dir, tmp_path):
     assert quality.enforce(report).filter("success is null").count() == 7
     nothing = quality.raw_gate(RawTables(spark, f"{tmp_path}/nowhere"))
     assert nothing.count() == 8 and {r.table_passed for r in quality.report_by_table(nothing).collect()} == {None}
+
+
+@pytest.mark.parametrize("step", ["add", "commit", "clean"])
+def test_an_export_that_dies_leaves_an_edition_whole(spark, tmp_path, monkeypatch, step):
+    path = f"{tmp_path}/r"
+    export_reports(spark, {"a": spark.range(3), "b": spark.range(4)}, path)
+    first = sorted(map(tuple, published(spark, path).collect()))
+    assert [r[:2] for r in first] == [("a", 3), ("b", 4)]
+    real, calls = getattr(TableSet, step), []
+
+    def dying(self, *args):
+        calls.append(1)
+        if len(calls) == 2 or step == "commit":
+            raise KeyboardInterrupt
+        return real(self, *args)
+
+    monkeypatch.setattr(TableSet, step, dying)
+    with pytest.raises(KeyboardInterrupt):
+        export_reports(spark, {"a": spark.range(30), "b": spark.range(40)}, path)
+    monkeypatch.undo()
+    sizes = [published(spark, path, r).count() for r in "ab"]
+    assert sizes == ([30, 40] if step == "clean" else [3, 4])
+    export_reports(spark, {"a": spark.range(3), "b": spark.range(4)}, path)
+    assert sorted(map(tuple, published(spark, path).collect())) == first, "equal rows, equal checksums"

@@ -12,7 +12,7 @@ from stakelens import functions as fn
 from stakelens.plans import bi, churn, distortion, marts, quality, staging
 from stakelens.schemas import RAW
 from stakelens.sources import fx_rates, read_raw
-from stakelens.sources.sinks import export_reports, replace_table, sync_flags, write_metrics, write_parquet
+from stakelens.sources.sinks import export_reports, published, replace_table, sync_flags, write_metrics, write_parquet
 
 T0 = datetime(2024, 1, 1)
 
@@ -237,7 +237,7 @@ def test_sinks(spark, tmp_path):
     write_metrics(df, f"{tmp_path}/metrics")
     assert len(list((tmp_path / "metrics").glob("part-*.json"))) == 1
     export_reports(spark, {"one": df, "two": df}, f"{tmp_path}/reports")
-    assert spark.read.json(f"{tmp_path}/reports/manifest").first().tables == ["one", "two"]
+    assert sorted(r.report for r in published(spark, f"{tmp_path}/reports").collect()) == ["one", "two"]
     flags = table(spark, "streaming_fraud_flags", [{"flag_id": "x"}])
     assert sync_flags(flags, f"{tmp_path}/flags") and not sync_flags(flags.limit(0), f"{tmp_path}/flags")
     assert spark.read.parquet(f"{tmp_path}/flags").count() == 1, "an empty store leaves the copy alone"
