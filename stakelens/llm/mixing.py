@@ -109,24 +109,17 @@ def mix(docs: DataFrame, durable: Callable[..., DataFrame], key: str = "doc_id",
 
 
 def mixture(docs: DataFrame, durable: Callable[..., DataFrame], key: str = "doc_id", text: str = "text",
-            source: str = "source", length: str | None = "n_chars", **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with its own columns.
+            source: str = "source", **options) -> DataFrame:
+    """The mix itself: each document as often as it is taken, whole every time, with its own columns.
 
-    Whole repetitions are repeated rows. The one document of a source that is taken in part also gives a row with
-    its first words, joined by spaces, and ``length`` (a column with the number of characters) follows it. Documents
-    without words are not taken. See :func:`mix` for nulls, ties and repeated rows.
+    Of the one document of a source that :func:`mix` takes in part, that part is taken as a whole document or not at
+    all, whichever leaves the source nearer its target. Documents without words are not taken. See :func:`mix` for
+    nulls, ties and repeated rows.
     """
     names = tuple(fresh(docs, "_size", "_source_size", "_target", "_taken"))
-    mixed = mix(docs, durable, key, text, source, names=names, **options)
     size, taken = F.col(names[0]), F.col(names[3])
+    mixed = mix(docs, durable, key, text, source, names=names, **options).filter(taken > 0)
+    times = F.floor((2 * taken + size) / (2 * size)).cast("int")
     again, = fresh(mixed, "_again")
-    full, cut = F.floor(taken / size).cast("int"), (taken % size).cast("int")
-    copies = F.concat(F.array_repeat(F.lit(0), full), F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<int>")))
-    rows = mixed.filter(taken > 0).withColumn(again, F.explode(copies))
-    part = F.array_join(F.slice(words(F.col(text)), F.lit(1), F.col(again)), " ")
-    shown = {text: F.when(F.col(again) == 0, F.col(text)).otherwise(part)}
-    if length is not None and length in docs.columns:
-        kind = docs.schema[length].dataType
-        shown[length] = F.when((F.col(again) == 0) | F.col(length).isNull(), F.col(length)).otherwise(
-            F.length(part).cast(kind))
-    return rows.select(*[shown[c].alias(c) if c in shown else F.col(f"`{c}`") for c in docs.columns])
+    rows = mixed.withColumn(again, F.explode(F.array_repeat(F.lit(0), times)))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

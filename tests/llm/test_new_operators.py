@@ -341,7 +341,7 @@ def test_contamination_against_brute_force(spark):
         assert sorted(map(str, (tuple(r)[:6] for r in rows))) == sorted(
             map(str, plain_contamination(DOCS, ITEMS, window)))
         assert all(r.n_near_items >= r.n_items for r in rows)
-    none = decontamination.contamination(docs, items.limit(0), durable, reach=None).collect()
+    none = decontamination.contamination(docs, items.limit(0), durable).collect()
     assert len(none) == len(DOCS) and not any(r.contaminated or r.n_items for r in none)
     assert decontamination.contamination(docs.limit(0), items, durable).count() == 0
     assert len(decontamination.contamination(documents(spark), items, durable).collect()) == documents(spark).count()
@@ -364,7 +364,8 @@ def test_near_matches_against_brute_force(spark):
             w = text.split()
             want |= {(key, at, window) for at, x in enumerate(w) if x == word
                      and set(words_of[window]) <= set(w[max(0, at - 6):at + 7])}
-    found = [(names[x.row], x.at, x.window) for x in decontamination.near_matches(index, durable, 6).collect()]
+    matches = decontamination.matches(index, durable, 6)
+    found = [(names[x.row], x.anchor, x.window) for x in decontamination.near_matches(matches).collect()]
     assert len(found) == len(set(found)) and set(found) == want and len(want) > 20
 
 
