@@ -8,9 +8,11 @@ bands of the whole count. Tiles that meet are compared in full, by exclusive-or
 tiles are thinned to stars as they are found, which keeps every connection while a large group of near copies makes no
 more links in a tile pair than it has members there.
 
-Where texts count as near by the shingles they share, bit links are candidates only. The texts of two tiles that have
-candidates meet in blocks, with the hashes of their distinct shingles, and a link is what has the exact Jaccard
-similarity; only such links are thinned.
+Where texts count as near by the shingles they share, bit links are candidates only. What they connect is a group, and
+inside a group a link is what has the exact Jaccard similarity of the sets of hashed shingles. Groups are confirmed in
+rounds. First a group is shuffled and cut into blocks, and what is linked inside a block becomes one component; that is
+done twice, in different orders, and moves each set once a time. Then all candidates between different components are
+decided. Nobody leaves before, so no link is lost, and of a large group of near copies hardly any pair is left by then.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from itertools import product
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -41,6 +43,7 @@ BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(8
 STRIPES = 16  # tasks over which the tiles of one band are spread
 BLOCK, BLOCK_SHINGLES = 512, 1 << 19  # most texts, and about the most shingles, of one side of a block
 SET_BYTES, SIZE_BYTES = 16, 4  # of an entry, after its fingerprint
+SHUFFLES = 2  # rounds inside blocks before all pairs of components are decided
 
 
 @dataclass(frozen=True)
@@ -163,44 +166,34 @@ def entries(docs: DataFrame, text: str, like: Likeness, to: str) -> DataFrame:
     return docs.withColumn(to, of(F.col(text)))
 
 
-def _tiles(distinct: DataFrame) -> DataFrame:
-    """Tiles of at most TILE fingerprints of one cell: cell, tile, packed."""
+def _tiles(distinct: DataFrame, *order: Column) -> DataFrame:
+    """Tiles of at most TILE fingerprints of one cell, in the order given: cell, tile, packed."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             cells, fps = batch.column("cell").to_numpy(), batch.column("fp").to_pylist()
-            edges = np.flatnonzero(np.diff(cells)) + 1
+            edges = np.flatnonzero(cells[1:] != cells[:-1]) + 1
             starts = [s for a, b in zip([0, *edges], [*edges, len(cells)], strict=True) for s in range(a, b, TILE)]
             ends = [*starts[1:], len(cells)]
             yield pa.RecordBatch.from_pydict({
-                "cell": pa.array(cells[starts], pa.int32()),
+                "cell": pa.array(cells[starts], pa.int64()),
                 "tile": pa.array([fps[s] for s in starts], pa.binary()),  # the first member names the tile
                 "packed": pa.array([b"".join(fps[a:b]) for a, b in zip(starts, ends, strict=True)], pa.binary()),
             })
 
     # Ranges over (cell, fp): a crowded cell spreads over many tasks.
-    dealt = distinct.select("cell", "fp").repartitionByRange("cell", "fp").sortWithinPartitions("cell", "fp")
-    return dealt.mapInArrow(cut, "cell int, tile binary, packed binary")
+    keys = ["cell", *[f"_{k}" for k in range(len(order))], "fp"]
+    dealt = distinct.select(F.col("cell").cast("long").alias("cell"), "fp", *[c.alias(f"_{k}") for k, c in enumerate(order)])
+    return dealt.repartitionByRange(*keys).sortWithinPartitions(*keys).select("cell", "fp").mapInArrow(
+        cut, "cell long, tile binary, packed binary")
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what all links between two tiles connect, at most one per fingerprint.
-
-    ``a`` and ``b`` have a row of unsigned words for each fingerprint; the result is two such arrays. Links are
-    merged into classes as the rows of ``a`` are worked off, so no more than one comparison matrix is held.
-    """
-    every = np.concatenate([a, b])
-    root = np.arange(len(every))
-    rows = max(1, CELLS // max(1, len(b)))
-    for start in range(0, len(a), rows):
-        i, j = np.nonzero(np.bitwise_count(a[start:start + rows, 0, None] ^ b[None, :, 0]) <= like.first)
-        i += start
-        if like.lanes > 1 and len(i):
-            close = np.bitwise_count(a[i] ^ b[j]).sum(axis=1, dtype=int) <= like.radius
-            i, j = i[close], j[close]
-        j = j + len(a)
+def _merged(n: int, links: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each of ``n`` numbers the least that it is connected with."""
+    root = np.arange(n)
+    for i, j in links:
         while True:
             x, y = root[i], root[j]
             apart = x != y
@@ -210,6 +203,28 @@ def tile_links(a: np.ndarray, b: np.ndarray, like: Likeness) -> tuple[np.ndarray
             np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
             while not np.array_equal(shorter := root[root], root):
                 root = shorter
+    return root
+
+
+def tile_links(a: np.ndarray, b: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what all links between two tiles connect, at most one per fingerprint.
+
+    ``a`` and ``b`` have a row of unsigned words for each fingerprint; the result is two such arrays. Links are
+    merged into classes as the rows of ``a`` are worked off, so no more than one comparison matrix is held.
+    """
+    every = np.concatenate([a, b])
+    rows = max(1, CELLS // max(1, len(b)))
+
+    def near() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for start in range(0, len(a), rows):
+            i, j = np.nonzero(np.bitwise_count(a[start:start + rows, 0, None] ^ b[None, :, 0]) <= like.first)
+            i += start
+            if like.lanes > 1 and len(i):
+                close = np.bitwise_count(a[i] ^ b[j]).sum(axis=1, dtype=int) <= like.radius
+                i, j = i[close], j[close]
+            yield i, j + len(a)
+
+    root = _merged(len(every), near())
     moved = np.flatnonzero(root != np.arange(len(every)))
     left, right = every[moved], every[root[moved]]
     differ = (left != right).any(axis=1)
@@ -218,7 +233,7 @@ def tile_links(a: np.ndarray, b: np.ndarray, like: Likeness) -> tuple[np.ndarray
 
 def fingerprint_links(distinct: DataFrame, like: Likeness, durable: Callable[..., DataFrame]) -> DataFrame:
     """Links (a, b) that connect what all links connect. ``distinct`` has one row per ``fp``, with its ``cell``."""
-    pairs, lanes = _meetings(durable(_tiles(distinct), "tiles"), like), like.lanes
+    pairs, lanes = _meetings(durable(_tiles(distinct), "tiles"), like, _steps(like)), like.lanes
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,12 +248,12 @@ def fingerprint_links(distinct: DataFrame, like: Likeness, durable: Callable[...
     return pairs.mapInArrow(compare, "a binary, b binary")
 
 
-def _meetings(tiles: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs (a, b) of packed tiles that may hold links, each once and each tile with itself."""
+def _meetings(tiles: DataFrame, like: Likeness, steps: list[int]) -> DataFrame:
+    """The pairs (a, b) of packed tiles in cells so many steps apart, each once and each tile with itself."""
     stripes = STRIPES if like.radius > NARROW else 1
     stripe = F.pmod(F.xxhash64("tile"), F.lit(stripes)).cast("int")
     meets = F.array(*[F.struct((F.col("cell") + s).alias("cell_b"), F.lit(k).alias("stripe"))
-                      for s in _steps(like) for k in range(stripes)])
+                      for s in steps for k in range(stripes)])
     left = tiles.select(
         F.col("tile").alias("tile_a"), F.col("packed").alias("a"), F.col("cell").alias("cell_a"),
         F.inline(meets),
@@ -251,52 +266,136 @@ def _meetings(tiles: DataFrame, like: Likeness) -> DataFrame:
     return left.join(right, ["cell_b", "stripe"]).filter(once).select("a", "b")
 
 
-def _unpacked(entries: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(entries: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprint words and set sizes of rows of bytes."""
-    words = np.ascontiguousarray(entries[:, :8 * lanes]).view(np.uint64)  # any order of bytes
-    return words, np.ascontiguousarray(entries[:, -SIZE_BYTES:]).view(">u4").ravel().astype(np.int64)
+    words = np.ascontiguousarray(entries[:, :8 * like.lanes]).view(np.uint64)  # any order of bytes
+    end = _width(like)
+    return words, np.ascontiguousarray(entries[:, end - SIZE_BYTES:end]).view(">u4").ravel().astype(np.int64)
+
+
+def _width(like: Likeness) -> int:
+    """Bytes of an entry. In a round, the name of its component follows."""
+    return 8 * like.lanes + SET_BYTES + SIZE_BYTES
 
 
 def _candidates(a: np.ndarray, b: np.ndarray, like: Likeness) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows near enough in bits and in size, in order of the first; a slice of ``a`` at a time."""
-    (p, m), (q, n) = _unpacked(a, like.lanes), _unpacked(b, like.lanes)
+    """All pairs of rows near enough in bits and in size, in order of the first; a slice of ``a`` at a time.
+
+    Pairs with the same name after the entry are left out.
+    """
+    (p, m), (q, n), named = _unpacked(a, like), _unpacked(b, like), a.shape[1] > _width(like)
+    if named:
+        names = np.ascontiguousarray(np.concatenate([a, b])[:, _width(like):])
+        name = np.unique(names.view(f"V{names.shape[1]}").ravel(), return_inverse=True)[1]
+        of_a, of_b = name[:len(a)], name[len(a):]
     rows = max(1, CELLS // max(1, len(b)))
     for start in range(0, len(a), rows):
         i, j = np.nonzero(np.bitwise_count(p[start:start + rows, 0, None] ^ q[None, :, 0]) <= like.first)
         i += start
         near = ALIKE[1] * np.minimum(m[i], n[j]) >= ALIKE[0] * np.maximum(m[i], n[j])
+        if named:
+            near &= of_a[i] != of_b[j]
         i, j = i[near], j[near]
         near = np.bitwise_count(p[i] ^ q[j]).sum(axis=1, dtype=int) <= like.radius
         yield i[near], j[near]
 
 
+def _labelled(tiles: DataFrame, like: Likeness) -> DataFrame:
+    """The tiles, each entry with the name of the first entry that candidates inside the tile connect it with."""
+    width, digest = _width(like), slice(8 * like.lanes, 8 * like.lanes + SET_BYTES)
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = []
+            for x in batch.column("packed"):
+                a = np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, width)
+                root = _merged(len(a), _candidates(a, a, like))
+                packed.append(np.concatenate([a, a[root][:, digest]], axis=1).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("cell"), batch.column("tile"), pa.array(packed, pa.binary())],
+                                             names=["cell", "tile", "packed"])
+
+    return tiles.mapInArrow(label, "cell long, tile binary, packed binary")
+
+
+def candidate_links(distinct: DataFrame, like: Likeness, durable: Callable[..., DataFrame]) -> DataFrame:
+    """Links (a, b) between entries that connect what all candidates connect.
+
+    Each entry is linked to the first of its class in its own tile. Between two tiles, classes are linked and not their
+    members, so a group of n entries in t tiles has n links and t * t at most.
+    """
+    width, digest = _width(like), slice(8 * like.lanes, 8 * like.lanes + SET_BYTES)
+    tiles = durable(_labelled(durable(_tiles(distinct), "tiles"), like), "labelled")
+
+    def classes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The class of each row, and the row that each class is named by."""
+        of = np.unique(np.ascontiguousarray(rows[:, width:]).view(f"V{SET_BYTES}").ravel(), return_inverse=True)[1]
+        heads = np.flatnonzero((rows[:, digest] == rows[:, width:]).all(axis=1))
+        head = np.zeros(of.max(initial=-1) + 1, np.int64)
+        head[of[heads]] = heads
+        return of, head
+
+    def links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({
+            name: pa.array([r[:width].tobytes() for r in rows], pa.binary()) for name, rows in (("a", a), ("b", b))})
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column("packed"):
+                a = np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, width + SET_BYTES)
+                of, head = classes(a)
+                moved = np.flatnonzero(head[of] != np.arange(len(a)))
+                yield links(a[moved], a[head[of[moved]]])
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column("a"), batch.column("b"), strict=True):
+                a, b = (np.frombuffer(z.as_buffer(), np.uint8).reshape(-1, width + SET_BYTES) for z in (x, y))
+                if np.array_equal(a[0], b[0]):
+                    continue
+                every = np.concatenate([a, b])
+                of, head = classes(every)
+                root = _merged(len(head), ((of[i], of[j + len(a)]) for i, j in _candidates(a, b, like)))
+                moved = np.flatnonzero(root != np.arange(len(root)))
+                yield links(every[head[moved]], every[head[root[moved]]])
+
+    schema = "a binary, b binary"
+    return tiles.mapInArrow(inner, schema).unionByName(_meetings(tiles, like, _steps(like)).mapInArrow(outer, schema))
+
+
 def _chunks(sizes: np.ndarray) -> np.ndarray:
     """Ascending numbers that cut rows into chunks of BLOCK texts and about BLOCK_SHINGLES shingles at most."""
     key = np.arange(len(sizes)) // BLOCK * (1 << 40) + (np.cumsum(sizes) - sizes) // BLOCK_SHINGLES
     return np.unique(key, return_inverse=True)[1]
 
 
-def blocks(tiles: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs of chunks of tiles with candidates: block (its name), side (1 or 2) and fp (an entry with candidates)."""
-    width = 8 * like.lanes + SET_BYTES + SIZE_BYTES
+def blocks(pairs: DataFrame, like: Likeness, inside: bool) -> DataFrame:
+    """Pairs of chunks of tiles with candidates: block (its name), side (1 or 2) and fp (a named entry with candidates).
+
+    With ``inside``, a tile meets itself and only chunks with themselves.
+    """
+    width = _width(like)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y in zip(batch.column("a"), batch.column("b"), strict=True):
-                a, b = (np.frombuffer(z.as_buffer(), np.uint8).reshape(-1, width) for z in (x, y))
+                a, b = (np.frombuffer(z.as_buffer(), np.uint8).reshape(-1, width + SET_BYTES) for z in (x, y))
                 same = np.array_equal(a[0], b[0])
-                of_a, of_b = (_chunks(_unpacked(z, like.lanes)[1]) for z in (a, b))
+                of_a, of_b = (_chunks(_unpacked(z, like)[1]) for z in (a, b))
                 in_a, in_b = np.zeros((len(a), of_b[-1] + 1), bool), np.zeros((len(b), of_a[-1] + 1), bool)
-                for i, j in _candidates(a, b, like):
-                    if same:
-                        i, j = i[i < j], j[i < j]
-                    in_a[i, of_b[j]] = True
-                    in_b[j, of_a[i]] = True
+                for k in range(of_a[-1] + 1) if inside else [None]:
+                    at = np.flatnonzero(of_a == k) if inside else np.arange(len(a))
+                    to = at if inside else np.arange(len(b))
+                    for i, j in _candidates(a[at], b[to], like):
+                        i, j = at[i], to[j]
+                        if same:
+                            i, j = i[i < j], j[i < j]
+                        in_a[i, of_b[j]] = True
+                        in_b[j, of_a[i]] = True
                 for k, m in zip(*np.nonzero([in_a[of_a == k].any(axis=0) for k in range(of_a[-1] + 1)]), strict=True):
                     left, right = in_a[:, m] & (of_a == k), in_b[:, k] & (of_b == m)
                     if same and k == m:
                         left, right = left | right, np.zeros(len(b), bool)
-                    name = b"".join(z[np.argmax(of == c), -SET_BYTES - SIZE_BYTES:-SIZE_BYTES].tobytes()
+                    name = b"".join(z[np.argmax(of == c), 8 * like.lanes:width - SIZE_BYTES].tobytes()
                                     for z, of, c in ((a, of_a, k), (b, of_b, m)))
                     members = [r.tobytes() for r in (*a[left], *b[right])]
                     yield pa.RecordBatch.from_pydict({
@@ -304,7 +403,7 @@ def blocks(tiles: DataFrame, like: Likeness) -> DataFrame:
                         "side": pa.array([1] * int(left.sum()) + [2] * int(right.sum()), pa.int32()),
                         "fp": pa.array(members, pa.binary())})
 
-    return _meetings(tiles, like).mapInArrow(find, "block binary, side int, fp binary")
+    return pairs.mapInArrow(find, "block binary, side int, fp binary")
 
 
 def confirmed_links(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], like: Likeness) -> tuple[np.ndarray, np.ndarray]:
@@ -340,6 +439,7 @@ def confirmed_links(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], like:
 
 def _confirmed(candidates: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     """Links (a, b) among the members of each block. ``sets`` has ``of`` (an entry) and ``shingles`` (packed hashes)."""
+    width = _width(like)
 
     def confirm(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
@@ -349,10 +449,10 @@ def _confirmed(candidates: DataFrame, sets: DataFrame, like: Likeness) -> DataFr
             place[1] = place[0]  # a chunk with itself
         a, b = (np.array([np.frombuffer(entry_of[i], np.uint8) for i in p]) for p in place)
         left, right = confirmed_links(a, b, [np.frombuffer(packed[i], "<u8") for p in place for i in p], like)
-        linked = [(x.tobytes(), y.tobytes()) for x, y in zip(left, right, strict=True)]
+        linked = [(x[:width].tobytes(), y[:width].tobytes()) for x, y in zip(left, right, strict=True)]
         return pa.table({"a": pa.array([x for x, _ in linked], pa.binary()), "b": pa.array([y for _, y in linked], pa.binary())})
 
-    members = candidates.join(sets, F.col("fp") == F.col("of")).select("block", "side", "fp", "shingles")
+    members = candidates.join(sets, F.substring("fp", 1, width) == F.col("of")).select("block", "side", "fp", "shingles")
     return members.groupBy("block").applyInArrow(confirm, "a binary, b binary")
 
 
@@ -362,17 +462,32 @@ def shingle_links(distinct: DataFrame, texts: DataFrame, like: Likeness, durable
     ``distinct`` has one row per entry ``fp``, with its ``cell`` and the number ``row`` of one of its texts; ``texts``
     has ``row`` and ``text``. Only texts with candidates are shuffled, as hashes.
     """
-    found = durable(blocks(durable(_tiles(distinct), "tiles"), like), "blocks")
-    wanted = found.select(F.col("fp").alias("of")).distinct().join(
-        distinct.select("fp", F.col("row").alias("at")), F.col("of") == F.col("fp")).select("of", "at")
+    groups = components(durable(candidate_links(distinct, like, durable), "candidates"), durable)
+    # A group is a cell of its own. If two got the same number, they would only be compared for nothing.
+    members = durable(distinct.join(groups, F.col("fp") == F.col("node")).select(
+        "fp", F.xxhash64("component").alias("cell"), F.col("row").alias("at")), "members")
 
     @F.pandas_udf("binary")
     def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([shingle_set(x, like.shingle).astype("<u8").tobytes() for x in batch], dtype=object)
 
-    sets = texts.join(wanted, F.col("row") == F.col("at")).select("of", packed("text").alias("shingles"))
-    return _confirmed(found, durable(sets, "sets"), like)
+    sets = durable(texts.join(members, F.col("row") == F.col("at")).select(
+        F.col("fp").alias("of"), packed("text").alias("shingles")), "sets")
+    links = None
+    for k in range(SHUFFLES + 1):
+        inside = k < SHUFFLES
+        # An entry's digest of its set names it; a component has the name of its least entry.
+        least = F.col("fp") if links is None else F.coalesce("component", "fp")
+        so_far = members if links is None else members.join(components(links, durable), F.col("fp") == F.col("node"), "left")
+        named = so_far.select(
+            F.concat("fp", F.substring(least, 8 * like.lanes + 1, SET_BYTES)).alias("fp"), "cell", least.alias("least"))
+        tiles = durable(_tiles(named, F.xxhash64("fp", F.lit(k)) if inside else F.col("least")), "tiles")
+        pairs = tiles.select(F.col("packed").alias("a"), F.col("packed").alias("b")) if inside else _meetings(tiles, like, [0])
+        found = durable(blocks(pairs, like, inside), "blocks")
+        more = durable(_confirmed(found, sets, like), "confirmed")
+        links = more if links is None else links.unionByName(more)
+    return links
 
 
 @contextmanager
