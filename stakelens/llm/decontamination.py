@@ -39,6 +39,7 @@ class Index:
     windows: DataFrame
     postings: DataFrame
     plans: DataFrame
+    window: int = WINDOW
 
     def documents(self) -> DataFrame:
         """row, key, n_words of every document."""
@@ -79,87 +80,90 @@ def build_index(docs: DataFrame, items: DataFrame, durable: Callable[..., DataFr
     placed = split.join(vocabulary, "word").join(counts, "term", "left")
     lists = F.sort_array(F.collect_list(F.struct(F.coalesce("postings", F.lit(0)).alias("postings"), "offset", "term")))
     plans = durable(placed.groupBy("window").agg(lists.alias("lists")).filter("lists[0].postings > 0"), "plans")
-    return Index(windows, postings, plans)
+    return Index(windows, postings, plans, window)
 
 
-def _narrowed(index: Index, places: DataFrame, first: int, last: int | None, durable: Callable[..., DataFrame]) -> DataFrame:
-    """The places (row, at, window, lists) whose terms ``first`` to ``last`` in order of rarity stand where they should."""
-    wanted = F.slice("lists", F.lit(first + 1), F.size("lists") if last is None else F.lit(last - first))
-    asked = places.select("row", "at", "window", F.explode(wanted).alias("list"), F.size(wanted).alias("wanted")).select(
-        "row", "at", "window", "wanted", (F.col("at") + F.col("list.offset")).alias("position"), F.col("list.term").alias("term"))
+def _narrowed(index: Index, places: DataFrame, wanted: Column, reach: int, durable: Callable[..., DataFrame],
+              everywhere: bool) -> DataFrame:
+    """The places that have all ``wanted`` terms near, with ``exact`` if those stand where they should.
+
+    Positions meet in stretches of the reach: a place looks into its own and the two beside it.
+    """
+    span = max(reach, index.window)
+    beside = F.array(*[F.floor(F.col("anchor") / span) + k for k in (-1, 0, 1)])
+    terms_of = F.array_distinct(F.transform(wanted, lambda x: x["term"]))
+    asked = places.select(
+        "row", "anchor", "window", "offset", "exact", F.size(wanted).alias("places"), F.size(terms_of).alias("terms"),
+        F.explode(wanted).alias("list")
+    ).select("row", "anchor", "window", "exact", "places", "terms", F.col("list.term").alias("term"),
+             (F.col("anchor") - F.col("offset") + F.col("list.offset")).alias("due"), F.explode(beside).alias("stretch"))
     # Only lists that are asked for are moved; of the later ones, which are long, only what lies in documents with places.
     # Their terms are written, so that the planner knows how few they are and filters where the postings are.
-    lists = index.postings.select("row", "position", "term").join(
-        durable(asked.select("term").distinct(), "terms"), "term", "left_semi")
-    if last is None:
+    lists = index.postings.select("row", "position", "term", F.floor(F.col("position") / span).alias("stretch")).join(
+        durable(places.select(F.explode(F.transform(wanted, lambda x: x["term"])).alias("term")).distinct(), "terms"),
+        "term", "left_semi")
+    if not everywhere:
         lists = lists.join(durable(places.select("row").distinct(), "rows"), "row", "left_semi")
-    met = asked.join(lists, ["row", "position", "term"], "left_semi").groupBy("row", "at", "window", "wanted").count()
-    return met.filter(F.col("count") == F.col("wanted")).select("row", "at", "window")
-
-
-def exact_matches(index: Index, durable: Callable[..., DataFrame]) -> DataFrame:
-    """Every occurrence of a window: row, ``at`` (position of its first word), window, ``size`` in words."""
-    rarest = index.plans.select(
-        "window", "lists", F.col("lists")[0]["term"].alias("rarest"), F.col("lists")[0]["offset"].alias("offset"))
+    at = F.col("position") == F.col("due")
+    met = asked.join(lists, ["row", "stretch", "term"]).filter(at | (F.abs(F.col("position") - F.col("anchor")) <= reach))
+    # Per term first, so that a term that stands near a place many times is one row.
+    of_term = met.groupBy("row", "anchor", "window", "exact", "places", "terms", "term").agg(
+        F.count_if(at).alias("hits"), F.max(F.abs(F.col("position") - F.col("anchor")) <= reach).alias("near"))
+    return of_term.groupBy("row", "anchor", "window", "exact", "places", "terms").agg(
+        F.sum("hits").alias("hits"), F.count_if("near").alias("n")).select(
+        "row", "anchor", "window", (F.col("exact") & (F.col("hits") == F.col("places"))).alias("exact"),
+        (F.col("n") == F.col("terms")).alias("near")).filter("exact or near")
+
+
+def matches(index: Index, durable: Callable[..., DataFrame], reach: int = REACH) -> DataFrame:
+    """Every place where a window stands or is near: row, ``anchor`` (position of its rarest word), window, ``at`` (where
+    its first word is, or would be), ``size`` in words, ``exact`` (all words in their order) and ``near`` (all of them,
+    in any order, at most ``reach`` words from the anchor)."""
+    plans = index.plans.select("window", "lists", F.col("lists")[0]["term"].alias("rarest"),
+                               F.col("lists")[0]["offset"].alias("offset"), F.size("lists").alias("size"))
+    sizes = plans.select("window", "lists", "offset", "size")
     places = durable(
-        index.postings.filter("term is not null").join(rarest, F.col("term") == F.col("rarest"))
-        .select("row", (F.col("position") - F.col("offset")).alias("at"), "window", "lists").filter("at >= 0"), "places")
-    second = _narrowed(index, places.filter("size(lists) > 1"), 1, 2, durable)
-    sizes = index.plans.select("window", F.size("lists").alias("size"), "lists")
+        index.postings.filter("term is not null").join(plans, F.col("term") == F.col("rarest"))
+        .select("row", F.col("position").alias("anchor"), "window", "lists", "offset", "size",
+                (F.col("position") >= F.col("offset")).alias("exact")), "places")
+    second = _narrowed(index, places.filter("size > 1"), F.slice("lists", 2, 1), reach, durable, True)
     both = durable(second.join(sizes, "window"), "places")
-    rest = _narrowed(index, both.filter("size > 2"), 2, None, durable).join(sizes.drop("lists"), "window")
-    columns = ["row", "at", "window", "size"]
-    return durable(
-        places.filter("size(lists) = 1").withColumn("size", F.lit(1)).select(columns)
-        .unionByName(both.filter("size = 2").select(columns)).unionByName(rest.select(columns)), "matches")
+    # What misses the second term's place is no exact match, and what has it too far away is no near one.
+    rest = _narrowed(index, both.filter("size > 2"), F.slice("lists", F.lit(3), F.size("lists")), reach, durable, False)
+    rest = rest.join(both.select("row", "anchor", "window", F.col("near").alias("second_near"), "offset", "size"),
+                     ["row", "anchor", "window"])
+    columns = ["row", "anchor", "window", (F.col("anchor") - F.col("offset")).alias("at"), "size", "exact", "near"]
+    found = (
+        places.filter("size = 1").withColumn("near", F.lit(True)).select(columns)
+        .unionByName(both.filter("size = 2").select(columns))
+        .unionByName(rest.withColumn("near", F.col("near") & F.col("second_near")).filter("exact or near").select(columns)))
+    return durable(found, "matches")
 
 
-def near_matches(index: Index, durable: Callable[..., DataFrame], reach: int = REACH) -> DataFrame:
-    """Places near which all words of a window stand, in any order: row, ``at`` (position of its rarest word), window.
+def exact_matches(found: DataFrame) -> DataFrame:
+    """Every occurrence of a window: row, at, window, size."""
+    return found.filter("exact").select("row", "at", "window", "size")
 
-    Near is ``reach`` words at most, before or after. Exact matches are near matches if ``reach`` is no less than the
-    size of a window.
-    """
-    once = F.array_distinct(F.transform("lists", lambda x: F.struct(x["postings"], x["term"])))
-    plans = index.plans.select("window", once.alias("once")).select("window", "once", F.col("once")[0]["term"].alias("rarest"))
-    places = durable(
-        index.postings.filter("term is not null").join(plans, F.col("term") == F.col("rarest"))
-        .select("row", F.col("position").alias("at"), "window", "once"), "places")
-
-    def narrowed(places: DataFrame, wanted: Column, all_rows: bool) -> DataFrame:
-        # Positions meet in stretches of ``reach``: each looks into its own and the two beside it.
-        beside = F.array(*[F.floor(F.col("at") / reach) + k for k in (-1, 0, 1)])
-        asked = places.select("row", "at", "window", F.size(wanted).alias("wanted"), F.explode(wanted).alias("list")).select(
-            "row", "at", "window", "wanted", F.col("list.term").alias("term"), F.explode(beside).alias("stretch"))
-        lists = index.postings.select("row", "position", "term", F.floor(F.col("position") / reach).alias("stretch")).join(
-            durable(asked.select("term").distinct(), "terms"), "term", "left_semi")
-        if not all_rows:
-            lists = lists.join(durable(places.select("row").distinct(), "rows"), "row", "left_semi")
-        met = asked.join(lists, ["row", "stretch", "term"]).filter(F.abs(F.col("position") - F.col("at")) <= reach)
-        met = met.select("row", "at", "window", "wanted", "term").distinct().groupBy("row", "at", "window", "wanted").count()
-        return met.filter(F.col("count") == F.col("wanted")).select("row", "at", "window")
-
-    second = narrowed(places.filter("size(once) > 1"), F.slice("once", 2, 1), True)
-    both = durable(second.join(plans.select("window", "once"), "window"), "places")
-    rest = narrowed(both.filter("size(once) > 2"), F.slice("once", F.lit(3), F.size("once")), False)
-    columns = ["row", "at", "window"]
-    return (places.filter("size(once) = 1").select(columns).unionByName(both.filter("size(once) = 2").select(columns))
-            .unionByName(rest))
+
+def near_matches(found: DataFrame) -> DataFrame:
+    """Places near which all words of a window stand, in any order: row, anchor, window."""
+    return found.filter("near").select("row", "anchor", "window")
 
 
 def contamination(docs: DataFrame, items: DataFrame, durable: Callable[..., DataFrame], key: str = "doc_id", text: str = "text",
-                  item: str = "item_id", item_text: str = "text", window: int = WINDOW, reach: int | None = REACH) -> DataFrame:
+                  item: str = "item_id", item_text: str = "text", window: int = WINDOW, reach: int = REACH) -> DataFrame:
     """One row per document: key, ``n_words``, ``n_hit`` (words inside exact matches), ``n_items`` (items with such),
     ``items_sha256`` (of their ids, sorted as text, comma-joined), ``contaminated``, and ``n_near_items``, which counts
-    items with near matches (left out if ``reach`` is None).
+    items with near matches.
 
     Null and empty texts have no words and are not hit; items without words have no windows. Repeated rows and rows
     with equal or null keys are documents of their own. Windows that several items share count for each. Whole texts are
     read, however long. Without items nothing is hit; an empty table gives no rows. Other columns are not read.
     """
     index = build_index(docs, items, durable, key, text, item, item_text, window)
-    found = exact_matches(index, durable)
-    stretches = found.groupBy("row", "at").agg(F.max("size").alias("size"))
+    found = matches(index, durable, reach)
+    exact = exact_matches(found)
+    stretches = exact.groupBy("row", "at").agg(F.max("size").alias("size"))
     hit = (
         stretches.select("row", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("position"))
         .distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
@@ -171,14 +175,11 @@ def contamination(docs: DataFrame, items: DataFrame, durable: Callable[..., Data
 
     # As many ids in a row as there are items at most.
     ids = F.array_join(F.sort_array(F.collect_list(F.col("item").cast("string"))), ",")
-    hit_items = per_row(found).groupBy("row").agg(F.count("*").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"))
+    hit_items = per_row(exact).groupBy("row").agg(F.count("*").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"))
     out = index.documents().join(hit, "row", "left").join(hit_items, "row", "left")
     zero = F.lit(0).cast("long")
     columns = [
         F.col("key").alias(key), "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated")]
-    if reach is not None:
-        near = per_row(near_matches(index, durable, reach)).groupBy("row").agg(F.count("*").alias("n_near"))
-        out = out.join(near, "row", "left")
-        columns.append(F.coalesce("n_near", zero).alias("n_near_items"))
-    return out.select(*columns)
+    near = per_row(near_matches(found)).groupBy("row").agg(F.count("*").alias("n_near"))
+    return out.join(near, "row", "left").select(*columns, F.coalesce("n_near", zero).alias("n_near_items"))
