@@ -39,6 +39,16 @@ RETENTION_POLICY = {
 }
 RAW_ARCHIVE_DAYS = 90
 
+# Tiers from open to strict, and the governed columns that a model's other columns are made of.
+TIERS = ("public", "internal", "confidential", "restricted")
+LINEAGE = {
+    "dim_players_scd2": {
+        **{c: [f"stg_players.{c}"] for c in ("country", "currency", "acquisition_channel", "activity_segment", "signup_ts")},
+        **{c: ["stg_player_attribute_history.effective_ts"] for c in ("valid_from", "valid_to", "is_current")},
+        "vip_tier": ["stg_player_attribute_history.vip_tier"],
+    },
+}
+
 
 class UnknownPlayerError(LookupError):
     pass
@@ -275,11 +285,20 @@ def expired_days(archive: DataFrame, today: str, ts: str = "ts") -> DataFrame:
     )
 
 
+def _tier(model: str, column: str) -> str | None:
+    """A column's own tier, or else the strictest of the columns it is made of; None if one of those has none."""
+    own = classification().get(model, {}).get(column)
+    if own:
+        return own["classification"]
+    found = [_tier(*name.split(".")) for name in LINEAGE.get(model, {}).get(column, ())]
+    return max(found, key=TIERS.index) if found and None not in found else None
+
+
 def general_view(df: DataFrame, model: str) -> DataFrame:
-    """What the general BI layer may see of a model: columns that are classified, and not as restricted.
+    """What the general BI layer may see of a model: every column that is not restricted.
 
-    A column that nobody has classified yet stays hidden.
+    Columns without a tier of their own have that of the columns they are made of (``LINEAGE``). A column that nobody
+    has classified yet, there or here, stays hidden.
     """
     frame = classified(df, model)
-    classes = {f.name: f.metadata.get("classification") for f in frame.schema.fields}
-    return frame.select(*[name for name, kind in classes.items() if kind not in (None, "restricted")])
+    return frame.select(*[F.col(f"`{c}`") for c in frame.columns if _tier(model, c) not in (None, "restricted")])

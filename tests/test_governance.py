@@ -160,6 +160,22 @@ def test_metadata_travels_with_the_columns(spark, tmp_path):
     assert len([c for m in gov.classification().values() for c in m]) == 57
 
 
+def test_the_general_view_hides_restricted_columns_and_no_others(spark):
+    kinds = ("player_dimension_key string, player_id string, country string, currency string, acquisition_channel string,"
+             " activity_segment string, signup_ts timestamp, valid_from timestamp, valid_to timestamp, is_current boolean,"
+             " vip_tier string, kyc_status string, self_exclusion_status string, risk_segment string, born date")
+    df = spark.createDataFrame([], kinds)
+    hidden = {"kyc_status", "self_exclusion_status", "risk_segment", "born"}
+    assert gov.general_view(df, "dim_players_scd2").columns == [c for c in df.columns if c not in hidden]
+
+
+def test_a_column_is_as_restricted_as_what_it_is_made_of(spark, monkeypatch):
+    df = spark.createDataFrame([], "player_id string, age int, odd int")
+    made = {"age": ["stg_players.signup_ts", "stg_players.date_of_birth"], "odd": ["stg_players.country", "stg_players.none"]}
+    monkeypatch.setitem(gov.LINEAGE, "dim_players_scd2", made)
+    assert gov.general_view(df, "dim_players_scd2").columns == ["player_id"]
+
+
 def test_retention(spark):
     df = spark.createDataFrame([("p", datetime(2024, 2, 29))], "player_id string, closed timestamp")
     assert gov.retention_due(df, "financial_aml", "closed").first().retention_due == date(2029, 2, 28)
