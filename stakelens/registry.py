@@ -39,7 +39,8 @@ LENS_THRESHOLDS = Thresholds(
 )
 
 REPLAY_SLICES = 20  # micro-batches of a replay at least
-REPLAY_ROWS_A_TASK = 2_000
+REPLAY_ROWS_A_TASK = 20_000
+BUCKETS_A_TASK = 8
 
 THREE_VALUED = {"is_self_excluded_as_of", "success_flag"}
 
@@ -523,13 +524,17 @@ def stream_flags(w: Warehouse, target: str) -> DataFrame:
     """All six rules as stateful jobs over a bounded replay. They must raise what the batch rules raise."""
     at = w.at.rules
     events = warehouse(w.spark, w.raw.folder).events
-    rows = min(replay.ROWS, -(-events.count() // REPLAY_SLICES) or 1)
+    total = events.count()
+    rows = min(replay.ROWS, -(-total // REPLAY_SLICES) or 1)
+    # A micro-batch of a long replay takes several slices, or the number of batches, each of which reads and writes the
+    # state of nearly all keys, would grow along with the state.
+    files = max(1, total // rows // REPLAY_SLICES)
     write_slices(events, f"{target}-slices", rows)
     write_parquet(w.self_exclusion_registry, f"{target}-registry")
     # State is dealt out for good when a stream starts, so its session has as many partitions as a micro-batch can fill.
     own = prepare(w.spark.newSession())
-    own.conf.set("spark.sql.shuffle.partitions", max(1, min(rows // REPLAY_ROWS_A_TASK, int(
-        w.spark.conf.get("spark.sql.shuffle.partitions")))))
+    tasks = max(1, min(rows * files // REPLAY_ROWS_A_TASK, int(w.spark.conf.get("spark.sql.shuffle.partitions"))))
+    own.conf.set("spark.sql.shuffle.partitions", tasks)
     player = PlayerRules(
         card_window_seconds=at["card_testing"]["window_seconds"],
         min_bins=at["card_testing"]["min_bins"],
@@ -538,8 +543,9 @@ def stream_flags(w: Warehouse, target: str) -> DataFrame:
         structuring_window_seconds=at["structuring"]["window_seconds"],
     )
     jobs = detector.run_detector(
-        replay_stream(own, f"{target}-slices", events.schema), own.read.parquet(f"{target}-registry"), target,
+        replay_stream(own, f"{target}-slices", events.schema, files), own.read.parquet(f"{target}-registry"), target,
         f"{target}-state", once=True, player=player, ring=at["bonus_ring"], session=at["bot_betting"],
+        buckets=tasks * BUCKETS_A_TASK,
     )
     for job in jobs:
         job.awaitTermination()

@@ -19,6 +19,9 @@ if TYPE_CHECKING:
     from .rule import Rule
 
 WATERMARK = "10 minutes"
+# Keys share the state of a bucket, which is read and written whole: a few keys with events in each, per micro-batch, are
+# enough. State is bound to its bucket, so a checkpoint keeps the number it started with.
+BUCKETS = 512
 
 
 def with_watermark(events: DataFrame, delay: str = WATERMARK) -> DataFrame:
@@ -42,6 +45,7 @@ def without_retries(events: DataFrame, delay: str = WATERMARK) -> DataFrame:
 
 def slim_events(events: DataFrame, keys: list[str], processor: InOrder) -> DataFrame:
     """Only the columns a rule reads: ids travel as text (the event's own as it is ordered), time as microseconds."""
+    processor.keys = tuple(keys)
     processor.id_type = "bigint" if isinstance(events.schema["entity_id"].dataType, T.IntegralType) else "string"
     kinds = {"seq": "int", "amount_gbp": "double", "entity_id": processor.id_type}
     wanted = dict.fromkeys([*keys, "seq", "entity_id", *processor.columns])
@@ -56,29 +60,35 @@ def as_flags(found: DataFrame) -> DataFrame:
     )
 
 
-def keyed_flags(events: DataFrame, keys: list[str], processor: InOrder) -> DataFrame:
+def keyed_flags(events: DataFrame, keys: list[str], processor: InOrder, buckets: int = BUCKETS) -> DataFrame:
     """The flags that a processor raises on a stream with a watermark. Events without one of the keys belong together."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
-    return as_flags(slim_events(events, keys, processor).groupBy(*keys).transformWithState(
+    dealt = slim_events(events, keys, processor).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    return as_flags(dealt.groupBy("_bucket").transformWithState(
         statefulProcessor=processor, outputStructType=FLAG_OUT, outputMode="append", timeMode="EventTime"
     ))
 
 
-def player_flags(events: DataFrame, rules: PlayerRules = PlayerRules(), delay: str = WATERMARK) -> DataFrame:
+def player_flags(
+    events: DataFrame, rules: PlayerRules = PlayerRules(), delay: str = WATERMARK, buckets: int = BUCKETS
+) -> DataFrame:
     wanted = of_kinds(events, ("login", "payment"), delay)
-    return keyed_flags(wanted, ["player_id"], PlayerProcessor(rules))
+    return keyed_flags(wanted, ["player_id"], PlayerProcessor(rules), buckets)
 
 
-def ring_flags(events: DataFrame, gap_seconds: float = 6 * 3600, delay: str = WATERMARK) -> DataFrame:
+def ring_flags(
+    events: DataFrame, gap_seconds: float = 6 * 3600, delay: str = WATERMARK, buckets: int = BUCKETS
+) -> DataFrame:
     wanted = of_kinds(events, ("bonus_claim",), delay)
-    return keyed_flags(wanted, ["device_id", "bonus_type"], RingProcessor(gap_seconds))
+    return keyed_flags(wanted, ["device_id", "bonus_type"], RingProcessor(gap_seconds), buckets)
 
 
 def session_flags(
-    events: DataFrame, min_gaps: int = 100, max_sd: float = 0.3, ttl_seconds: float = 6 * 3600, delay: str = WATERMARK
+    events: DataFrame, min_gaps: int = 100, max_sd: float = 0.3, ttl_seconds: float = 6 * 3600, delay: str = WATERMARK,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     wanted = of_kinds(events, ("game_round",), delay)
-    return keyed_flags(wanted, ["session_id"], SessionProcessor(min_gaps, max_sd, ttl_seconds))
+    return keyed_flags(wanted, ["session_id"], SessionProcessor(min_gaps, max_sd, ttl_seconds), buckets)
 
 
 def breach_flags(events: DataFrame, registry: DataFrame) -> DataFrame:
@@ -138,7 +148,7 @@ def _per_batch(
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # or the state would be worked through once to see whether there are rows and once to write them
         try:
-            if not batch.isEmpty():
+            if batch.count():  # all of its tasks at once; isEmpty would run one of them first, then a few
                 shown(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
         finally:
             batch.unpersist()
@@ -184,7 +194,7 @@ def archive_events(events: DataFrame, path: str, checkpoint: str) -> DataStreamW
 def run_detector(
     events: DataFrame, registry: DataFrame, path: str, checkpoint: str, once: bool = False,
     player: PlayerRules = PlayerRules(), ring: dict | None = None, session: dict | None = None,
-    messages: DataFrame | None = None, further: Sequence[Rule] = (),
+    messages: DataFrame | None = None, further: Sequence[Rule] = (), buckets: int = BUCKETS,
 ) -> list:
     """Start one query per partitioning key. ``once`` works off what is there and stops, for a backtest.
 
@@ -192,11 +202,11 @@ def run_detector(
     with the reason, so that none vanishes. Each rule in ``further`` is a query of its own.
     """
     jobs = {
-        "player": player_flags(events, player),
-        "ring": ring_flags(events, **(ring or {})),
-        "session": session_flags(events, **(session or {})),
+        "player": player_flags(events, player, buckets=buckets),
+        "ring": ring_flags(events, **(ring or {}), buckets=buckets),
+        "session": session_flags(events, **(session or {}), buckets=buckets),
         "breach": breach_flags(events, registry),
-        **{rule.name: rule.stream(events) for rule in further},
+        **{rule.name: rule.stream(events, buckets=buckets) for rule in further},
     }
     trigger = {"availableNow": True} if once else {"processingTime": "1 second"}
     writers = [write_flags(flags, f"{path}/job={name}", f"{checkpoint}/{name}") for name, flags in jobs.items()]

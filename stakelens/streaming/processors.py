@@ -2,16 +2,20 @@
 
 Events of a key come in any order within the watermark's delay. A processor keeps them in a reorder buffer until the
 watermark has passed them, after which no earlier event can come, and only then walks them in order of (us, seq,
-entity_id): across micro-batches in the very order in which the batch rules see them. What a rule remembers of a key is
-read once and written once per release, and is a bounded number of values wherever the rule allows. The buffer holds
-the key's events of the last ``delay`` and no others.
+entity_id): across micro-batches in the very order in which the batch rules see them.
+
+Every access to state is a round trip to the JVM, which costs more than a hundred events do. So keys are dealt out to
+buckets, and the state is that of a bucket: its buffer and what its rules remember of its keys are read once and written
+once per release, however many of its keys have events. The buffer holds the bucket's events of the last ``delay`` and no
+others.
 """
 
 from __future__ import annotations
 
-import json
+import pickle
 from collections.abc import Iterator
 from itertools import islice
+from operator import itemgetter
 from typing import Any, NamedTuple
 
 from pyspark.sql import Row
@@ -48,62 +52,75 @@ class InOrder(StatefulProcessor):
     """Releases the events of a key in order, and forgets a key that has been quiet for ``quiet_us``.
 
     A further rule derives from this: ``columns`` names the text columns that it reads, ``begin`` what it remembers of
-    a new key (anything JSON can hold), ``step`` takes one event and returns flags.
+    a new key (plain values and containers of them), ``step`` takes one event and returns flags.
     """
 
     columns: tuple[str, ...] = ()
+    keys: tuple[str, ...] = ()  # set for the stream
     id_type = "string"  # ids are ordered as they are in the events
     quiet_us: int
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        fields = ", ".join(f"{c} {'double' if c == 'amount_gbp' else 'string'}" for c in self.columns)
-        self.arrivals = handle.getListState("arrivals", f"us bigint, seq int, entity_id {self.id_type}, {fields}")
-        # ``due`` is when the timer rings that asks whether the key has gone quiet; there is always one.
-        self.memory = handle.getValueState("memory", "last_us bigint, due bigint, body string")
+        # Each element holds many events: (key, (us, seq, entity_id, *columns)).
+        self.arrivals = handle.getListState("arrivals", "events binary")
+        # Key to (time of its last event, memory). ``due`` is when the timer rings that asks which keys have gone quiet.
+        self.memory = handle.getValueState("memory", "due bigint, body binary")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        names, first = ("us", "seq", "entity_id", *self.columns), None
+        first = None
         while some := list(islice(rows, ROWS_AT_ONCE)):
-            self.arrivals.appendList([tuple(r[n] for n in names) for r in some])
-            first = min(r["us"] for r in some) if first is None else min(first, *(r["us"] for r in some))
+            at = some[0].__fields__.index
+            keys = [at(k) for k in self.keys]
+            values = itemgetter(*[at(n) for n in ("us", "seq", "entity_id", *self.columns)])
+            events = [(tuple([r[k] for k in keys]), values(r)) for r in some]
+            self.arrivals.appendValue((pickle.dumps(events),))
+            earliest = min(e[0] for _, e in events)
+            first = earliest if first is None else min(first, earliest)
         self.handle.registerTimer(self._after(first))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        ready, waiting = [], []
-        for row in self.arrivals.get() if self.arrivals.exists() else ():
-            (ready if row[0] <= passed else waiting).append(tuple(row))
-        last, due, body = self.memory.get() if self.memory.exists() else (None, None, None)
-        flags: list[tuple] = []
+        ready: dict[tuple, list] = {}
+        waiting = []
+        for (events,) in self.arrivals.get() if self.arrivals.exists() else ():
+            for k, e in pickle.loads(events):
+                if e[0] <= passed:
+                    ready.setdefault(k, []).append(e)
+                else:
+                    waiting.append((k, e))
+        due, body = self.memory.get() if self.memory.exists() else (None, None)
+        rung = due is None or expiredTimerInfo.getExpiryTimeInMs() >= due
+        if not ready and (due is None or not rung):
+            return
+        known = {} if body is None else pickle.loads(body)
         if ready:
-            ready.sort(key=lambda row: row[:3])
-            memory = self.begin() if body is None else json.loads(body)
             event = Row("us", "seq", "entity_id", *self.columns)
-            for us, seq, entity, *others in ready:
-                if last is not None and us > last + self.quiet_us:
-                    self.forget()
-                    memory = self.begin()
-                last = us
-                flags += self.step(memory, event(us, seq, str(entity), *others))
-            body = json.dumps(memory)
+            for k, events in ready.items():
+                events.sort(key=itemgetter(0, 1, 2))
+                last, memory = known.get(k, (None, None))
+                for us, seq, entity, *others in events:
+                    if last is None or us > last + self.quiet_us:
+                        memory = self.begin()
+                    last = us
+                    for flag in self.step(memory, event(us, seq, str(entity), *others)) or ():
+                        yield Row(**dict(zip(FLAG_OUT.names, flag, strict=True)))
+                known[k] = last, memory
+            self.arrivals.clear()
+            for n in range(0, len(waiting), ROWS_AT_ONCE):
+                self.arrivals.appendValue((pickle.dumps(waiting[n:n + ROWS_AT_ONCE]),))
             if waiting:
-                self.arrivals.put(waiting)
-                self.handle.registerTimer(self._after(min(row[0] for row in waiting)))
-            else:
-                self.arrivals.clear()
-        rung = due is None or expiredTimerInfo.getExpiryTimeInMs() >= due
-        if rung and last is not None and not ready and not waiting and last + self.quiet_us < passed:
+                self.handle.registerTimer(self._after(min(e[0] for _, e in waiting)))
+        # An event after so long a time starts afresh anyway.
+        known = {k: v for k, v in known.items() if v[0] + self.quiet_us >= passed}
+        if not known and rung:
             self.memory.clear()
-            self.forget()
-        elif ready or (rung and last is not None):
-            if rung:
-                due = max(self._after(last + self.quiet_us), passed // 1000 + 1)
-                self.handle.registerTimer(due)
-            self.memory.update((last, due, body))
-        for flag in flags:
-            yield Row(**dict(zip(FLAG_OUT.names, flag, strict=True)))
+            return
+        if rung:
+            due = max(self._after(min(last for last, _ in known.values()) + self.quiet_us), passed // 1000 + 1)
+            self.handle.registerTimer(due)
+        self.memory.update((due, pickle.dumps(known)))
 
     @staticmethod
     def _after(us: int) -> int:
@@ -116,29 +133,10 @@ class InOrder(StatefulProcessor):
     def step(self, memory: Any, e: Row) -> Iterator[tuple]:
         raise NotImplementedError
 
-    def forget(self) -> None:
-        """Clear further state of a quiet key."""
-
     def close(self) -> None:
         pass
 
 
-class _Known:
-    """The keys of a map state."""
-
-    def __init__(self, state):
-        self.state = state
-
-    def __contains__(self, value) -> bool:
-        return self.state.containsKey((value,))
-
-    def add(self, value, us: int) -> None:
-        self.state.updateValue((value,), (us,))
-
-    def clear(self) -> None:
-        self.state.clear()
-
-
 class PlayerProcessor(InOrder):
     """Card testing, account takeover and structuring, which all follow one player."""
 
@@ -151,18 +149,9 @@ class PlayerProcessor(InOrder):
             rules.known_ttl_days * 86_400,
         ) * SECOND)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.devices = _Known(handle.getMapState("devices", "value string", "us bigint"))
-        self.geos = _Known(handle.getMapState("geos", "value string", "us bigint"))
-
-    def forget(self) -> None:
-        self.devices.clear()
-        self.geos.clear()
-
     def begin(self) -> dict:
-        # Newest BINs and large deposits first; when each list of known values was written last.
-        return {"bins": [], "large": [], "pending": None, "devices_us": None, "geos_us": None}
+        # Newest BINs and large deposits first; the known values, and when each set of them was written last.
+        return {"bins": [], "large": [], "pending": None, "devices": set(), "geos": set(), "devices_us": None, "geos_us": None}
 
     def step(self, memory: dict, e: Row) -> Iterator[tuple]:
         if e.event_type == "login":
@@ -174,19 +163,19 @@ class PlayerProcessor(InOrder):
 
     def _login(self, memory: dict, e: Row) -> None:
         ttl = int(self.rules.known_ttl_days * 86_400 * SECOND)
-        for known, written in ((self.devices, "devices_us"), (self.geos, "geos_us")):
+        for known, written in (("devices", "devices_us"), ("geos", "geos_us")):
             if memory[written] is not None and e.us > memory[written] + ttl:
-                known.clear()
+                memory[known].clear()
                 memory[written] = None
         has_history = memory["devices_us"] is not None
-        new_device = not has_history or e.device_id not in self.devices
+        new_device = not has_history or e.device_id not in memory["devices"]
         no_geo = e.country_from_ip is None
-        new_geo = no_geo or memory["geos_us"] is None or e.country_from_ip not in self.geos
+        new_geo = no_geo or memory["geos_us"] is None or e.country_from_ip not in memory["geos"]
         if new_device:
-            self.devices.add(e.device_id, e.us)
+            memory["devices"].add(e.device_id)
             memory["devices_us"] = e.us
         if new_geo and not no_geo:
-            self.geos.add(e.country_from_ip, e.us)
+            memory["geos"].add(e.country_from_ip)
             memory["geos_us"] = e.us
         if new_device and new_geo and has_history:
             memory["pending"] = (e.device_id, e.entity_id, e.us)
@@ -223,24 +212,16 @@ class RingProcessor(InOrder):
     def __init__(self, gap_seconds: float = 6 * 3600):
         self.quiet_us = int(gap_seconds * SECOND)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.claimants = _Known(handle.getMapState("claimants", "player_id string", "us bigint"))
-
-    def forget(self) -> None:
-        self.claimants.clear()
-
     def begin(self) -> dict:
-        return {"last": None}
+        return {"claimants": set(), "last": None}
 
     def step(self, memory: dict, e: Row) -> Iterator[tuple]:
         if memory["last"] is not None and e.us > memory["last"] + self.quiet_us:
-            self.claimants.clear()
-            memory["last"] = None
-        if e.player_id not in self.claimants:
+            memory.update(self.begin())
+        if e.player_id not in memory["claimants"]:
             if memory["last"] is not None:
                 yield "bonus_abuse_ring", "bonus_claim", e.entity_id, e.player_id, e.us, e.us, e.entity_id
-            self.claimants.add(e.player_id, e.us)
+            memory["claimants"].add(e.player_id)
         memory["last"] = e.us
 
 

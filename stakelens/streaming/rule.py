@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .detector import WATERMARK, as_flags, keyed_flags, of_kinds, slim_events
+from .detector import BUCKETS, WATERMARK, as_flags, keyed_flags, of_kinds, slim_events
 from .processors import FLAG_OUT, InOrder
 
 
@@ -26,9 +26,9 @@ class Rule:
     keys: tuple[str, ...]
     processor: InOrder
 
-    def stream(self, events: DataFrame, delay: str = WATERMARK) -> DataFrame:
+    def stream(self, events: DataFrame, delay: str = WATERMARK, buckets: int = BUCKETS) -> DataFrame:
         """The flags of a stream of events."""
-        return keyed_flags(of_kinds(events, self.kinds, delay), list(self.keys), self.processor)
+        return keyed_flags(of_kinds(events, self.kinds, delay), list(self.keys), self.processor, buckets)
 
     def batch(self, events: DataFrame) -> DataFrame:
         """The flags of a table of events. For ``run_rules(rules=...)``.

@@ -204,6 +204,36 @@ def test_windows_are_upserted_and_forgotten(spark, topic, tmp_path):
     assert held[-1] < len(want), "windows behind the watermark stay in state"
 
 
+def test_keys_share_the_state_of_a_bucket(spark, topic, tmp_path):
+    """Rows in state, and so round trips to it, go by the number of buckets, not by that of keys."""
+    events = make(37, n=300)
+    events += [{**e, "session_id": None} for e in events if e["event_type"] == "game_round"][::3]
+    in_pieces(topic, events, 3)
+    tick(topic, max(e["ts"] for e in events), 3)
+    stream = event_stream(spark, str(topic), fx_rates(spark), maxFilesPerTrigger="1")
+    flags = detector.session_flags(stream, **SETTINGS["bot_betting"], buckets=1)
+    query = detector.write_flags(flags, f"{tmp_path}/o/job=session", f"{tmp_path}/s").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len({e["session_id"] for e in events}) > 3
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators) <= 20
+    want = rules.run_rules(frame(spark, events), registry(spark, SINCE), SETTINGS).filter("scenario_type = 'bot_betting'")
+    assert collected(detector.read_flags(spark, f"{tmp_path}/o")) == collected(want)
+
+
+def test_a_bucket_forgets_quiet_keys(spark, topic, tmp_path):
+    """Each session's rounds lie hours after those of the one before, so a bucket of them all remembers few."""
+    rounds = [e for e in make(38, n=300) if e["event_type"] == "game_round"][:12]
+    events = [{**e, "session_id": f"s{i}", "ts": START + timedelta(hours=9 * i)} for i, e in enumerate(rounds)]
+    in_pieces(topic, events, len(events))
+    tick(topic, events[-1]["ts"], len(events))
+    tick(topic, events[-1]["ts"] + timedelta(hours=9), len(events) + 1)
+    stream = event_stream(spark, str(topic), fx_rates(spark), maxFilesPerTrigger="1")
+    flags = detector.session_flags(stream, buckets=1)
+    query = detector.write_flags(flags, f"{tmp_path}/o", f"{tmp_path}/s").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators][-1] == 0
+
+
 def hasty_rule():
     # A class in a function travels to the workers by value.
     class Hasty(InOrder):
