@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seconds_between, surrogate_key
@@ -82,7 +82,9 @@ def player_daily_activity(activity: DataFrame, payments: DataFrame) -> DataFrame
 
 def dim_players_scd2(history: DataFrame, players: DataFrame, width: float = YEAR) -> DataFrame:
     """Type 2 dimension: attribute periods joined to the player's static attributes."""
-    periods = scd_periods(history, "player_id", "effective_ts", width)
+    # The join drops the others. Said here, it holds for both readings of the history, which can then share an exchange.
+    known = history.filter("player_id is not null")
+    periods = scd_periods(known, "player_id", "effective_ts", width)
     return periods.join(players, "player_id").select(
         surrogate_key("player_id", F.unix_micros("valid_from")).alias("player_dimension_key"),
         "player_id", "country", "currency", "acquisition_channel", "activity_segment", "signup_ts",
@@ -162,18 +164,22 @@ def flags_per_entity(flags: DataFrame) -> DataFrame:
 
 def fraud_summary(truth: DataFrame, flags: DataFrame) -> DataFrame:
     """Detector score per (scenario, entity type). False positives are counted per scenario."""
-    labels = truth.filter("entity_type <> 'player'").select(*_ENTITY)
-    hits = flags_per_entity(flags)
-    caught = labels.join(hits, _ENTITY, "left").groupBy("scenario_type", "entity_type").agg(
-        F.countDistinct("entity_id").alias("ground_truth_count"),
-        F.coalesce(F.sum("flags"), F.lit(0)).alias("true_positive_count"),
-        F.try_divide(F.sum("latency"), F.sum("timed")).alias("_latency"),
-    )
-    false = hits.join(labels, _ENTITY, "left_anti").groupBy("scenario_type").agg(
-        F.sum("flags").alias("false_positive_count")
-    )
+    labels = truth.filter("entity_type <> 'player'").select(*_ENTITY, F.lit(True).alias("_label"))
+    label, missed = F.col("_label").isNotNull(), F.col("_label").isNull()
+    # One join and one aggregation give both; what is left has a row per scenario and entity type.
+    counted = labels.join(flags_per_entity(flags), _ENTITY, "full_outer").groupBy("scenario_type", "entity_type").agg(
+        F.count_if(label).alias("_labels"),
+        F.countDistinct(F.when(label, F.col("entity_id"))).alias("ground_truth_count"),
+        F.coalesce(F.sum(F.when(label, F.col("flags"))), F.lit(0)).alias("true_positive_count"),
+        F.try_divide(F.sum(F.when(label, F.col("latency"))), F.sum(F.when(label, F.col("timed")))).alias("_latency"),
+        F.sum(F.when(missed, F.col("flags"))).alias("_false"),
+    )
+    false = F.sum("_false").over(Window.partitionBy("scenario_type"))
+    caught = counted.withColumn(
+        "false_positive_count", F.when(F.col("scenario_type").isNotNull(), false)
+    ).filter("_labels > 0")
     share = F.try_divide(F.col("true_positive_count"), F.col("ground_truth_count"))
-    return caught.join(false, "scenario_type", "left").select(
+    return caught.select(
         "scenario_type",
         "entity_type",
         "ground_truth_count",

@@ -143,6 +143,41 @@ def test_overlaps_are_found(spark):
     assert cut == found
 
 
+def test_the_history_is_exchanged_once_for_the_dimension(spark, tmp_path):
+    """Its rows and their summaries per slice are read from one exchange."""
+    rows = [{"player_id": p, "effective_ts": T0 + timedelta(days=400 * n), "vip_tier": f"t{n}"}
+            for p in ("a", "b", None) for n in range(4)]
+    table(spark, "player_attribute_history", rows).write.parquet(f"{tmp_path}/h")
+    table(spark, "players", [{"player_id": p, "signup_ts": T0} for p in ("a", "b")]).write.parquet(f"{tmp_path}/p")
+    history = staging.stg_player_attribute_history(spark.read.parquet(f"{tmp_path}/h"))
+    dim = marts.dim_players_scd2(history, staging.stg_players(spark.read.parquet(f"{tmp_path}/p")))
+    got = sorted((r.player_id, r.vip_tier, r.valid_to) for r in dim.collect())
+    ends = [*[T0 + timedelta(days=400 * n) for n in (1, 2, 3)], None]
+    assert got == [(p, f"t{n}", ends[n]) for p in ("a", "b") for n in range(4)]
+    plan = dim._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan
+
+
+def test_fraud_summary_joins_once(spark):
+    """Labels and flags of no scenario, flags of unlabelled types and of players: as counted by hand, from one join."""
+    truth = table(spark, "fraud_ground_truth", [
+        {"entity_type": t, "entity_id": e, "scenario_type": s} for t, e, s in (
+            ("payment", "1", "x"), ("payment", "2", "x"), ("login", "3", "x"), ("payment", "4", None), ("player", "p", "x"),
+            ("payment", None, "y"))])
+    flags = table(spark, "streaming_fraud_flags", [
+        {"flag_id": str(n), "entity_type": t, "entity_id": e, "scenario_type": s, "triggering_event_ts": T0,
+         "detected_ts": T0 + timedelta(seconds=n)} for n, (t, e, s) in enumerate((
+             ("payment", "1", "x"), ("payment", "1", "x"), ("payment", "9", "x"), ("player", "p", "x"), ("payment", "4", None),
+             ("payment", None, "y"), ("session", "7", "z")))])
+    found = marts.fraud_summary(truth, staging.stg_streaming_fraud_flags(flags))
+    got = {(r.scenario_type, r.entity_type): (*tuple(r)[2:5], r.avg_detection_latency_seconds) for r in found.collect()}
+    assert got == {
+        ("x", "payment"): (2, 2, 2, 0.5), ("x", "login"): (1, 0, 2, None),
+        (None, "payment"): (1, 0, 0, None), ("y", "payment"): (0, 0, 1, None),
+    }
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 def test_fraud_summary_counts(spark):
     truth = staging.stg_fraud_ground_truth(table(spark, "fraud_ground_truth", [
         {"entity_type": "payment", "entity_id": "1", "scenario_type": "card_testing", "injected_ts": T0},
