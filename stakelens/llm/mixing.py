@@ -53,7 +53,7 @@ def source_targets(sizes: DataFrame, durable: Callable[..., DataFrame], weights:
         left, free = all_words - clamped, loose
     if not free:  # no words at all
         return weighed.withColumn("target", cap.cast("double"))
-    share = (weight * F.lit(left)).cast("double") / F.lit(free)
+    share = (weight.cast("long") * F.lit(left)).cast("double") / F.lit(free)  # a literal under 2**31 is an int
     return weighed.withColumn("target", F.least(cap.cast("double"), share))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pytest
 from compare import connect, duck_rows, spark_rows
@@ -74,3 +76,13 @@ def test_stages_on_edges(spark, table):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert alone.columns == docs.columns == columns
     assert (docs.count() > 0) == (table is documents)
+
+
+def test_mixing_stage_beyond_two_billion(spark, monkeypatch):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    want = sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["mixing"](spark, docs, FOLDER).select("doc_id").collect())
+    # As many words as make weight times words too large for an int, by larger weights in the same proportion.
+    monkeypatch.setattr(corpus_pipeline, "mixture", partial(
+        corpus_pipeline.mixture, weights=(500_000_000, 200_000_000, 100_000_000)))
+    made = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, FOLDER)
+    assert sorted(r.doc_id for r in made.select("doc_id").collect()) == want and want
