@@ -203,6 +203,15 @@ def test_water_filling_shares_what_is_left(spark):
     assert abs(sum(t for _, t in rows.values()) - 1215) < 1e-9
 
 
+def test_mixing_beyond_two_billion(spark, edges):
+    sizes = spark.createDataFrame([("a", 900_000_000), ("b", 400_000_000), ("c", 200_000_000)], "source string, size long")
+    targets = {r.source: r.target for r in mixing.source_targets(sizes, durable).collect()}
+    assert targets == {"a": 937_500_000, "b": 375_000_000, "c": 187_500_000}
+    # Weights in the same proportion give the same mix, though weight times words does not fit an int.
+    large = mixing.mix(edges, durable, weights=(500_000_000, 200_000_000, 100_000_000))
+    assert sorted(map(str, large.collect())) == sorted(map(str, mixing.mix(edges, durable).collect()))
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------
 
 def test_neighbours_against_brute_force(spark):
