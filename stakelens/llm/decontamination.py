@@ -105,7 +105,8 @@ def _narrowed(index: Index, places: DataFrame, wanted: Column, reach: int, durab
     if not everywhere:
         lists = lists.join(durable(places.select("row").distinct(), "rows"), "row", "left_semi")
     at = F.col("position") == F.col("due")
-    met = asked.join(lists, ["row", "stretch", "term"]).filter(at | (F.abs(F.col("position") - F.col("anchor")) <= reach))
+    # The planner takes the exploded places for as small as they were before, and would broadcast them by that.
+    met = asked.join(lists.hint("merge"), ["row", "stretch", "term"]).filter(at | (F.abs(F.col("position") - F.col("anchor")) <= reach))
     # Per term first, so that a term that stands near a place many times is one row.
     of_term = met.groupBy("row", "anchor", "window", "exact", "places", "terms", "term").agg(
         F.count_if(at).alias("hits"), F.max(F.abs(F.col("position") - F.col("anchor")) <= reach).alias("near"))
@@ -130,7 +131,8 @@ def matches(index: Index, durable: Callable[..., DataFrame], reach: int = REACH)
     both = durable(second.join(sizes, "window"), "places")
     # What misses the second term's place is no exact match, and what has it too far away is no near one.
     rest = _narrowed(index, both.filter("size > 2"), F.slice("lists", F.lit(3), F.size("lists")), reach, durable, False)
-    rest = rest.join(both.select("row", "anchor", "window", F.col("near").alias("second_near"), "offset", "size"),
+    # Places grow with the documents, and in memory they are many times as large as their files, by which they are sized.
+    rest = rest.join(both.select("row", "anchor", "window", F.col("near").alias("second_near"), "offset", "size").hint("merge"),
                      ["row", "anchor", "window"])
     columns = ["row", "anchor", "window", (F.col("anchor") - F.col("offset")).alias("at"), "size", "exact", "near"]
     found = (
@@ -168,7 +170,7 @@ def contamination(docs: DataFrame, items: DataFrame, durable: Callable[..., Data
         stretches.select("row", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("position"))
         .distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
     )
-    of_items = index.windows.select("window", F.explode("items").alias("item"))
+    of_items = durable(index.windows.select("window", F.explode("items").alias("item")), "items")
 
     def per_row(matches: DataFrame) -> DataFrame:
         return matches.select("row", "window").distinct().join(of_items, "window").select("row", "item").distinct()

@@ -369,6 +369,20 @@ def test_near_matches_against_brute_force(spark):
     assert len(found) == len(set(found)) and set(found) == want and len(want) > 20
 
 
+def test_places_are_not_broadcast(spark):
+    plans = []
+
+    def noted(df, purpose):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return durable(df, purpose)
+
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    decontamination.contamination(docs, items, noted)
+    joins = re.findall(r"(\w+Join) \[row#\d+L?, (stretch|anchor)#", "\n".join(plans))
+    assert {x for _, x in joins} == {"stretch", "anchor"} and {x for x, _ in joins} == {"SortMergeJoin"}
+
+
 def test_op12_against_brute_force(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("item_id", "text").collect()]
